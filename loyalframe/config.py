@@ -6,7 +6,7 @@ shop export or the text the datasets publish, so it is listed as-is.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---- fixed values (data and output vocabulary) -----------------------------
 CANCELLED_STATUS = "Đã hủy"
@@ -54,7 +54,6 @@ PHASES = (("P1", "2025-12"), ("P2", "2026-03"), ("P3", None))
 EXPORT_TIME_FORMAT = "dd/MM/yyyy HH:mm:ss"
 MINUTE_FORMAT = "yyyy-MM-dd HH:mm"
 MONTH_FORMAT = "yyyy-MM"
-FAR_FUTURE = "9999-12-31 23:59"
 # ---------------------------------------------------------------------------
 
 
@@ -74,7 +73,6 @@ class LoyaltyConfig:
     three_way_ties_first: bool = False
     # K2: integer / integer truncates (as the shop's SQL did on integer text)
     truncate_integer_ratio: bool = True
-    extra: dict = field(default_factory=dict)
 
     def brand_suffix(self, brand: str) -> str:
         return dict(self.brands)[brand]

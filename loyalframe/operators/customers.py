@@ -57,9 +57,8 @@ def customers_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> D
         **{f"Basket_Pct_{s}_Products": pct(n, "Basket_Total_Num_Products", 2)
            for (_, s), n in zip(cfg.brands, n_cols)},
     })
-    g = g.withColumn("Loyalty_Tier", loyalty_tier(cfg))
-    g = g.withColumn("Funnel_Group", funnel_group(cfg))
-    g = g.withColumn("Switching_Status", switching_status(cfg))
+    g = _with_brand_sets(g.withColumn("Loyalty_Tier", loyalty_tier(cfg)), cfg)
+    g = g.withColumns({"Funnel_Group": funnel_group(cfg), "Switching_Status": switching_status(cfg)})
     g = g.withColumn("Switching_Ts", F.when(F.col("Switching_Status") == C.STATUS_SWITCHER,
                                             switching_time(cfg)))
     sw_min = minutes_between("Switching_Ts", "First_Seen_Ts")
@@ -84,82 +83,67 @@ def _ft(b: str) -> Column:
     return F.col(ft_col(b) + "_Ts")
 
 
-def _far() -> Column:
-    return F.to_timestamp(F.lit(C.FAR_FUTURE), "yyyy-MM-dd HH:mm")
+def _bit(i: int) -> int:
+    return 1 << i
 
 
-def funnel_group(cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Column:
-    """Entry group from the first purchase time of each funnel brand.
+def _with_brand_sets(g: DataFrame, cfg: LoyaltyConfig) -> DataFrame:
+    """Two small bitmasks the funnel rules are stated on (bit i = funnel brand i).
 
-    Branches in the shop's order: no brand; exactly one brand; pairs
-    bought first together (in brand priority order); all three; single
-    earliest brand. With the default order a three-way tie is caught by
-    the first pair branch (``three_way_ties_first`` changes that).
+    ``_seen``  : brands ever bought.
+    ``_entry`` : the entry set — the brands of the first purchase, where
+                 a tie is resolved as the shop's rule does: the first
+                 pair in priority order that ties wins, so a three-way tie
+                 counts as the first pair unless ``three_way_ties_first``.
+    Stating the rules on these keeps each derived column a small
+    expression, so filters that Catalyst pushes through them stay small.
     """
-    a, b, c = cfg.funnel_brands
-    fa, fb, fc = _ft(a), _ft(b), _ft(c)
-    far = _far()
-
-    def cf(x):
-        return F.coalesce(x, far)
-
-    expr = F.when(fa.isNull() & fb.isNull() & fc.isNull(), C.GROUP_NONE)
-    expr = (expr.when(fa.isNotNull() & fb.isNull() & fc.isNull(), C.ONLY_WITH.format(a))
-                .when(fa.isNull() & fb.isNotNull() & fc.isNull(), C.ONLY_WITH.format(b))
-                .when(fa.isNull() & fb.isNull() & fc.isNotNull(), C.ONLY_WITH.format(c)))
-    all3 = fa.isNotNull() & fb.isNotNull() & fc.isNotNull() & (fb == fc) & (fb == fa)
+    fts = [_ft(b) for b in cfg.funnel_brands]
+    first = F.least(*fts)
+    seen = sum((F.when(f.isNotNull(), _bit(i)).otherwise(0) for i, f in enumerate(fts)), F.lit(0))
+    at_first = sum((F.when(f == first, _bit(i)).otherwise(0) for i, f in enumerate(fts)), F.lit(0))
+    g = g.withColumns({"_seen": seen, "_at_first": at_first})
+    a = F.col("_at_first")
+    pairs = [_bit(0) | _bit(1), _bit(0) | _bit(2), _bit(1) | _bit(2)]
+    entry = F.when(a == 0, 0)
     if cfg.three_way_ties_first:
-        expr = expr.when(all3, C.GROUP_ALL_THREE)
-    pairs = ((a, b, fa, fb, fc), (a, c, fa, fc, fb), (b, c, fb, fc, fa))
-    for x, y, fx, fy, fz in pairs:
-        expr = expr.when(
-            fx.isNotNull() & fy.isNotNull() & (F.least(fx, fy, cf(fz)) == fx) & (fx == fy),
-            C.START_WITH_PAIR.format(x, y),
-        )
-    if not cfg.three_way_ties_first:
-        expr = expr.when(all3, C.GROUP_ALL_THREE)
-    singles = ((a, fa, fb, fc), (b, fb, fa, fc), (c, fc, fb, fa))
-    for x, fx, fy, fz in singles:
-        expr = expr.when(fx.isNotNull() & (F.least(fx, cf(fy), cf(fz)) == fx), C.START_WITH.format(x))
+        entry = entry.when(a == 7, 7)
+    for m in pairs:
+        entry = entry.when(a.bitwiseAND(m) == m, m)
+    return g.withColumn("_entry", entry.otherwise(a)).drop("_at_first")
+
+
+def funnel_group(cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Column:
+    """Entry group: no brand; only one brand; a pair bought first together;
+    all three; the single earliest brand (needs ``_seen`` / ``_entry``)."""
+    names = cfg.funnel_brands
+    e, seen = F.col("_entry"), F.col("_seen")
+    expr = F.when(e == 0, C.GROUP_NONE).when(e == 7, C.GROUP_ALL_THREE)
+    for i, x in enumerate(names):
+        expr = expr.when((e == _bit(i)) & (seen == _bit(i)), C.ONLY_WITH.format(x))
+        expr = expr.when(e == _bit(i), C.START_WITH.format(x))
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        expr = expr.when(e == (_bit(i) | _bit(j)), C.START_WITH_PAIR.format(names[i], names[j]))
     return expr.otherwise(C.UNSORTED)
 
 
 def switching_status(cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Column:
-    """P5: did the buyer move on to another funnel brand after the entry?"""
-    a, b, c = cfg.funnel_brands
-    fa, fb, fc = _ft(a), _ft(b), _ft(c)
-    g = F.col("Funnel_Group")
-    pair_ab, pair_ac, pair_bc = (C.START_WITH_PAIR.format(*p) for p in ((a, b), (a, c), (b, c)))
-    switcher = (
-        ((g == pair_ab) & fc.isNotNull()) | ((g == pair_ac) & fb.isNotNull()) | ((g == pair_bc) & fa.isNotNull())
-        | ((g == C.START_WITH.format(a)) & (fb.isNotNull() | fc.isNotNull()))
-        | ((g == C.START_WITH.format(b)) & (fa.isNotNull() | fc.isNotNull()))
-        | ((g == C.START_WITH.format(c)) & (fa.isNotNull() | fb.isNotNull()))
-    )
-    non_switcher = (
-        g.isin(*[C.ONLY_WITH.format(x) for x in (a, b, c)])
-        | ((g == pair_ab) & fc.isNull()) | ((g == pair_ac) & fb.isNull()) | ((g == pair_bc) & fa.isNull())
-    )
+    """P5: a buyer who later bought a funnel brand outside the entry set is a
+    switcher; one whose purchases stay inside it is not."""
+    e, seen = F.col("_entry"), F.col("_seen")
     return (
-        F.when(switcher, C.STATUS_SWITCHER)
-        .when(non_switcher, C.STATUS_NON_SWITCHER)
-        .when(g.isin(C.GROUP_ALL_THREE, C.GROUP_NONE, C.UNSORTED), g)
+        F.when(e == 0, C.GROUP_NONE)
+        .when(e == 7, C.GROUP_ALL_THREE)
+        .when(seen != e, C.STATUS_SWITCHER)
+        .otherwise(C.STATUS_NON_SWITCHER)
     )
 
 
 def switching_time(cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Column:
-    """First purchase of a brand outside the entry group (switchers only)."""
-    a, b, c = cfg.funnel_brands
-    fa, fb, fc = _ft(a), _ft(b), _ft(c)
-    g = F.col("Funnel_Group")
-    return (
-        F.when(g == C.START_WITH.format(a), F.least(fb, fc))
-        .when(g == C.START_WITH.format(b), F.least(fc, fa))
-        .when(g == C.START_WITH.format(c), F.least(fb, fa))
-        .when(g == C.START_WITH_PAIR.format(a, b), fc)
-        .when(g == C.START_WITH_PAIR.format(a, c), fb)
-        .when(g == C.START_WITH_PAIR.format(b, c), fa)
-    )
+    """First purchase of a funnel brand outside the entry set."""
+    e = F.col("_entry")
+    outside = [F.when(e.bitwiseAND(_bit(i)) == 0, _ft(b)) for i, b in enumerate(cfg.funnel_brands)]
+    return F.least(*outside)
 
 
 def customer_columns(cfg: LoyaltyConfig = DEFAULT_CONFIG) -> list:

@@ -19,30 +19,35 @@ def brand_measures(cfg: LoyaltyConfig):
     )
 
 
+ORDER_FIELDS = ("Order_Amount", "Order_Status", "Order_Ts", "Buyer_Username")
+
+
 def orders_frame(lines: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
     """Aggregate labelled lines to orders; ``Order_Ts`` is the minute-truncated time.
 
-    One shuffle on ``Order_ID`` (an order has a handful of lines, so no hot
-    key here). The order-level fields repeated on every line are taken
-    with ``max`` so the choice is deterministic; the buyer-less orders all
-    become one pseudo buyer.
+    The order-level fields the export repeats on every line of an order
+    (amount, status, time, buyer) are grouping keys next to ``Order_ID``,
+    so every aggregate buffer is numeric and Spark plans a hash aggregate
+    with map-side combine (a string ``max`` would force a sort-based
+    aggregate over all lines). One shuffle, on the order keys; an order
+    has a handful of lines, so there is no hot key here. Buyer-less
+    orders all become one pseudo buyer.
     """
     brand = F.col("Brand")
     after = F.col("SKU_Subtotal_After_Discount")
     n_cols, s_cols, k_cols = brand_measures(cfg)
-    aggs = [
-        F.max("Order_Amount").alias("Order_Amount"),
-        F.max("Order_Status").alias("Order_Status"),
-        F.max(F.date_trunc("minute", F.col("Created_At"))).alias("Order_Ts"),
-        F.coalesce(F.max("Buyer_Username"), F.lit(cfg.no_username)).alias("Buyer_Username"),
-        F.sum(after).alias("Sum_SKU_Subtotal_After_Discount"),
-    ]
+    aggs = [F.sum(after).alias("Sum_SKU_Subtotal_After_Discount")]
     aggs += [F.count(F.when(brand == b, 1)).alias(n) for (b, _), n in zip(cfg.brands, n_cols)]
     aggs += [F.sum(F.when(brand == b, after)).alias(s) for (b, _), s in zip(cfg.brands, s_cols)]
     aggs += [F.sum(F.when(brand == b, F.col("Pack_Size"))).alias(k) for (b, _), k in zip(cfg.brands, k_cols)]
-    out = lines.groupBy("Order_ID").agg(*aggs)
-    return out.withColumn(
-        "Different_Amount", F.col("Sum_SKU_Subtotal_After_Discount") - F.col("Order_Amount")
+    keyed = lines.withColumn("Order_Ts", F.date_trunc("minute", F.col("Created_At")))
+    out = keyed.groupBy("Order_ID", *ORDER_FIELDS).agg(*aggs)
+    return out.select(
+        "Order_ID", "Order_Amount", "Order_Status", "Order_Ts",
+        F.coalesce(F.col("Buyer_Username"), F.lit(cfg.no_username)).alias("Buyer_Username"),
+        "Sum_SKU_Subtotal_After_Discount",
+        (F.col("Sum_SKU_Subtotal_After_Discount") - F.col("Order_Amount")).alias("Different_Amount"),
+        *n_cols, *s_cols, *k_cols,
     )
 
 

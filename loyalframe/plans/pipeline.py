@@ -24,6 +24,9 @@ from loyalframe.session import ensure_checkpoint_dir
 from loyalframe.sources.adapter import order_lines_from_tables, product_labels_from_tables
 
 
+_GRAPHS: dict = {}
+
+
 class LoyaltyData:
     def __init__(self, lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG):
         self.raw_lines = lines
@@ -32,7 +35,15 @@ class LoyaltyData:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> "LoyaltyData":
-        return cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
+        """Plan graph over the benchmark tables, built once per session and folder.
+
+        DataFrames are immutable plans, so the graph (not data) is shared
+        by every dataset asked for; each action still reads the files.
+        """
+        key = (id(spark), sf_dir, cfg)
+        if key not in _GRAPHS:
+            _GRAPHS[key] = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
+        return _GRAPHS[key]
 
     @cached_property
     def lines(self) -> DataFrame:

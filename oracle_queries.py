@@ -97,13 +97,12 @@ _o_brand = ",\n    ".join(
 )
 ORDERS = f"""
 orders_t AS (
-  SELECT Order_ID, MAX(Order_Amount) AS Order_Amount, MAX(Order_Status) AS Order_Status,
-    MAX(date_trunc('minute', Created_At)) AS Order_Ts,
-    COALESCE(MAX(Buyer_Username), 'No Username') AS Buyer_Username,
+  SELECT Order_ID, Order_Amount, Order_Status, date_trunc('minute', Created_At) AS Order_Ts,
+    COALESCE(Buyer_Username, 'No Username') AS Buyer_Username,
     {isum('SKU_Subtotal_After_Discount')} AS Sum_SKU_Subtotal_After_Discount,
-    {isum('SKU_Subtotal_After_Discount')} - MAX(Order_Amount) AS Different_Amount,
+    {isum('SKU_Subtotal_After_Discount')} - Order_Amount AS Different_Amount,
     {_o_brand}
-  FROM lines GROUP BY Order_ID
+  FROM lines GROUP BY Order_ID, Order_Amount, Order_Status, date_trunc('minute', Created_At), Buyer_Username
 )"""
 
 _sums = ",\n    ".join(f"{isum(c)} AS {c}" for c in N + S + K)
