@@ -42,6 +42,14 @@ STATUS_NON_SWITCHER = "Non-switcher"
 
 ACQ_NEW = "Newly Accquired"
 ACQ_RETURNING = "Return From Previous Month"
+WHOLE_PERIOD = "Toàn kỳ"
+
+# order of the funnel groups in the monthly stack chart
+STACK_ORDER = (
+    "Only with Kinka", "Start with Kinka", "Start with Kinka and Revy", "Start with Kinka and SiMee",
+    "Only with Revy", "Start with Revy", "Start with Revy and SiMee",
+    "Only with SiMee", "Start with SiMee", "Start with all 3 brands",
+)
 
 # a buyer whose first and last order are closer than this many days, with a
 # cancellation among >= 2 orders, is a "Confused One-Time Buyer"

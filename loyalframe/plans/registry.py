@@ -6,13 +6,38 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 
+from loyalframe.config import LoyaltyConfig
 from loyalframe.operators import adhoc, customers, monthly, orders, products, retention, segments, switching
+from loyalframe.operators import feeds_acquisition as fa
+from loyalframe.operators import feeds_funnel as ff
+from loyalframe.operators import feeds_hist as fh
+from loyalframe.operators import feeds_sku as fs
 from loyalframe.operators.labelling import missing_label_ids
 from loyalframe.plans.pipeline import LoyaltyData, present_lines
 
 # parameters of the ad-hoc questions when run over the benchmark tables
 ACTIVE_FROM, ACTIVE_TO = "1996-04-01", "1996-05-01"
 SUBCATEGORY, SUBCATEGORY_MONTH = "MEDIUM/0", "1996-03"
+# chart parameters over the benchmark tables' calendar (1995-2001): the
+# phase ends, report end, SKU targets, fixed histogram window, first month
+PHASE_CONFIG = LoyaltyConfig(phases=(("P1", "1996-12"), ("P2", "1999-06"), ("P3", None)))
+SCOPE_END = "2000-12-31 23:59:59"
+SKU_TARGETS = [("blue rod", "Brand#25"), ("hot gear", "Brand#25"), ("cold bolt", "Brand#5")]
+HIST_FROM, HIST_TO = "1996-01-01", "1996-12-31"
+POWER_FROM = "1996-01"
+
+
+def _acq(d):
+    return segments.pivot_monthly_customers_acquisition(d.monthly, d.cfg)
+
+
+def _fg(d):
+    return switching.switch_total_funnel_group(d.customers)
+
+
+def _mfg(d):
+    return switching.switch_monthly_funnel_group(d.customers)
+
 
 DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     # ingest / joins
@@ -45,4 +70,40 @@ DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     "monthly_funnel": lambda d: adhoc.monthly_funnel(d.monthly, d.customers),
     "subcategory_month_lines": lambda d: present_lines(
         adhoc.subcategory_month_lines(d.lines, SUBCATEGORY, SUBCATEGORY_MONTH)).drop("Month_Year"),
+    # chart feeds over the monthly acquisition summary
+    "revenue_orders_by_month": lambda d: fa.revenue_orders_by_month(_acq(d)),
+    "brand_share_by_month": lambda d: fa.brand_share_by_month(_acq(d), d.cfg),
+    "brand_spend_by_month": lambda d: fa.brand_spend_by_month(_acq(d), d.cfg),
+    "share_by_phase": lambda d: fa.share_by_phase(_acq(d), PHASE_CONFIG),
+    "aov_basket_by_month": lambda d: fa.aov_basket_by_month(_acq(d)),
+    "cancellation_by_month": lambda d: fa.cancellation_by_month(_acq(d)),
+    "acquisition_by_month": lambda d: fa.acquisition_by_month(_acq(d), PHASE_CONFIG),
+    "new_vs_returning": lambda d: fa.new_vs_returning(_acq(d)),
+    "spending_asymmetry": lambda d: fa.spending_asymmetry(_acq(d)),
+    "apv_frequency_ratio": lambda d: fa.apv_frequency_ratio(_acq(d)),
+    "basket_mix": lambda d: fa.basket_mix(_acq(d), d.cfg),
+    "spend_per_head": lambda d: fa.spend_per_head(_acq(d)),
+    "purchasing_power": lambda d: fa.purchasing_power(_acq(d), POWER_FROM),
+    # chart feeds over the funnel tables
+    "funnel_ltv_rank": lambda d: ff.funnel_ltv_rank(_fg(d)),
+    "switcher_weight": lambda d: ff.switcher_weight(_fg(d)),
+    "cross_buy_rate": lambda d: ff.cross_buy_rate(_fg(d), d.cfg),
+    "days_to_switch_rank": lambda d: ff.days_to_switch_rank(_fg(d)),
+    "funnel_cancel_rate": lambda d: ff.funnel_cancel_rate(_fg(d)),
+    "value_map": lambda d: ff.value_map(_fg(d)),
+    "monthly_funnel_stack": lambda d: ff.monthly_funnel_stack(_mfg(d)),
+    "switcher_share_by_month": lambda d: ff.switcher_share_by_month(_mfg(d)),
+    # histograms
+    "first_seen_hist": lambda d: fh.first_seen_hist(d.monthly),
+    "first_seen_hist_by_month": lambda d: fh.first_seen_hist_by_month(d.monthly),
+    # per-SKU series
+    "sku_weekly_price": lambda d: fs.sku_weekly_price(d.lines, SCOPE_END),
+    "sku_weekly_units": lambda d: fs.sku_weekly_units(d.lines, SKU_TARGETS, SCOPE_END),
+    "sku_weekly_line_counts": lambda d: fs.sku_weekly_line_counts(d.lines, SKU_TARGETS, HIST_FROM, HIST_TO),
+    "sku_weekly_quantity": lambda d: fs.sku_quantity(d.lines, SKU_TARGETS, "W"),
+    "sku_daily_quantity": lambda d: fs.sku_quantity(d.lines, SKU_TARGETS, "D"),
+    "sku_weekly_mean_subtotal": lambda d: fs.sku_weekly_mean(d.lines, SKU_TARGETS, "subtotal"),
+    "sku_weekly_mean_price": lambda d: fs.sku_weekly_mean(d.lines, SKU_TARGETS, "original_price"),
+    "sku_weekly_mean_after_seller": lambda d: fs.sku_weekly_mean(d.lines, SKU_TARGETS, "after_seller"),
+    "sku_daily_price_range": lambda d: fs.sku_daily_price_range(d.lines, SKU_TARGETS),
 }

@@ -289,7 +289,7 @@ PIVOT_LOYALTY = q(
     ) + "\nFROM cust GROUP BY Loyalty_Tier"
 )
 
-PIVOT_ACQ = q(
+ACQ_SELECT = (
     "SELECT " + _segment(
         "Order_Month, Acquisition_Type", "PARTITION BY Order_Month",
         "CAST(SUM(Retention_Minutes) AS DOUBLE) / CAST(NULLIF(COUNT(Retention_Minutes) * 1440, 0) AS DOUBLE)"
@@ -297,6 +297,7 @@ PIVOT_ACQ = q(
         f"{rdiv('SUM(Num_of_Orders)', 'COUNT(*)', 2)} AS Buying_Frequency", True,
     ) + "\nFROM mon GROUP BY Order_Month, Acquisition_Type"
 )
+PIVOT_ACQ = q(ACQ_SELECT)
 
 _FUNNEL_MEASURES = ",\n  ".join([
     "COUNT(Buyer_Username) AS Num_Of_Customers",
@@ -310,6 +311,11 @@ _FUNNEL_MEASURES = ",\n  ".join([
     " AS Avg_Days_Between_Noncanceled_Purchases",
 ])
 
+FG_SELECT = ("SELECT Funnel_Group, MAX(Switching_Status) AS Switching_Status, MAX(Loyalty_Tier) AS Loyalty_Tier,\n  "
+             + _FUNNEL_MEASURES + "\nFROM cust WHERE Loyalty_Tier = 'Regular / Loyal' GROUP BY Funnel_Group")
+MFG_SELECT = (f"SELECT {month('First_Seen_Ts')} AS Month, Funnel_Group, COUNT(*) AS Num_of_Customers "
+              "FROM cust WHERE Loyalty_Tier = 'Regular / Loyal' GROUP BY 1, 2")
+
 _PRODUCT_NG = "lines WHERE Category <> 'Quà tặng'"
 _sub = """(SELECT {month} AS Month_Year, Product_SKU_Name, Category, Product_Variant{extra}
     FROM lines WHERE Category <> 'Quà tặng'{cond}
@@ -369,15 +375,11 @@ ORACLE_SQL: dict[str, str] = {
     "switch_monthly_switching_status_loyal": q(
         f"SELECT {month('First_Seen_Ts')} AS Month, Switching_Status, COUNT(Buyer_Username) AS Num_of_Customers "
         "FROM cust WHERE Loyalty_Tier = 'Regular / Loyal' GROUP BY 1, 2"),
-    "switch_total_funnel_group": q(
-        "SELECT Funnel_Group, MAX(Switching_Status) AS Switching_Status, MAX(Loyalty_Tier) AS Loyalty_Tier,\n  "
-        + _FUNNEL_MEASURES + "\nFROM cust WHERE Loyalty_Tier = 'Regular / Loyal' GROUP BY Funnel_Group"),
+    "switch_total_funnel_group": q(FG_SELECT),
     "switch_total_funnel_group_by_status": q(
         "SELECT Funnel_Group, Switching_Status, MAX(Loyalty_Tier) AS Loyalty_Tier,\n  "
         + _FUNNEL_MEASURES + "\nFROM cust WHERE Loyalty_Tier = 'Regular / Loyal' GROUP BY Funnel_Group, Switching_Status"),
-    "switch_monthly_funnel_group": q(
-        f"SELECT {month('First_Seen_Ts')} AS Month, Funnel_Group, COUNT(*) AS Num_of_Customers "
-        "FROM cust WHERE Loyalty_Tier = 'Regular / Loyal' GROUP BY 1, 2"),
+    "switch_monthly_funnel_group": q(MFG_SELECT),
     "switch_monthly_funnel_group_switcher": q(
         f"SELECT {month('First_Seen_Ts')} AS Month, Funnel_Group, COUNT(*) AS Num_of_Customers "
         "FROM cust WHERE Loyalty_Tier = 'Regular / Loyal' AND Switching_Status = 'Switcher' GROUP BY 1, 2"),
@@ -428,3 +430,219 @@ LEFT JOIN (SELECT {month('Switching_Ts')} AS Month, COUNT(Buyer_Username) AS Swi
     "subcategory_month_lines": q(
         f"SELECT {LINE_COLS} FROM lines WHERE Sub_category = 'MEDIUM/0' AND {month('Created_At')} = '1996-03'"),
 }
+
+# ---------------------------------------------------------------- chart feeds
+FEED_BASE = (BASE + ",\nacq AS (" + ACQ_SELECT + "),\n"
+             "acqk AS (SELECT *, CASE WHEN lower(Acquisition_Type) LIKE '%return%' THEN 'ret' ELSE 'new' END AS kind"
+             " FROM acq),\nfg AS (" + FG_SELECT + "),\nmfg AS (" + MFG_SELECT + ")")
+
+
+def f(body: str) -> str:
+    return FEED_BASE + "\n" + body
+
+
+def fdiv(a: str, b: str) -> str:
+    return f"(CAST(({a}) AS DOUBLE) / CAST(NULLIF(({b}), 0) AS DOUBLE))"
+
+
+def of(kind: str, c: str) -> str:
+    return f"MAX(CASE WHEN kind = '{kind}' THEN {c} END)"
+
+
+PHASE = "CASE WHEN Order_Month <= '1996-12' THEN 'P1' WHEN Order_Month <= '1999-06' THEN 'P2' ELSE 'P3' END"
+ACTIVE = "HAVING SUM(Total_Customer_Spending) > 0"
+SKUS = [("blue rod", "Brand#25"), ("hot gear", "Brand#25"), ("cold bolt", "Brand#5")]
+NAMES = [n for n, _ in SKUS]
+IN_SKUS = "(" + " OR ".join(f"(Product_SKU_Name = '{n}' AND Product_Variant = '{v}')" for n, v in SKUS) + ")"
+
+
+def wk(ts: str, day: str) -> str:
+    target = 8 if day == "MON" else 7
+    return f"(CAST({ts} AS DATE) + CAST(({target} - isodow({ts})) % 7 AS INTEGER))"
+
+
+_u = [f"COALESCE({isum(n)}, 0)" for n in N]
+_s = [f"COALESCE({isum(x)}, 0)" for x in S]
+_n = "COALESCE(Num_Of_Customers, 0)"
+_ltv = "COALESCE(Avg_Customer_Value, 0.0)"
+_sw = "lower(COALESCE(Switching_Status, '')) = 'switcher'"
+_stack = ["Only with Kinka", "Start with Kinka", "Start with Kinka and Revy", "Start with Kinka and SiMee",
+          "Only with Revy", "Start with Revy", "Start with Revy and SiMee", "Only with SiMee", "Start with SiMee",
+          "Start with all 3 brands"]
+_after_seller = ("CASE WHEN Quantity <> 0 THEN CAST(SKU_Unit_Original_Price * Quantity - SKU_Seller_Discount AS DOUBLE)"
+                 " / CAST(Quantity AS DOUBLE) END")
+_xmin = "date_diff('minute', TIMESTAMP '1970-01-01 00:00:00', Lifetime_First_Seen_Ts)"
+_ret = ("(SELECT Order_Month, " + _xmin + " AS x FROM mon WHERE Acquisition_Type = 'Return From Previous Month'"
+        " AND Lifetime_First_Seen_Ts IS NOT NULL AND Order_Month IS NOT NULL)")
+
+
+def _mtext(m: str) -> str:
+    return minute(f"(TIMESTAMP '1970-01-01 00:00:00' + to_minutes(CAST({m} AS BIGINT)))")
+
+
+def _hist(lo: str, hi: str, bins: int) -> tuple[str, str, str]:
+    lo2 = f"(CASE WHEN {lo} = {hi} THEN {lo} - 720 ELSE {lo} END)"
+    hi2 = f"(CASE WHEN {lo} = {hi} THEN {hi} + 720 ELSE {hi} END)"
+    return f"least((x - {lo2}) * {bins} // ({hi2} - {lo2}), {bins - 1})", lo2, hi2
+
+
+_b60, _lo60, _hi60 = _hist("(SELECT MIN(x) FROM r)", "(SELECT MAX(x) FROM r)", 60)
+_b15, _lo15, _hi15 = _hist("lo", "hi", 15)
+_edges_first, _edges_last, _k = "1996-01-07", "1996-12-29", 51
+
+ORACLE_SQL.update({
+    "revenue_orders_by_month": f(f"""
+SELECT Order_Month,
+  COALESCE({isum("CASE WHEN kind = 'new' THEN Total_Customer_Spending END")}, 0) AS New_Spending,
+  COALESCE({isum("CASE WHEN kind = 'ret' THEN Total_Customer_Spending END")}, 0) AS Returning_Spending,
+  {isum('Num_of_Orders')} AS Num_of_Orders
+FROM acqk GROUP BY Order_Month {ACTIVE}"""),
+    "brand_share_by_month": f(f"""
+SELECT Order_Month, {", ".join(f"COALESCE({fdiv(u, ' + '.join(_u))} * 100.0::DOUBLE, 0.0) AS Units_Pct_{x}"
+                               for u, x in zip(_u, SFX))},
+  {", ".join(f"COALESCE({fdiv(v, ' + '.join(_s))} * 100.0::DOUBLE, 0.0) AS Spend_Pct_{x}" for v, x in zip(_s, SFX))}
+FROM acq GROUP BY Order_Month {ACTIVE}"""),
+    "brand_spend_by_month": f(f"""
+SELECT Order_Month, {", ".join(f"{v} AS Spend_{x}" for v, x in zip(_s, SFX))}, {" + ".join(_s)} AS Total_Spend
+FROM acq GROUP BY Order_Month {ACTIVE}"""),
+    "share_by_phase": f(f"""
+SELECT CASE WHEN GROUPING(Phase) = 1 THEN 'Toàn kỳ' ELSE Phase END AS Phase,
+  COALESCE({isum("CASE WHEN kind = 'new' THEN Num_Of_Customers END")}, 0) AS New_Customers,
+  COALESCE({isum("CASE WHEN kind = 'ret' THEN Num_Of_Customers END")}, 0) AS Returning_Customers,
+  {fdiv("COALESCE(SUM(CASE WHEN kind = 'new' THEN Num_Of_Customers END), 0)", "COALESCE(SUM(CASE WHEN kind = 'new' THEN Num_Of_Customers END), 0) + COALESCE(SUM(CASE WHEN kind = 'ret' THEN Num_Of_Customers END), 0)")} * 100.0::DOUBLE AS Pct_New,
+  {fdiv("COALESCE(SUM(CASE WHEN kind = 'ret' THEN Num_Of_Customers END), 0)", "COALESCE(SUM(CASE WHEN kind = 'new' THEN Num_Of_Customers END), 0) + COALESCE(SUM(CASE WHEN kind = 'ret' THEN Num_Of_Customers END), 0)")} * 100.0::DOUBLE AS Pct_Returning
+FROM (SELECT *, {PHASE} AS Phase FROM acqk) a GROUP BY ROLLUP (Phase)"""),
+    "aov_basket_by_month": f(f"""
+SELECT Order_Month, {of('new', 'Average_Purchase_Value')} AS New_APV, {of('ret', 'Average_Purchase_Value')} AS Returning_APV,
+  {of('new', 'Avg_Basket_Size')} AS New_Basket_Size, {of('ret', 'Avg_Basket_Size')} AS Returning_Basket_Size
+FROM acqk GROUP BY Order_Month {ACTIVE}"""),
+    "cancellation_by_month": f(f"""
+SELECT Order_Month, {of('new', 'Cancellation_Rate')} AS New_Cancellation_Rate,
+  {of('ret', 'Cancellation_Rate')} AS Returning_Cancellation_Rate
+FROM acqk GROUP BY Order_Month {ACTIVE}"""),
+    "acquisition_by_month": f(f"""
+SELECT Order_Month, {of('new', 'Num_Of_Customers')} AS New_Customers, {PHASE} AS Phase FROM acqk GROUP BY Order_Month"""),
+    "new_vs_returning": f(f"""
+SELECT Order_Month, {of('new', 'Num_Of_Customers')} AS New_Customers, {of('ret', 'Num_Of_Customers')} AS Returning_Customers
+FROM acqk GROUP BY Order_Month"""),
+    "spending_asymmetry": f(f"""
+SELECT Order_Month, Pct_Num_Of_Customers, Pct_Total_Customer_Spending,
+  {fdiv('Pct_Total_Customer_Spending', 'Pct_Num_Of_Customers')} AS Spend_Multiple
+FROM acqk WHERE kind = 'ret' AND Pct_Total_Customer_Spending IS NOT NULL"""),
+    "apv_frequency_ratio": f(f"""
+SELECT Order_Month, APV_Ratio, Frequency_Ratio, Frequency_Ratio > APV_Ratio AS Frequency_Is_Larger_Lever FROM (
+  SELECT Order_Month, {fdiv(of('ret', 'Average_Purchase_Value'), of('new', 'Average_Purchase_Value'))} AS APV_Ratio,
+    {fdiv(of('ret', 'Buying_Frequency'), of('new', 'Buying_Frequency'))} AS Frequency_Ratio
+  FROM acqk GROUP BY Order_Month HAVING {of('ret', 'Average_Purchase_Value')} IS NOT NULL) x"""),
+    "basket_mix": f("""
+SELECT Order_Month, kind AS Kind, COALESCE(Basket_Pct_Kinka_Products, 0.0) AS Pct_Kinka,
+  COALESCE(Basket_Pct_Revy_Products, 0.0) AS Pct_Revy, COALESCE(Basket_Pct_SiMee_Products, 0.0) AS Pct_SiMee,
+  100.0::DOUBLE - (((0.0::DOUBLE + COALESCE(Basket_Pct_Kinka_Products, 0.0)) + COALESCE(Basket_Pct_Revy_Products, 0.0))
+    + COALESCE(Basket_Pct_SiMee_Products, 0.0)) AS Pct_Other
+FROM acqk"""),
+    "spend_per_head": f(f"""
+SELECT Order_Month, Acquisition_Type, {fdiv('Total_Customer_Spending', 'Num_Of_Customers')} AS Spend_Per_Head FROM acq"""),
+    "purchasing_power": f(f"""
+SELECT Order_Month, {fdiv('ps_n', 'pc_n')} AS Efficiency_New, {fdiv('ps_r', 'pc_r')} AS Efficiency_Returning,
+  {fdiv('apv_r', 'apv_n')} AS APV_Ratio, {fdiv('f_r', 'f_n')} AS Frequency_Ratio,
+  CAST(apv_n AS DOUBLE) * f_n AS Power_New, CAST(apv_r AS DOUBLE) * f_r AS Power_Returning,
+  {fdiv('CAST(apv_r AS DOUBLE) * f_r', 'CAST(apv_n AS DOUBLE) * f_n')} AS Power_Ratio
+FROM (SELECT Order_Month, {of('new', 'Pct_Total_Customer_Spending')} AS ps_n, {of('new', 'Pct_Num_Of_Customers')} AS pc_n,
+        {of('ret', 'Pct_Total_Customer_Spending')} AS ps_r, {of('ret', 'Pct_Num_Of_Customers')} AS pc_r,
+        {of('new', 'Average_Purchase_Value')} AS apv_n, {of('ret', 'Average_Purchase_Value')} AS apv_r,
+        {of('new', 'Buying_Frequency')} AS f_n, {of('ret', 'Buying_Frequency')} AS f_r
+      FROM acqk WHERE Order_Month >= '1996-01' GROUP BY Order_Month
+      HAVING COUNT(CASE WHEN kind = 'new' THEN 1 END) > 0 AND COUNT(CASE WHEN kind = 'ret' THEN 1 END) > 0) p"""),
+    # funnel feeds
+    "funnel_ltv_rank": f(f"""
+SELECT Funnel_Group, {_n} AS Num_Of_Customers, {_ltv} AS Avg_Customer_Value, {_n} * {_ltv} AS Total_Value,
+  ROW_NUMBER() OVER (ORDER BY {_ltv}, Funnel_Group) AS Ltv_Rank FROM fg"""),
+    "switcher_weight": f(f"""
+SELECT *, {fdiv('Switcher_Customers', 'Switcher_Customers + Other_Customers')} * 100.0::DOUBLE AS Switcher_Pct_Customers,
+  {fdiv('Switcher_Value', 'Switcher_Value + Other_Value')} * 100.0::DOUBLE AS Switcher_Pct_Value,
+  {fdiv(fdiv('Switcher_Value', 'Switcher_Customers'), fdiv('Other_Value', 'Other_Customers'))} AS Value_Per_Head_Ratio
+FROM (SELECT {isum(f"CASE WHEN {_sw} THEN {_n} ELSE 0 END")} AS Switcher_Customers,
+        {isum(f"CASE WHEN NOT ({_sw}) THEN {_n} ELSE 0 END")} AS Other_Customers,
+        SUM(CASE WHEN {_sw} THEN {_n} * {_ltv} ELSE 0.0 END) AS Switcher_Value,
+        SUM(CASE WHEN NOT ({_sw}) THEN {_n} * {_ltv} ELSE 0.0 END) AS Other_Value FROM fg) t"""),
+    "cross_buy_rate": f("SELECT *, CASE WHEN Only_Customers + Start_Customers <> 0 THEN "
+                        + fdiv("Start_Customers", "Only_Customers + Start_Customers")
+                        + " * 100.0::DOUBLE ELSE 0.0 END AS Cross_Buy_Rate FROM (\n" + "\nUNION ALL\n".join(
+                            f"SELECT '{b}' AS Brand, COALESCE({isum(f'CASE WHEN Funnel_Group = {chr(39)}Only with {b}{chr(39)} THEN {_n} END')}, 0) AS Only_Customers, "
+                            f"COALESCE({isum(f'CASE WHEN Funnel_Group = {chr(39)}Start with {b}{chr(39)} THEN {_n} END')}, 0) AS Start_Customers FROM fg"
+                            for b in ("Kinka", "Revy", "SiMee")) + ") x"),
+    "days_to_switch_rank": f("""
+SELECT Funnel_Group, Avg_Days_To_Switch, ROW_NUMBER() OVER (ORDER BY Avg_Days_To_Switch, Funnel_Group) AS Switch_Rank
+FROM fg WHERE Avg_Days_To_Switch IS NOT NULL"""),
+    "funnel_cancel_rate": f("""
+SELECT Funnel_Group, Cancel_Rate, ROW_NUMBER() OVER (ORDER BY Cancel_Rate, Funnel_Group) AS Cancel_Rank FROM (
+  SELECT Funnel_Group, CASE WHEN COALESCE(Avg_Num_Of_Orders, 0.0) <> 0
+    THEN (COALESCE(Avg_Num_of_Canceled_Orders, 0.0) / COALESCE(Avg_Num_Of_Orders, 0.0)) * 100.0::DOUBLE ELSE 0.0 END
+    AS Cancel_Rate FROM fg) x"""),
+    "value_map": f(f"""
+SELECT Funnel_Group, {_n} AS Num_Of_Customers, {_ltv} AS Avg_Customer_Value,
+  COALESCE(Avg_Num_Of_Orders, 0.0) AS Avg_Num_Of_Orders,
+  {fdiv(f'SUM({_n} * {_ltv}) OVER ()', f'SUM({_n}) OVER ()')} AS Weighted_Avg_Customer_Value FROM fg"""),
+    "monthly_funnel_stack": f("SELECT *, " + " + ".join(f'"{g}"' for g in _stack) + " AS Total FROM (SELECT Month, "
+                              + ", ".join(f"""COALESCE({isum(f"CASE WHEN Funnel_Group = '{g}' THEN Num_of_Customers END")}, 0) AS "{g}\""""
+                                          for g in _stack) + " FROM mfg GROUP BY Month) x"),
+    "switcher_share_by_month": f(f"""
+SELECT Month, Cohort_Size, CASE WHEN Cohort_Size <> 0 THEN {fdiv('sw', 'Cohort_Size')} * 100.0::DOUBLE ELSE 0.0 END
+  AS Switcher_Share, DENSE_RANK() OVER (ORDER BY Month DESC) <= 2 AS Censored
+FROM (SELECT Month, {isum('Num_of_Customers')} AS Cohort_Size,
+        {isum("CASE WHEN Funnel_Group LIKE 'Start%' THEN Num_of_Customers ELSE 0 END")} AS sw
+      FROM mfg WHERE Funnel_Group IN ({", ".join(f"'{g}'" for g in _stack)}) GROUP BY Month) x"""),
+    # histograms
+    "first_seen_hist": f(f""", r AS {_ret}
+SELECT Order_Month, {_b60} AS Bin, COUNT(*) AS Num_Customers, {_mtext(_lo60)} AS Range_Start, {_mtext(_hi60)} AS Range_End
+FROM r GROUP BY 1, 2""".replace("\n, r AS", ", r AS", 1)),
+    "first_seen_hist_by_month": f(f""", r AS {_ret}
+SELECT Order_Month, {_b15} AS Bin, {_mtext(_lo15)} AS Range_Start, {_mtext(_hi15)} AS Range_End, COUNT(*) AS Num_Customers
+FROM (SELECT r.*, g.lo, g.hi FROM r JOIN (SELECT Order_Month, MIN(x) AS lo, MAX(x) AS hi FROM r GROUP BY 1) g
+      USING (Order_Month)) j GROUP BY 1, 2, 3, 4"""),
+    # per-SKU series
+    "sku_weekly_price": f(f""", w AS (
+  SELECT Product_SKU_Name, Product_Variant, {wk('Created_At', 'MON')} AS Week,
+    AVG(SKU_Unit_Original_Price) AS Avg_Original_Price, AVG({_after_seller}) AS Avg_After_Seller_Discount,
+    AVG(CASE WHEN Quantity <> 0 THEN CAST(Order_Amount AS DOUBLE) / CAST(Quantity AS DOUBLE) END) AS Avg_Customer_Paid
+  FROM lines WHERE Created_At IS NOT NULL AND Created_At <= TIMESTAMP '2000-12-31 23:59:59'
+    AND SKU_Unit_Original_Price > 0 AND Product_SKU_Name IS NOT NULL AND Product_Variant IS NOT NULL
+  GROUP BY 1, 2, 3),
+weeks AS (SELECT Product_SKU_Name, Product_Variant,
+    CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS Week
+  FROM (SELECT Product_SKU_Name, Product_Variant, MIN(Week) AS a, MAX(Week) AS b FROM w GROUP BY 1, 2) s)
+SELECT weeks.Product_SKU_Name, weeks.Product_Variant, weeks.Week, w.Avg_Original_Price, w.Avg_After_Seller_Discount,
+  w.Avg_Customer_Paid
+FROM weeks LEFT JOIN w ON weeks.Product_SKU_Name = w.Product_SKU_Name AND weeks.Product_Variant = w.Product_Variant
+  AND weeks.Week = w.Week""".replace("\n, w AS", ", w AS", 1)),
+    "sku_weekly_units": f("SELECT * FROM (SELECT " + wk("Created_At", "MON") + " AS Week, " + ", ".join(
+        f"""COALESCE({isum(f"CASE WHEN Product_SKU_Name = '{n}' THEN Quantity END")}, 0) AS "{n}\"""" for n in NAMES)
+        + f" FROM lines WHERE Created_At IS NOT NULL AND Created_At <= TIMESTAMP '2000-12-31 23:59:59' AND {IN_SKUS}"
+        " GROUP BY 1) x WHERE " + " + ".join(f'"{n}"' for n in NAMES) + " > 0"),
+    "sku_weekly_line_counts": f(f"""
+SELECT Product_SKU_Name, Product_Variant, Bin, COUNT(*) AS Num_Lines,
+  CAST(DATE '{_edges_first}' + CAST(Bin * 7 AS INTEGER) AS DATE) AS Bin_Start
+FROM (SELECT *, least(date_diff('second', TIMESTAMP '{_edges_first} 00:00:00', Created_At) // 604800, {_k - 1}) AS Bin
+      FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS}
+        AND Created_At >= TIMESTAMP '{_edges_first} 00:00:00' AND Created_At <= TIMESTAMP '{_edges_last} 00:00:00') x
+GROUP BY 1, 2, 3"""),
+    "sku_weekly_quantity": f("SELECT " + wk("Created_At", "SUN") + " AS Period, " + ", ".join(
+        f"""COALESCE({isum(f"CASE WHEN Product_SKU_Name = '{n}' THEN Quantity END")}, 0) AS "{n}\"""" for n in NAMES)
+        + f" FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1"),
+    "sku_daily_quantity": f("SELECT CAST(Created_At AS DATE) AS Period, " + ", ".join(
+        f"""COALESCE({isum(f"CASE WHEN Product_SKU_Name = '{n}' THEN Quantity END")}, 0) AS "{n}\"""" for n in NAMES)
+        + f" FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1"),
+    "sku_weekly_mean_subtotal": f("SELECT " + wk("Created_At", "SUN") + " AS Week, " + ", ".join(
+        f"""AVG(CASE WHEN Product_SKU_Name = '{n}' THEN SKU_Subtotal_After_Discount END) AS "{n}\"""" for n in NAMES)
+        + f" FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1"),
+    "sku_weekly_mean_price": f("SELECT " + wk("Created_At", "SUN") + " AS Week, " + ", ".join(
+        f"""AVG(CASE WHEN Product_SKU_Name = '{n}' THEN SKU_Unit_Original_Price END) AS "{n}\"""" for n in NAMES)
+        + f" FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1"),
+    "sku_weekly_mean_after_seller": f("SELECT " + wk("Created_At", "SUN") + " AS Week, " + ", ".join(
+        f"""AVG(CASE WHEN Product_SKU_Name = '{n}' THEN greatest({_after_seller}, 0.0) END) AS "{n}\"""" for n in NAMES)
+        + f" FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1"),
+    "sku_daily_price_range": f(f"""
+SELECT CAST(Created_At AS DATE) AS Day, Product_SKU_Name, MIN(SKU_Subtotal_After_Discount) AS Min_Subtotal,
+  MAX(SKU_Subtotal_After_Discount) AS Max_Subtotal, AVG(SKU_Subtotal_After_Discount) AS Mean_Subtotal
+FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1, 2 HAVING AVG(SKU_Subtotal_After_Discount) IS NOT NULL"""),
+})
