@@ -96,6 +96,7 @@ def named_buyer_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("Buyer_Username") != F.lit(""))
 
 
-def prepared_lines(lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
+def prepared_lines(lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG,
+                   dedupe: bool = True) -> DataFrame:
     """Labelled, gift-flagged order lines — the input of every dataset."""
-    return flag_gifts(label_order_lines(lines, labels), cfg)
+    return flag_gifts(label_order_lines(lines, labels, dedupe=dedupe), cfg)

@@ -14,6 +14,7 @@ from loyalframe.operators import feeds_hist as fh
 from loyalframe.operators import feeds_sku as fs
 from loyalframe.operators.labelling import missing_label_ids
 from loyalframe.plans.pipeline import LoyaltyData, present_lines
+from loyalframe.sources.sinks import row_counts
 
 # parameters of the ad-hoc questions when run over the benchmark tables
 ACTIVE_FROM, ACTIVE_TO = "1996-04-01", "1996-05-01"
@@ -107,3 +108,9 @@ DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     "sku_weekly_mean_after_seller": lambda d: fs.sku_weekly_mean(d.lines, SKU_TARGETS, "after_seller"),
     "sku_daily_price_range": lambda d: fs.sku_daily_price_range(d.lines, SKU_TARGETS),
 }
+
+# The row counts the shop's pipeline reports after each step
+COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "total_customers_data",
+           "pivot_loyalty_tier", "monthly_customers_data", "pivot_monthly_customers_acquisition",
+           "pivot_monthly_products", "monthly_retention_rate")
+DATASETS["row_counts"] = lambda d: row_counts({n: DATASETS[n](d) for n in COUNTED})

@@ -21,6 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than there are cores.
+
+    A parquet split cannot cut a row group, so a file written as one big
+    row group scans as one task and everything up to the first shuffle
+    would run on one core. Many files / row groups (the normal case on a
+    cluster) give enough partitions already and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _money(c) -> F.Column:
     return F.round(c * 100).cast("bigint")
 
@@ -32,9 +46,9 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     only while it is under the broadcast threshold and sort-merges
     otherwise (lineitem and orders are both large at scale).
     """
-    l = _table(spark, sf_dir, "lineitem").select(
+    l = spread(_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
-    )
+    ))
     o = _table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )

@@ -1 +1 @@
-
+from loyalframe.streaming.ingest import order_line_stream, start_order_line_ingest  # noqa: F401

@@ -646,3 +646,9 @@ SELECT CAST(Created_At AS DATE) AS Day, Product_SKU_Name, MIN(SKU_Subtotal_After
   MAX(SKU_Subtotal_After_Discount) AS Max_Subtotal, AVG(SKU_Subtotal_After_Discount) AS Mean_Subtotal
 FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1, 2 HAVING AVG(SKU_Subtotal_After_Discount) IS NOT NULL"""),
 })
+
+_COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "total_customers_data",
+            "pivot_loyalty_tier", "monthly_customers_data", "pivot_monthly_customers_acquisition",
+            "pivot_monthly_products", "monthly_retention_rate")
+ORACLE_SQL["row_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS Dataset, COUNT(*) AS Num_Rows FROM ({ORACLE_SQL[n]}) t" for n in _COUNTED)
