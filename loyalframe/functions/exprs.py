@@ -8,6 +8,8 @@ never on a double that has already lost digits, so a share such as
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
@@ -21,11 +23,34 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _q(x: str) -> str:
+    """A column name as a SQL identifier; other SQL text passes through."""
+    return f"`{x}`" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", x) else f"({x})"
+
+
 def idiv(a, b) -> Column:
     """Integer division truncating toward zero; NULL when ``b`` is 0."""
+    if isinstance(a, str) and isinstance(b, str):
+        return F.expr(f"{_q(a)} div nullif({_q(b)}, 0)")
     return F.call_function("div", col(a), F.nullif(col(b), F.lit(0)))
 
 
+def round_div_sql(num: str, den: str, scale: int = 2, half_even: bool = False) -> str:
+    """SQL text of :func:`round_div` for column names / SQL snippets."""
+    p = f"cast({_q(num)} as {_EXACT})"
+    q = f"nullif(cast({_q(den)} as {_EXACT}), 0)"
+    k = 10**scale
+    if half_even:
+        n = f"({p} * {k})"
+        base = f"({n} div {q})"
+        rem2 = f"(({n} - {base} * {q}) * 2)"
+        r = f"({base} + CASE WHEN {rem2} > {q} OR ({rem2} = {q} AND {base} % 2 = 1) THEN 1 ELSE 0 END)"
+    else:
+        mag = f"((abs({p}) * {2 * k} + {q}) div ({q} * 2))"
+        r = f"(CASE WHEN {p} < 0 THEN -{mag} ELSE {mag} END)"
+    return f"({r} / {float(k)!r}D)"
+
+
 def _half_up(p: Column, q: Column, scale: int) -> Column:
     # round(p / q, scale) half away from zero, q > 0, exact
     two_k = 2 * 10**scale
@@ -45,10 +70,13 @@ def _half_even(p: Column, q: Column, scale: int) -> Column:
 def round_div(num, den, scale: int = 2, half_even: bool = False) -> Column:
     """``round(num / den, scale)`` computed exactly, as a double; NULL if den is 0.
 
-    ``num`` and ``den`` must be integral (long or decimal(x,0)) columns.
-    Half away from zero by default (SQL ROUND); ``half_even`` for the
-    banker's rounding Python's ``round`` applies.
+    ``num`` and ``den`` must be integral (long or decimal(x,0)): column
+    names / SQL text (built as one SQL expression) or Columns. Half away
+    from zero by default (SQL ROUND); ``half_even`` for the banker's
+    rounding Python's ``round`` applies.
     """
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(round_div_sql(num, den, scale, half_even))
     p = col(num).cast(_EXACT)
     q = F.nullif(col(den).cast(_EXACT), F.lit(0))
     r = _half_even(p, q, scale) if half_even else _half_up(p, q, scale)
@@ -57,6 +85,8 @@ def round_div(num, den, scale: int = 2, half_even: bool = False) -> Column:
 
 def pct(num, den, scale: int = 2, half_even: bool = False) -> Column:
     """``round(num * 100 / den, scale)``; NULL when ``den`` is 0."""
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(round_div_sql(f"cast({_q(num)} as {_EXACT}) * 100", den, scale, half_even))
     return round_div(col(num).cast(_EXACT) * 100, den, scale, half_even)
 
 
@@ -68,6 +98,8 @@ def ratio(a, b, a_type, b_type, truncate: bool = True) -> Column:
     """
     if integer_rule(a_type, b_type, truncate):
         return idiv(a, b)
+    if isinstance(a, str) and isinstance(b, str):
+        return F.expr(f"try_divide(cast({_q(a)} as double), cast({_q(b)} as double))")
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
@@ -80,6 +112,8 @@ def integer_rule(a_type, b_type, truncate: bool = True) -> bool:
 
 def minutes_between(later, earlier) -> Column:
     """Whole minutes between two minute-truncated timestamps."""
+    if isinstance(later, str) and isinstance(earlier, str):
+        return F.expr(f"(unix_timestamp({_q(later)}) - unix_timestamp({_q(earlier)})) div 60")
     return F.call_function(
         "div", F.unix_timestamp(col(later)) - F.unix_timestamp(col(earlier)), F.lit(60)
     )

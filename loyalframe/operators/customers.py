@@ -61,8 +61,8 @@ def customers_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> D
     g = g.withColumns({"Funnel_Group": funnel_group(cfg), "Switching_Status": switching_status(cfg)})
     g = g.withColumn("Switching_Ts", F.when(F.col("Switching_Status") == C.STATUS_SWITCHER,
                                             switching_time(cfg)))
-    sw_min = minutes_between("Switching_Ts", "First_Seen_Ts")
-    return g.withColumn("Days_To_Switch", round_div(sw_min, F.lit(1440), 2))
+    sw_min = "(unix_timestamp(Switching_Ts) - unix_timestamp(First_Seen_Ts)) div 60"
+    return g.withColumn("Days_To_Switch", round_div(sw_min, "1440", 2))
 
 
 def loyalty_tier(cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Column:

@@ -43,7 +43,8 @@ def monthly_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Dat
         "Basket_Total_Num_Products": total,
     })
     first, life = F.col("First_Seen_In_Month_Ts"), F.col("Lifetime_First_Seen_Ts")
-    start = F.when(first.isNotNull() & life.isNotNull(), F.least(first, life))
+    start = ("CASE WHEN First_Seen_In_Month_Ts IS NOT NULL AND Lifetime_First_Seen_Ts IS NOT NULL"
+             " THEN least(First_Seen_In_Month_Ts, Lifetime_First_Seen_Ts) END")
     g = g.withColumns({
         "Avg_Basket_Size": round_div("Basket_Total_Num_Products", "Num_of_Orders", 2),
         "Retention_Minutes": minutes_between("Last_Seen_In_Month_Ts", start),

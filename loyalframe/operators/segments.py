@@ -9,7 +9,7 @@ denominators are window sums over the already aggregated segment rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
@@ -55,13 +55,12 @@ def _summary(frame: DataFrame, keys: list, share_by: list, cfg: LoyaltyConfig) -
     n_cols, s_cols, k_cols = brand_measures(cfg)
     g = frame.groupBy(*keys).agg(*_segment_aggs(cfg))
     t = {f.name: f.dataType for f in g.schema.fields}
-    w = Window.partitionBy(*share_by)
+    over = f"OVER (PARTITION BY {', '.join(share_by)})" if share_by else "OVER ()"
     total = sum((F.col(c) for c in n_cols[1:]), F.col(n_cols[0]))
     g = g.withColumns({
-        "Pct_Num_Of_Customers": pct("Num_Of_Customers", F.sum("Num_Of_Customers").over(w), 2),
+        "Pct_Num_Of_Customers": pct("Num_Of_Customers", f"sum(Num_Of_Customers) {over}", 2),
         "Pct_Total_Customer_Spending": pct(
-            "Total_Customer_Spending",
-            F.sum(F.col("Total_Customer_Spending").cast("decimal(38,0)")).over(w), 2),
+            "Total_Customer_Spending", f"sum(cast(Total_Customer_Spending as decimal(38,0))) {over}", 2),
         "Average_Purchase_Value": ratio("Total_Customer_Spending", "Num_of_Orders",
                                         t["Total_Customer_Spending"], t["Num_of_Orders"],
                                         cfg.truncate_integer_ratio),
@@ -96,7 +95,7 @@ def pivot_loyalty_tier(customers: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG
                                              g.schema["Total_Customer_Spending"].dataType,
                                              g.schema["Num_Of_Customers"].dataType,
                                              cfg.truncate_integer_ratio),
-        "Avg_Retention_Time_Period": round_div("_period_min", F.col("_period_n") * 1440, 3),
+        "Avg_Retention_Time_Period": round_div("_period_min", "_period_n * 1440", 3),
     })
     return g.select(
         "Loyalty_Tier", "Num_Of_Customers", "Pct_Num_Of_Customers", "Total_Customer_Spending",

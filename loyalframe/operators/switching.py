@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loyalframe import config as C
@@ -15,7 +15,7 @@ def _loyal(customers: DataFrame) -> DataFrame:
 
 def _share_of_all(count_col: str):
     # denominator: sum over the few aggregated rows, not the raw data
-    return pct(count_col, F.sum(count_col).over(Window.partitionBy()), 2)
+    return pct(count_col, f"sum({count_col}) OVER ()", 2)
 
 
 def switch_total_switching_status(customers: DataFrame) -> DataFrame:
@@ -31,19 +31,21 @@ def switch_monthly_switching_status_loyal(customers: DataFrame) -> DataFrame:
 
 
 def _funnel_measures():
-    d = F.col("Days_To_Switch")
+    def avg(c, scale, days=False):
+        # exact average: integer sum over count, rounded once
+        den = f"count({c}) * 1440" if days else f"count({c})"
+        return round_div(f"sum({c})", den, scale)
+
     return [
         F.count("Buyer_Username").alias("Num_Of_Customers"),
-        round_div(F.sum(F.round(d * 100).cast("bigint")), F.count(d) * 100, 2).alias("Avg_Days_To_Switch"),
-        round_div(F.sum("Total_Customer_Spending"), F.count("Total_Customer_Spending"), 0).alias("Avg_Customer_Value"),
-        round_div(F.sum("Average_Purchase_Value"), F.count("Average_Purchase_Value"), 0).alias("Avg_Purchase_Value"),
-        round_div(F.sum("Num_of_Orders"), F.count("Num_of_Orders"), 2).alias("Avg_Num_Of_Orders"),
-        round_div(F.sum("Num_of_Canceled_Orders"), F.count("Num_of_Canceled_Orders"), 2)
-        .alias("Avg_Num_of_Canceled_Orders"),
-        round_div(F.sum("Retention_Minutes"), F.count("Retention_Minutes") * 1440, 2)
-        .alias("Avg_Retention_Time_Period"),
-        round_div(F.sum("Retention_Minutes"),
-                  (F.sum("Num_of_Orders") - F.sum("Num_of_Canceled_Orders")) * 1440, 2)
+        round_div("sum(cast(round(Days_To_Switch * 100) as bigint))", "count(Days_To_Switch) * 100", 2)
+        .alias("Avg_Days_To_Switch"),
+        avg("Total_Customer_Spending", 0).alias("Avg_Customer_Value"),
+        avg("Average_Purchase_Value", 0).alias("Avg_Purchase_Value"),
+        avg("Num_of_Orders", 2).alias("Avg_Num_Of_Orders"),
+        avg("Num_of_Canceled_Orders", 2).alias("Avg_Num_of_Canceled_Orders"),
+        avg("Retention_Minutes", 2, days=True).alias("Avg_Retention_Time_Period"),
+        round_div("sum(Retention_Minutes)", "(sum(Num_of_Orders) - sum(Num_of_Canceled_Orders)) * 1440", 2)
         .alias("Avg_Days_Between_Noncanceled_Purchases"),
     ]
 
@@ -85,8 +87,7 @@ def loyal_status_share(customers: DataFrame) -> DataFrame:
     """Loyal buyers per tier x status, group size, total and share."""
     g = _loyal(customers).groupBy("Loyalty_Tier", "Switching_Status").agg(
         F.count("Buyer_Username").alias("Group_Size"))
-    w = Window.partitionBy()
     return g.withColumns({
-        "Total_Customers": F.sum("Group_Size").over(w),
-        "Percentage_of_Total": pct("Group_Size", F.sum("Group_Size").over(w), 2),
+        "Total_Customers": F.expr("sum(Group_Size) OVER ()"),
+        "Percentage_of_Total": pct("Group_Size", "sum(Group_Size) OVER ()", 2),
     })
