@@ -31,9 +31,10 @@ def _fdiv(a, b) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def _active(acq: DataFrame) -> DataFrame:
-    """Per month, whether its total spend is > 0 (months with sales)."""
-    return acq.groupBy("Order_Month").agg(F.sum("Total_Customer_Spending").alias("_spend"))
+def active_months(acq: DataFrame) -> DataFrame:
+    """Months whose total spend is > 0 (months with sales), with that spend."""
+    g = acq.groupBy("Order_Month").agg(F.sum("Total_Customer_Spending").alias("Total_Customer_Spending"))
+    return g.where(F.col("Total_Customer_Spending") > 0)
 
 
 def revenue_orders_by_month(acq: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def _names(skus: list[Sku]) -> list[str]:
     return list(dict.fromkeys(n for n, _ in skus))
 
 
-def _in_scope(lines: DataFrame, scope_end: str | None) -> DataFrame:
+def in_scope(lines: DataFrame, scope_end: str | None) -> DataFrame:
+    """P10: lines with a parsed time, up to the report end (inclusive)."""
     ts = F.col("Created_At")
     cond = ts.isNotNull()
     if scope_end is not None:
@@ -41,6 +42,11 @@ def _in_scope(lines: DataFrame, scope_end: str | None) -> DataFrame:
     return lines.where(cond)
 
 
+def priced_lines(lines: DataFrame) -> DataFrame:
+    """Lines with a positive unit price (drops samples and gifts priced 0)."""
+    return lines.where(F.col("SKU_Unit_Original_Price") > 0)
+
+
 def _per_unit(total: Column) -> Column:
     q = F.col("Quantity")
     return F.when(q != 0, total.cast("double") / q.cast("double"))
@@ -60,7 +66,7 @@ def sku_weekly_price(lines: DataFrame, scope_end: str | None = None, skus: list[
     SKU's own first/last week (a ``sequence`` per SKU, bounded by the
     calendar span), left-joined to the weekly means.
     """
-    d = _in_scope(lines, scope_end).where(F.col("SKU_Unit_Original_Price") > 0)
+    d = priced_lines(in_scope(lines, scope_end))
     if skus is not None:
         d = lines_for_skus(d, skus)
     else:  # every labelled SKU
@@ -80,7 +86,7 @@ def sku_weekly_units(lines: DataFrame, skus: list[Sku], scope_end: str | None =
     """W-MON units per SKU (one column per SKU name, 0-filled); weeks
     without any unit dropped."""
     names = _names(skus)
-    d = lines_for_skus(_in_scope(lines, scope_end), skus)
+    d = lines_for_skus(in_scope(lines, scope_end), skus)
     p = d.groupBy(week_ending("Created_At", "MON").alias("Week")).pivot("Product_SKU_Name", names).agg(
         F.sum("Quantity")).na.fill(0, subset=names)
     total = sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`"))

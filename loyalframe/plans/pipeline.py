@@ -66,9 +66,14 @@ class LoyaltyData:
             self.__dict__[name] = getattr(self, name).persist(level)
         return self
 
-    def checkpoint(self) -> "LoyaltyData":
-        """Write the order table to the reliable checkpoint folder (eager)."""
-        ensure_checkpoint_dir(self.orders.sparkSession)
+    def checkpoint(self, lines: bool = False) -> "LoyaltyData":
+        """Write the order table (and with ``lines`` the labelled lines first)
+        to the reliable checkpoint folder ``spark.checkpoint.dir``; later
+        datasets, and recovery after a lost executor, start from there."""
+        ensure_checkpoint_dir(self.raw_lines.sparkSession)
+        if lines:
+            self.__dict__["lines"] = self.lines.checkpoint(eager=True)
+            self.__dict__.pop("orders", None)
         self.__dict__["orders"] = self.orders.checkpoint(eager=True)
         for name in ("customers", "monthly"):
             self.__dict__.pop(name, None)

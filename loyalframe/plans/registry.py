@@ -113,4 +113,14 @@ DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
 COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "total_customers_data",
            "pivot_loyalty_tier", "monthly_customers_data", "pivot_monthly_customers_acquisition",
            "pivot_monthly_products", "monthly_retention_rate")
-DATASETS["row_counts"] = lambda d: row_counts({n: DATASETS[n](d) for n in COUNTED})
+
+
+def _row_counts(d: LoyaltyData):
+    # every counted dataset derives from the lines and the orders: write both
+    # once to the checkpoint folder instead of re-joining the raw tables per count
+    fixed = LoyaltyData(d.raw_lines, d.labels, d.cfg).checkpoint(lines=True)
+    return row_counts({n: DATASETS[n](fixed) for n in COUNTED})
+
+
+DATASETS["row_counts"] = _row_counts
+DATASETS["active_months"] = lambda d: fa.active_months(_acq(d))

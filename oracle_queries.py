@@ -652,3 +652,6 @@ _COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "tota
             "pivot_monthly_products", "monthly_retention_rate")
 ORACLE_SQL["row_counts"] = "\nUNION ALL\n".join(
     f"SELECT '{n}' AS Dataset, COUNT(*) AS Num_Rows FROM ({ORACLE_SQL[n]}) t" for n in _COUNTED)
+ORACLE_SQL["active_months"] = f("""
+SELECT Order_Month, CAST(SUM(Total_Customer_Spending) AS BIGINT) AS Total_Customer_Spending FROM acq
+GROUP BY Order_Month HAVING SUM(Total_Customer_Spending) > 0""")

@@ -55,3 +55,23 @@ def test_pool_with_gap_month(spark):
     # March has no new buyers, so April's pool is undefined and April drops out
     got = {r.Order_Month: (r.Legacy_Pool, r.Retention_Rate) for r in pool_vs_retention(_data(spark).monthly).collect()}
     assert got == {"2026-02": (8, 12.5), "2026-03": (16, 18.75)}
+
+
+def test_checkpointed_graph_matches(spark):
+    # cutting lineage at lines and orders changes nothing in the results
+    plain = _data(spark)
+    fixed = LoyaltyData(plain.raw_lines, plain.labels).checkpoint(lines=True)
+    a = sorted(tuple(r) for r in pivot_loyalty_tier(plain.customers).collect())
+    b = sorted(tuple(r) for r in pivot_loyalty_tier(fixed.customers).collect())
+    assert a == b
+
+
+def test_hot_pseudo_buyer(spark):
+    # one key holding most orders: results stay whole and exact
+    from tests.fixtures import LINE_SCHEMA, line, t
+
+    rows = [line(f"h{i}", "K" if i % 2 else "R", t("2026-01-01 10:00"), None) for i in range(3000)]
+    rows += [line("x1", "S", t("2026-01-02 10:00"), "solo")]
+    d = LoyaltyData(spark.createDataFrame(rows, LINE_SCHEMA), labels(spark))
+    got = {r.Buyer_Username: (r.Num_of_Orders, r.Funnel_Group) for r in d.customers.collect()}
+    assert got == {"No Username": (3000, "Start with Kinka and Revy"), "solo": (1, "Only with SiMee")}
