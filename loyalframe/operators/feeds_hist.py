@@ -43,7 +43,10 @@ def first_seen_hist(monthly: DataFrame, bins: int = 60) -> DataFrame:
     """
     r = _returning_minutes(monthly)
     rng = r.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
-    b, lo2, hi2 = _bin(F.col("_x"), rng.getField("lo"), rng.getField("hi"), bins)
+    # the subquery appears once in the plan; the bin expression reads its columns
+    r = r.withColumn("_rng", rng).select("Order_Month", "_x", F.col("_rng.lo").alias("_lo"),
+                                         F.col("_rng.hi").alias("_hi"))
+    b, lo2, hi2 = _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins)
     binned = r.select("Order_Month", b.alias("Bin"), _range_text(lo2).alias("Range_Start"),
                       _range_text(hi2).alias("Range_End"))
     return binned.groupBy("Order_Month", "Bin", "Range_Start", "Range_End").agg(
