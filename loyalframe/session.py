@@ -23,6 +23,29 @@ SESSION_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executor_cores: int = 4000) -> dict:
+    """Shuffle / scan sizing for a cluster run over ``input_bytes`` of lines.
+
+    Scans: 512 MB splits (fewer, larger tasks; Parquet row groups of a
+    well-written table are <= that). Shuffles: the first shuffle (lines ->
+    orders, after map-side combine) carries roughly a quarter of the line
+    volume; start with enough partitions for ~256 MB each and let AQE
+    coalesce the later, much smaller shuffles toward the same advisory
+    size. Skewed partitions (> 5x the median and > 1 GB) are split.
+    """
+    shuffle_bytes = max(input_bytes // 4, 1)
+    partitions = max(executor_cores * 2, shuffle_bytes // (256 * 1024 * 1024))
+    return {
+        **SESSION_CONF,
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+        "spark.sql.shuffle.partitions": str(int(partitions)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "loyalframe",
                   extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark (a cluster brings its own)."""
