@@ -82,6 +82,8 @@ class LoyaltyData:
 
 def present_lines(lines: DataFrame) -> DataFrame:
     """Order lines as the export shows them: ``Created_Time`` text."""
+    if "Created_Time" in lines.columns:  # read from an export: keep its own text
+        return lines.drop("Created_At")
     cols = [c for c in lines.columns if c != "Created_At"]
     return lines.select(
         *cols[:4], F.date_format("Created_At", EXPORT_TIME_FORMAT).alias("Created_Time"), *cols[4:]

@@ -95,3 +95,19 @@ def test_streaming_ingest(spark, tmp_path):
     q2 = start_order_line_ingest(spark, str(src), labels, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     q2.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_whole_pipeline_run(spark, tmp_path):
+    from loyalframe.plans.run import PIPELINE_DATASETS, run_pipeline
+
+    _csv(tmp_path / "export.csv", [HEADER] + ROWS)
+    with open(tmp_path / "labels.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows(LABELS)
+    data = LoyaltyData(read_order_lines(spark, str(tmp_path / "export.csv")),
+                       read_labels(spark, str(tmp_path / "labels.csv")))
+    counts = {r.Dataset: r.Num_Rows for r in run_pipeline(data, str(tmp_path / "out")).collect()}
+    assert counts["total_orders_data"] == 3 and counts["label_order_lines"] == 4
+    assert counts["missing_label_ids"] == 1
+    for n in PIPELINE_DATASETS:
+        assert (tmp_path / "out" / n).exists()
+    assert read_dataset(spark, str(tmp_path / "out" / "total_customers_data")).count() == 3
