@@ -1,7 +1,8 @@
 """A2 — one row per buyer (``total_customers_data``) and its rules P5-P8.
 
-Tier, funnel group, switching status / time / days are plain ``when``
-chains on the per-buyer aggregate; their branch order is the rule.
+Tier, funnel group, switching status / time / days are ``when`` chains
+on the per-buyer aggregate (the tier's branch order is the rule); the
+funnel rules are stated on two small bitmasks, see ``_with_brand_sets``.
 """
 
 from __future__ import annotations

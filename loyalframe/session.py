@@ -43,6 +43,11 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4000) -> dict:
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        # the label join needs only (id, brand, pack size) per product: up to
+        # ~512 MB of that is cheaper to broadcast than shuffling every line
+        # by product id; above it the join falls back to sort-merge
+        "spark.sql.autoBroadcastJoinThreshold": str(512 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(512 * 1024 * 1024),
     }
 
 

@@ -107,53 +107,41 @@ orders_t AS (
 
 _sums = ",\n    ".join(f"{isum(c)} AS {c}" for c in N + S + K)
 _total = " + ".join(N)
-_far = "TIMESTAMP '9999-12-31 23:59:00'"
 FK, FR, FS = "FT_Kinka", "FT_Revy", "FT_SiMee"
 
 
-def _c(x):
-    return f"COALESCE({x}, {_far})"
-
-
-FUNNEL = f"""CASE
-      WHEN {FK} IS NULL AND {FR} IS NULL AND {FS} IS NULL THEN 'Not buy any of 3 brands'
-      WHEN {FK} IS NOT NULL AND {FR} IS NULL AND {FS} IS NULL THEN 'Only with Kinka'
-      WHEN {FK} IS NULL AND {FR} IS NOT NULL AND {FS} IS NULL THEN 'Only with Revy'
-      WHEN {FK} IS NULL AND {FR} IS NULL AND {FS} IS NOT NULL THEN 'Only with SiMee'
-      WHEN {FK} IS NOT NULL AND {FR} IS NOT NULL AND least({FK}, {FR}, {_c(FS)}) = {FK} AND {FK} = {FR}
-        THEN 'Start with Kinka and Revy'
-      WHEN {FK} IS NOT NULL AND {FS} IS NOT NULL AND least({FK}, {FS}, {_c(FR)}) = {FK} AND {FK} = {FS}
-        THEN 'Start with Kinka and SiMee'
-      WHEN {FR} IS NOT NULL AND {FS} IS NOT NULL AND least({FR}, {FS}, {_c(FK)}) = {FR} AND {FR} = {FS}
-        THEN 'Start with Revy and SiMee'
-      WHEN {FK} IS NOT NULL AND {FR} IS NOT NULL AND {FS} IS NOT NULL AND {FR} = {FS} AND {FR} = {FK}
-        THEN 'Start with all 3 brands'
-      WHEN {FK} IS NOT NULL AND least({FK}, {_c(FR)}, {_c(FS)}) = {FK} THEN 'Start with Kinka'
-      WHEN {FR} IS NOT NULL AND least({FR}, {_c(FK)}, {_c(FS)}) = {FR} THEN 'Start with Revy'
-      WHEN {FS} IS NOT NULL AND least({FS}, {_c(FR)}, {_c(FK)}) = {FS} THEN 'Start with SiMee'
-      ELSE 'Unsorted' END"""
+# funnel rules restated on flags: which brands were bought at the very first
+# brand purchase (k1 / r1 / s1), and which brands were ever bought
+FIRST = f"least({FK}, {FR}, {FS})"
+
+FUNNEL = """CASE
+      WHEN first_any IS NULL THEN 'Not buy any of 3 brands'
+      WHEN n_seen = 1 AND k_seen THEN 'Only with Kinka'
+      WHEN n_seen = 1 AND r_seen THEN 'Only with Revy'
+      WHEN n_seen = 1 THEN 'Only with SiMee'
+      WHEN k1 AND r1 THEN 'Start with Kinka and Revy'
+      WHEN k1 AND s1 THEN 'Start with Kinka and SiMee'
+      WHEN r1 AND s1 THEN 'Start with Revy and SiMee'
+      WHEN k1 THEN 'Start with Kinka'
+      WHEN r1 THEN 'Start with Revy'
+      ELSE 'Start with SiMee' END"""
+
+# brands in the entry set implied by the group name
+IN_ENTRY = {"k": "Funnel_Group IN ('Start with Kinka', 'Start with Kinka and Revy', 'Start with Kinka and SiMee')",
+            "r": "Funnel_Group IN ('Start with Revy', 'Start with Kinka and Revy', 'Start with Revy and SiMee')",
+            "s": "Funnel_Group IN ('Start with SiMee', 'Start with Kinka and SiMee', 'Start with Revy and SiMee')"}
 
 STATUS = f"""CASE
-      WHEN (Funnel_Group = 'Start with Kinka and Revy' AND {FS} IS NOT NULL)
-        OR (Funnel_Group = 'Start with Kinka and SiMee' AND {FR} IS NOT NULL)
-        OR (Funnel_Group = 'Start with Revy and SiMee' AND {FK} IS NOT NULL)
-        OR (Funnel_Group = 'Start with Kinka' AND ({FR} IS NOT NULL OR {FS} IS NOT NULL))
-        OR (Funnel_Group = 'Start with Revy' AND ({FK} IS NOT NULL OR {FS} IS NOT NULL))
-        OR (Funnel_Group = 'Start with SiMee' AND ({FK} IS NOT NULL OR {FR} IS NOT NULL)) THEN 'Switcher'
-      WHEN Funnel_Group IN ('Only with Kinka', 'Only with Revy', 'Only with SiMee')
-        OR (Funnel_Group = 'Start with Kinka and Revy' AND {FS} IS NULL)
-        OR (Funnel_Group = 'Start with Kinka and SiMee' AND {FR} IS NULL)
-        OR (Funnel_Group = 'Start with Revy and SiMee' AND {FK} IS NULL) THEN 'Non-switcher'
-      WHEN Funnel_Group IN ('Start with all 3 brands', 'Not buy any of 3 brands', 'Unsorted') THEN Funnel_Group
-      END"""
-
-SWITCH_TIME = f"""CASE WHEN Switching_Status = 'Switcher' THEN CASE
-      WHEN Funnel_Group = 'Start with Kinka' THEN least({FR}, {FS})
-      WHEN Funnel_Group = 'Start with Revy' THEN least({FS}, {FK})
-      WHEN Funnel_Group = 'Start with SiMee' THEN least({FR}, {FK})
-      WHEN Funnel_Group = 'Start with Kinka and Revy' THEN {FS}
-      WHEN Funnel_Group = 'Start with Kinka and SiMee' THEN {FR}
-      WHEN Funnel_Group = 'Start with Revy and SiMee' THEN {FK} END END"""
+      WHEN Funnel_Group = 'Not buy any of 3 brands' THEN Funnel_Group
+      WHEN Funnel_Group LIKE 'Only with %' THEN 'Non-switcher'
+      WHEN (k_seen AND NOT {IN_ENTRY['k']}) OR (r_seen AND NOT {IN_ENTRY['r']}) OR (s_seen AND NOT {IN_ENTRY['s']})
+        THEN 'Switcher'
+      ELSE 'Non-switcher' END"""
+
+SWITCH_TIME = f"""CASE WHEN Switching_Status = 'Switcher' THEN least(
+      CASE WHEN NOT {IN_ENTRY['k']} THEN {FK} END,
+      CASE WHEN NOT {IN_ENTRY['r']} THEN {FR} END,
+      CASE WHEN NOT {IN_ENTRY['s']} THEN {FS} END) END"""
 
 TIER = """CASE
       WHEN Num_of_Orders >= 1 AND Total_Customer_Spending = 0 THEN 'Affiliator'
@@ -191,7 +179,15 @@ cust_c AS (
     {_bpct}
   FROM cust_b
 ),
-cust_d AS (SELECT *, {TIER} AS Loyalty_Tier, {FUNNEL} AS Funnel_Group FROM cust_c),
+cust_flags AS (
+  SELECT *, {FIRST} AS first_any,
+    {FK} IS NOT NULL AS k_seen, {FR} IS NOT NULL AS r_seen, {FS} IS NOT NULL AS s_seen,
+    CAST({FK} IS NOT NULL AS INTEGER) + CAST({FR} IS NOT NULL AS INTEGER) + CAST({FS} IS NOT NULL AS INTEGER) AS n_seen,
+    COALESCE({FK} = {FIRST}, false) AS k1, COALESCE({FR} = {FIRST}, false) AS r1,
+    COALESCE({FS} = {FIRST}, false) AS s1
+  FROM cust_c
+),
+cust_d AS (SELECT *, {TIER} AS Loyalty_Tier, {FUNNEL} AS Funnel_Group FROM cust_flags),
 cust_e AS (SELECT *, {STATUS} AS Switching_Status FROM cust_d),
 cust_f AS (SELECT *, {SWITCH_TIME} AS Switching_Ts FROM cust_e),
 cust AS (SELECT *, {rdiv(mins('Switching_Ts', 'First_Seen_Ts'), '1440', 2)} AS Days_To_Switch FROM cust_f)"""
