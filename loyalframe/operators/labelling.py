@@ -26,8 +26,8 @@ def dedupe_labels(labels: DataFrame, id_col: str = "ID") -> DataFrame:
     """One label row per trimmed, non-empty id; the last row in the file wins.
 
     ``labels`` must carry the tag of :func:`tag_file_order` (or is tagged
-    here). ``max_by`` is an ordinary partial aggregate, so a hot id is
-    combined map-side and never gathered into one task.
+    here). ``max_by`` is a partial aggregate, so a hot id is combined
+    map-side and never gathered into one task.
     """
     if ROW_TAG not in labels.columns:
         labels = tag_file_order(labels)
@@ -35,10 +35,10 @@ def dedupe_labels(labels: DataFrame, id_col: str = "ID") -> DataFrame:
     keyed = labels.select(F.trim(F.col(id_col)).alias("ID"), ROW_TAG, *present).where(
         F.col("ID").isNotNull() & (F.col("ID") != "")
     )
-    best = keyed.groupBy("ID").agg(
-        F.max_by(F.struct(*present), F.col(ROW_TAG)).alias("_l")
-    )
-    return best.select("ID", *[F.col(f"_l.{c}").alias(c) for c in present])
+    # one max_by per column (tags are unique, so all pick the same row); a
+    # dataset that needs only some label columns lets Catalyst drop the rest,
+    # down to the scan and the broadcast
+    return keyed.groupBy("ID").agg(*[F.max_by(c, ROW_TAG).alias(c) for c in present])
 
 
 def label_order_lines(lines: DataFrame, labels: DataFrame, id_col: str = "SKU_ID",
