@@ -56,13 +56,15 @@ def first_seen_hist(monthly: DataFrame, bins: int = 60) -> DataFrame:
 def first_seen_hist_by_month(monthly: DataFrame, bins: int = 15) -> DataFrame:
     """per order month, bins over that month's own min-max range.
 
-    The per-month range is an aggregate (one row per month) joined back
-    on the month; a month holding a large share of rows is still binned
-    in parallel and counted with map-side combine.
+    Buyers are first counted per (month, first-seen minute) with map-side
+    combine, so a month holding a large share of rows shrinks before any
+    exchange. The per-month range (one row per calendar month: its size
+    is bounded by the calendar, not by the data) is broadcast to the
+    counted rows; no exchange is keyed on the month alone.
     """
-    r = _returning_minutes(monthly)
-    rng = r.groupBy("Order_Month").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    j = r.join(rng, "Order_Month")
+    counted = _returning_minutes(monthly).groupBy("Order_Month", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    rng = counted.groupBy("Order_Month").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    j = counted.join(F.broadcast(rng), "Order_Month")
     b, lo2, hi2 = _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins)
     return j.groupBy("Order_Month", b.alias("Bin"), _range_text(lo2).alias("Range_Start"),
-                     _range_text(hi2).alias("Range_End")).agg(F.count(F.lit(1)).alias("Num_Customers"))
+                     _range_text(hi2).alias("Range_End")).agg(F.sum("_n").alias("Num_Customers"))

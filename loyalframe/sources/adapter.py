@@ -21,17 +21,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than there are cores.
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than there are cores.
 
     A parquet split cannot cut a row group, so a file written as one big
     row group scans as one task and everything up to the first shuffle
     would run on one core. Many files / row groups (the normal case on a
     cluster) give enough partitions already and are left as they are.
+
+    With ``key`` the rows are hash-partitioned on it: when it is the key
+    the next aggregate groups by (``Order_ID`` for the order lines), the
+    broadcast joins in between keep that partitioning and the aggregate
+    needs no shuffle of its own, so spreading costs no extra exchange.
+    A hash exchange is also deterministic on retry (round-robin is made
+    so by sorting each partition first).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
 
@@ -47,8 +54,9 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     otherwise (lineitem and orders are both large at scale).
     """
     l = spread(_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("Order_ID"),
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
-    ))
+    ), "Order_ID")
     o = _table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )
@@ -62,7 +70,7 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
     )
     return j.select(
-        F.col("l_orderkey").cast("string").alias("Order_ID"),
+        "Order_ID",
         F.col("l_partkey").cast("string").alias("SKU_ID"),
         F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), F.lit(CANCELLED_STATUS))
         .otherwise(F.lit(DONE_STATUS))

@@ -44,3 +44,21 @@ def test_products_scan_lines_once(spark):
 def test_label_join_is_broadcast_at_small_scale(spark):
     plan = _plan(spark, "total_orders_data")
     assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+
+
+def test_spread_partitioning_feeds_order_aggregate(spark):
+    # the under-partitioned line scan is hash-spread on Order_ID; the order
+    # aggregate reuses that partitioning instead of shuffling again
+    plan = _plan(spark, "total_orders_data")
+    assert re.search(r"Exchange hashpartitioning\(Order_ID#\d+, \d+\), REPARTITION_BY_NUM", plan)
+    assert not re.search(r"Exchange hashpartitioning\(Order_ID#\d+, Order_Amount", plan)
+
+
+def test_active_buyers_distinct_before_semi_join(spark):
+    plan = _plan(spark, "customers_active_between")
+    assert re.search(r"HashAggregate\(keys=\[Buyer_Username#\d+\], functions=\[\]", plan)
+
+
+def test_hist_by_month_broadcasts_month_range(spark):
+    plan = _plan(spark, "first_seen_hist_by_month")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
