@@ -49,19 +49,26 @@ def _money(c) -> F.Column:
 def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines (reference shape, typed) from lineitem ⋈ orders ⋈ part.
 
-    Both joins are many-to-one on a key; the planner broadcasts ``part``
-    only while it is under the broadcast threshold and sort-merges
-    otherwise (lineitem and orders are both large at scale).
+    Both joins are many-to-one on a key; the planner broadcasts ``orders``
+    / ``part`` only while they are under the broadcast threshold and
+    sort-merges otherwise (all three are large at scale). The join keys
+    are the very expressions the later steps key on, so a sort-merge
+    join's partitioning is reused instead of shuffling the lines again:
+    the orders join is on ``Order_ID`` (the order aggregate's key; the
+    text of a bigint is unique, so this equals the key equality) and the
+    part join on ``trim(SKU_ID)`` (the label join's key).
     """
     l = spread(_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("Order_ID"),
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
+        F.col("l_partkey").cast("string").alias("SKU_ID"),
+        "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
     ), "Order_ID")
     o = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("_o_id"),
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )
-    p = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    j = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("_p_id"), "p_retailprice")
+    j = l.join(o, l.Order_ID == o._o_id).join(p, F.trim(l.SKU_ID) == p._p_id)
     ext = F.col("l_extendedprice")
     disc_amt = _money(ext * F.col("l_discount"))
     zero_line = (F.col("l_partkey") % 17) == 0
@@ -71,7 +78,7 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return j.select(
         "Order_ID",
-        F.col("l_partkey").cast("string").alias("SKU_ID"),
+        "SKU_ID",
         F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), F.lit(CANCELLED_STATUS))
         .otherwise(F.lit(DONE_STATUS))
         .alias("Order_Status"),

@@ -62,3 +62,22 @@ def test_active_buyers_distinct_before_semi_join(spark):
 def test_hist_by_month_broadcasts_month_range(spark):
     plan = _plan(spark, "first_seen_hist_by_month")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_no_broadcast_plan_reuses_join_partitioning(spark):
+    # at scale neither orders nor part nor the labels fit a broadcast; the
+    # join keys are chosen so the label join reuses the part join's
+    # partitioning: the lines are shuffled by order id, by product id and
+    # (partially aggregated) by the order keys — never twice by product id
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        plan = _plan(spark, "total_orders_data")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(re.findall(r"SortMergeJoin \[trim\(SKU_ID#\d+, None\)\]", plan)) == 2
+    assert len(re.findall(r"Exchange hashpartitioning\(trim\(SKU_ID", plan)) == 1
+    assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(l_partkey" not in plan
