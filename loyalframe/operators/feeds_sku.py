@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalframe.functions import week_ending
@@ -62,9 +62,12 @@ def sku_weekly_price(lines: DataFrame, scope_end: str | None = None, skus: list[
     order amount per unit, lines with a positive unit price; weeks between
     a SKU's first and last week that have no line appear with NULLs.
 
-    Without ``skus`` every SKU is covered. The gap weeks come from each
-    SKU's own first/last week (a ``sequence`` per SKU, bounded by the
-    calendar span), left-joined to the weekly means.
+    Without ``skus`` every SKU is covered. The gap weeks come from a
+    ``lead`` over each SKU's weekly rows: the window runs on the weekly
+    aggregate (one row per SKU and week with sales, bounded by the
+    calendar even for a SKU holding most of the lines), and each week
+    expands to itself plus the empty weeks before the SKU's next one, in
+    one pass (no join, no second branch over the lines).
     """
     d = priced_lines(in_scope(lines, scope_end))
     if skus is not None:
@@ -72,14 +75,18 @@ def sku_weekly_price(lines: DataFrame, scope_end: str | None = None, skus: list[
     else:  # every labelled SKU
         d = d.where(F.col("Product_SKU_Name").isNotNull() & F.col("Product_Variant").isNotNull())
     keys = ["Product_SKU_Name", "Product_Variant"]
+    measures = ["Avg_Original_Price", "Avg_After_Seller_Discount", "Avg_Customer_Paid"]
     w = d.withColumn("Week", week_ending("Created_At", "MON")).groupBy(*keys, "Week").agg(
-        F.avg("SKU_Unit_Original_Price").alias("Avg_Original_Price"),
-        F.avg(after_seller_price()).alias("Avg_After_Seller_Discount"),
-        F.avg(_per_unit(F.col("Order_Amount"))).alias("Avg_Customer_Paid"),
+        F.avg("SKU_Unit_Original_Price").alias(measures[0]),
+        F.avg(after_seller_price()).alias(measures[1]),
+        F.avg(_per_unit(F.col("Order_Amount"))).alias(measures[2]),
     )
-    span = w.groupBy(*keys).agg(F.min("Week").alias("_a"), F.max("Week").alias("_b"))
-    weeks = span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 7 DAYS"))).alias("Week"))
-    return weeks.join(w, keys + ["Week"], "left")
+    w = w.withColumn("_next", F.lead("Week").over(Window.partitionBy(*keys).orderBy("Week")))
+    last = F.coalesce(F.date_sub("_next", 7), F.col("Week"))  # the week itself when no gap follows
+    weeks = F.sequence(F.col("Week"), last, F.expr("INTERVAL 7 DAYS"))
+    x = w.select(*keys, *measures, F.posexplode(weeks).alias("_i", "_week"))
+    return x.select(*keys, F.col("_week").alias("Week"),
+                    *[F.when(F.col("_i") == 0, F.col(m)).alias(m) for m in measures])
 
 
 def sku_weekly_units(lines: DataFrame, skus: list[Sku], scope_end: str | None = None) -> DataFrame:
