@@ -30,24 +30,39 @@ def switch_monthly_switching_status_loyal(customers: DataFrame) -> DataFrame:
             .groupBy("Month", "Switching_Status").agg(F.count("Buyer_Username").alias("Num_of_Customers")))
 
 
-def _funnel_measures():
-    def avg(c, scale, days=False):
-        # exact average: integer sum over count, rounded once
-        den = f"count({c}) * 1440" if days else f"count({c})"
-        return round_div(f"sum({c})", den, scale)
-
-    return [
-        F.count("Buyer_Username").alias("Num_Of_Customers"),
-        round_div("sum(cast(round(Days_To_Switch * 100) as bigint))", "count(Days_To_Switch) * 100", 2)
-        .alias("Avg_Days_To_Switch"),
-        avg("Total_Customer_Spending", 0).alias("Avg_Customer_Value"),
-        avg("Average_Purchase_Value", 0).alias("Avg_Purchase_Value"),
-        avg("Num_of_Orders", 2).alias("Avg_Num_Of_Orders"),
-        avg("Num_of_Canceled_Orders", 2).alias("Avg_Num_of_Canceled_Orders"),
-        avg("Retention_Minutes", 2, days=True).alias("Avg_Retention_Time_Period"),
-        round_div("sum(Retention_Minutes)", "(sum(Num_of_Orders) - sum(Num_of_Canceled_Orders)) * 1440", 2)
-        .alias("Avg_Days_Between_Noncanceled_Purchases"),
-    ]
+# per-buyer measures averaged over a funnel group: output name -> (numerator, scale, denominator)
+_AVERAGES = {
+    "Avg_Days_To_Switch": ("cast(round(Days_To_Switch * 100) as bigint)", 2, "Days_To_Switch", 100),
+    "Avg_Customer_Value": ("Total_Customer_Spending", 0, "Total_Customer_Spending", 1),
+    "Avg_Purchase_Value": ("Average_Purchase_Value", 0, "Average_Purchase_Value", 1),
+    "Avg_Num_Of_Orders": ("Num_of_Orders", 2, "Num_of_Orders", 1),
+    "Avg_Num_of_Canceled_Orders": ("Num_of_Canceled_Orders", 2, "Num_of_Canceled_Orders", 1),
+    "Avg_Retention_Time_Period": ("Retention_Minutes", 2, "Retention_Minutes", 1440),
+}
+
+
+def _group_sums(df: DataFrame, keys: list) -> DataFrame:
+    """Level 1: integer sums and counts per ``keys`` — a hash aggregate
+    (numeric buffers only), combined map-side over the buyer rows."""
+    aggs = [F.count("Buyer_Username").alias("_n")]
+    for name, (num, _, den, _) in _AVERAGES.items():
+        aggs += [F.sum(F.expr(num)).alias(f"_s_{name}"), F.count(den).alias(f"_c_{name}")]
+    aggs += [F.sum("Num_of_Orders").alias("_orders"), F.sum("Num_of_Canceled_Orders").alias("_canceled")]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def _funnel_measures(g: DataFrame, keys: list, labels: list) -> DataFrame:
+    """Level 2, over the few level-1 rows: the labels shown beside a group
+    (their largest value, deterministic) and the exact rounded averages."""
+    sums = [c for c in g.columns if c.startswith("_")]
+    t = g.groupBy(*keys).agg(*[F.max(c).alias(c) for c in labels], *[F.sum(c).alias(c) for c in sums])
+    out = [F.col("_n").alias("Num_Of_Customers")]
+    for name, (_, scale, _, unit) in _AVERAGES.items():
+        den = f"_c_{name} * {unit}" if unit != 1 else f"_c_{name}"
+        out.append(round_div(f"_s_{name}", den, scale).alias(name))
+    out.append(round_div("_s_Avg_Retention_Time_Period", "(_orders - _canceled) * 1440", 2)
+               .alias("Avg_Days_Between_Noncanceled_Purchases"))
+    return t.select(*keys, *labels, *out)
 
 
 def switch_total_funnel_group(customers: DataFrame) -> DataFrame:
@@ -56,18 +71,19 @@ def switch_total_funnel_group(customers: DataFrame) -> DataFrame:
     The status and tier shown beside each group are one value of the
     group (the largest); a pair group can hold both switchers and
     non-switchers — see :func:`switch_total_funnel_group_by_status`.
+    Sums are taken per (group, status, tier) first, so the string
+    ``max`` only runs on those few rows, never on the buyers.
     """
-    return _loyal(customers).groupBy("Funnel_Group").agg(
-        F.max("Switching_Status").alias("Switching_Status"), F.max("Loyalty_Tier").alias("Loyalty_Tier"),
-        *_funnel_measures(),
-    )
+    labels = ["Switching_Status", "Loyalty_Tier"]
+    g = _group_sums(_loyal(customers), ["Funnel_Group", *labels])
+    return _funnel_measures(g, ["Funnel_Group"], labels)
 
 
 def switch_total_funnel_group_by_status(customers: DataFrame) -> DataFrame:
     """A9 grouped by funnel group and switching status together."""
-    return _loyal(customers).groupBy("Funnel_Group", "Switching_Status").agg(
-        F.max("Loyalty_Tier").alias("Loyalty_Tier"), *_funnel_measures(),
-    )
+    keys = ["Funnel_Group", "Switching_Status"]
+    g = _group_sums(_loyal(customers), [*keys, "Loyalty_Tier"])
+    return _funnel_measures(g, keys, ["Loyalty_Tier"])
 
 
 def switch_monthly_funnel_group(customers: DataFrame, switchers_only: bool = False) -> DataFrame:

@@ -81,3 +81,13 @@ def test_no_broadcast_plan_reuses_join_partitioning(spark):
     assert len(re.findall(r"SortMergeJoin \[trim\(SKU_ID#\d+, None\)\]", plan)) == 2
     assert len(re.findall(r"Exchange hashpartitioning\(trim\(SKU_ID", plan)) == 1
     assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(l_partkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["switch_total_funnel_group", "switch_total_funnel_group_by_status"])
+def test_funnel_group_labels_picked_after_hash_aggregate(spark, name):
+    # buyers are hash-aggregated per (group, status, tier); the string max
+    # of the labels shown beside a group runs on those few rows only
+    plan = _plan(spark, name)
+    assert re.search(r"HashAggregate\(keys=\[Funnel_Group#\d+, Switching_Status#\d+, Loyalty_Tier#\d+\]", plan)
+    for m in re.finditer(r"SortAggregate\(key=\[([^\]]*)\]", plan):
+        assert m.group(1).startswith(("ID#", "Funnel_Group#")), m.group(0)
