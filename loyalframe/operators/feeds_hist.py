@@ -23,6 +23,14 @@ def _returning_minutes(monthly: DataFrame) -> DataFrame:
     return r.select("Order_Month", idiv(F.unix_timestamp("Lifetime_First_Seen_Ts"), F.lit(60)).alias("_x"))
 
 
+def _counted(monthly: DataFrame) -> DataFrame:
+    """Returning buyers per (order month, first-seen minute), combined
+    map-side: every histogram and range below reads this one aggregate,
+    so its exchange is shared (and a month holding many rows shrinks
+    before any shuffle)."""
+    return _returning_minutes(monthly).groupBy("Order_Month", "_x").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> tuple[Column, Column, Column]:
     flat = lo == hi
     lo2 = F.when(flat, lo - HALF_DAY_MIN).otherwise(lo)
@@ -38,19 +46,20 @@ def _range_text(m: Column) -> Column:
 def first_seen_hist(monthly: DataFrame, bins: int = 60) -> DataFrame:
     """counts per order month and bin, bins over the global range.
 
-    The global min / max are scalar subqueries: Spark computes them first
-    and uses them as constants, so no data is gathered anywhere.
+    The global min / max are a scalar subquery over the same counted
+    rows as the bins: Spark computes it first and uses it as a constant
+    (nothing gathered to the driver). Adaptive execution shares its
+    stage cache with subqueries, so the subquery reads the month x buyer
+    shuffle the bins use instead of deriving the rows a second time.
     """
-    r = _returning_minutes(monthly)
-    rng = r.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+    c = _counted(monthly)
+    rng = c.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
     # the subquery appears once in the plan; the bin expression reads its columns
-    r = r.withColumn("_rng", rng).select("Order_Month", "_x", F.col("_rng.lo").alias("_lo"),
+    c = c.withColumn("_rng", rng).select("Order_Month", "_x", "_n", F.col("_rng.lo").alias("_lo"),
                                          F.col("_rng.hi").alias("_hi"))
     b, lo2, hi2 = _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins)
-    binned = r.select("Order_Month", b.alias("Bin"), _range_text(lo2).alias("Range_Start"),
-                      _range_text(hi2).alias("Range_End"))
-    return binned.groupBy("Order_Month", "Bin", "Range_Start", "Range_End").agg(
-        F.count(F.lit(1)).alias("Num_Customers"))
+    return c.groupBy("Order_Month", b.alias("Bin"), _range_text(lo2).alias("Range_Start"),
+                     _range_text(hi2).alias("Range_End")).agg(F.sum("_n").alias("Num_Customers"))
 
 
 def first_seen_hist_by_month(monthly: DataFrame, bins: int = 15) -> DataFrame:
@@ -62,7 +71,7 @@ def first_seen_hist_by_month(monthly: DataFrame, bins: int = 15) -> DataFrame:
     is bounded by the calendar, not by the data) is broadcast to the
     counted rows; no exchange is keyed on the month alone.
     """
-    counted = _returning_minutes(monthly).groupBy("Order_Month", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counted = _counted(monthly)
     rng = counted.groupBy("Order_Month").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     j = counted.join(F.broadcast(rng), "Order_Month")
     b, lo2, hi2 = _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins)
