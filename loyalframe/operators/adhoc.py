@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalframe import config as C
+from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.functions import minute_text, month_text
-from loyalframe.operators.customers import customer_columns
+from loyalframe.operators.customers import customer_columns, customers_frame
 
 
-def customers_active_between(customers: DataFrame, orders: DataFrame, start: str, end: str) -> DataFrame:
-    """Buyers with an order in ``[start, end)`` (a semi-join on the buyer).
+def customers_active_between(orders: DataFrame, start: str, end: str,
+                             cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Buyers with an order in ``[start, end)``, with their whole-history
+    customer columns.
 
     Half-open on real timestamps, so an order at midnight of ``start`` is
-    in and one at midnight of ``end`` is out. The active buyers are made
-    distinct first (a hash aggregate, combined map-side): the pseudo
-    buyer of buyer-less orders may own a third of all orders, and AQE can
-    split a skewed partition only on the left side of a semi-join.
+    in and one at midnight of ``end`` is out. The shop asked this as an
+    EXISTS sub-select; here "has an order in the window" is one more
+    per-buyer aggregate of the same pass that builds the customer rows,
+    then a filter — no second read of the orders and no semi-join, so the
+    pseudo buyer of buyer-less orders (a hot key) is combined map-side
+    like every other buyer.
     """
     ts = F.col("Order_Ts")
-    active = orders.where((ts >= F.to_timestamp(F.lit(start))) & (ts < F.to_timestamp(F.lit(end)))).select(
-        "Buyer_Username").distinct()
-    return customers.join(active, "Buyer_Username", "left_semi").select(*customer_columns())
+    hit = (ts >= F.to_timestamp(F.lit(start))) & (ts < F.to_timestamp(F.lit(end)))
+    c = customers_frame(orders, cfg, {"_active": F.max(F.when(hit, F.lit(1)))})
+    return c.where(F.col("_active") == 1).select(*customer_columns(cfg))
 
 
 def monthly_funnel(monthly: DataFrame, customers: DataFrame) -> DataFrame:

@@ -20,13 +20,16 @@ def ft_col(brand: str) -> str:
     return f"First_Time_Purchase_{brand}"
 
 
-def customers_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
+def customers_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG,
+                    extra_aggs: dict | None = None) -> DataFrame:
     """Per-buyer aggregate of the order frame plus tier / funnel / switching.
 
     Every aggregate is algebraic (count/sum/min/max), so the shuffle on
     the buyer carries partial aggregates only: the pseudo buyer of all
     buyer-less orders, a hot key, is combined map-side.
     Internal columns: ``*_Ts`` timestamps, ``Retention_Minutes``.
+    ``extra_aggs`` (name -> aggregate over orders) adds per-buyer columns
+    computed in the same pass, e.g. a flag a question filters on.
     """
     n_cols, s_cols, k_cols = brand_measures(cfg)
     ts = F.col("Order_Ts")
@@ -42,6 +45,7 @@ def customers_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> D
     for b in cfg.funnel_brands:
         n = f"Basket_Num_{cfg.brand_suffix(b)}_Products"
         aggs.append(F.min(F.when(F.col(n) > 0, ts)).alias(ft_col(b) + "_Ts"))
+    aggs += [a.alias(n) for n, a in (extra_aggs or {}).items()]
     g = orders.groupBy("Buyer_Username").agg(*aggs)
     types = {f.name: f.dataType for f in g.schema.fields}
     total = sum((F.col(c) for c in n_cols[1:]), F.col(n_cols[0]))
