@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loyalframe import config as C
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.functions import minute_text, month_text
-from loyalframe.operators.customers import customer_columns, customers_frame
+from loyalframe.operators.customers import (
+    customer_columns, customers_frame, ft_col, switching_status, switching_time, with_brand_sets,
+)
 
 
 def customers_active_between(orders: DataFrame, start: str, end: str,
@@ -30,24 +32,41 @@ def customers_active_between(orders: DataFrame, start: str, end: str,
     return c.where(F.col("_active") == 1).select(*customer_columns(cfg))
 
 
-def monthly_funnel(monthly: DataFrame, customers: DataFrame) -> DataFrame:
+def monthly_funnel(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
     """Buyers, returning buyers and first switches per month.
 
-    Months come from the month x buyer table; switch counts are keyed by
-    the switching month and missing counts are 0. Both sides are
-    aggregated to one row per month before they meet.
+    Months are those with orders; a month without switches counts 0. One
+    pass over the orders, no join: orders are aggregated per month x buyer
+    with each funnel brand's first purchase in the month; a buyer window
+    over those rows (at most one per month per buyer) gives the lifetime
+    first order and first purchases, from which the customer switching
+    rules give each buyer's switch time. Every month x buyer row then
+    counts once for its month (and as returning when the buyer was seen in
+    an earlier month); each buyer's first-month row also counts once for
+    the month of the switch. One aggregate by month adds them up.
     """
-    t = monthly.groupBy(F.col("Order_Month").alias("Month")).agg(
-        F.count("Buyer_Username").alias("Total_Count"),
-        F.count(F.when(F.col("Acquisition_Type") == C.ACQ_RETURNING, F.col("Buyer_Username")))
-        .alias("Returning_Count"),
-    )
-    s = (customers.where(F.col("Switching_Status") == C.STATUS_SWITCHER)
-         .groupBy(month_text("Switching_Ts").alias("Month"))
-         .agg(F.count("Buyer_Username").alias("Switching_Count")))
-    return t.join(s, "Month", "left").select(
-        "Month", "Total_Count", "Returning_Count",
-        F.coalesce(F.col("Switching_Count"), F.lit(0)).alias("Switching_Count"))
+    ts = F.col("Order_Ts")
+    fts = {b: ft_col(b) + "_Ts" for b in cfg.funnel_brands}
+    firsts = [F.min(F.when(F.col(f"Basket_Num_{cfg.brand_suffix(b)}_Products") > 0, ts)).alias(c)
+              for b, c in fts.items()]
+    per = orders.groupBy(month_text(ts).alias("Month"), "Buyer_Username").agg(
+        F.min(ts).alias("_first_in_month"), *firsts)
+    w = Window.partitionBy("Buyer_Username")
+    per = per.withColumns({"_life_first": F.min("_first_in_month").over(w),
+                           **{c: F.min(c).over(w) for c in fts.values()}})
+    per = with_brand_sets(per, cfg).withColumn("_status", switching_status(cfg))
+    switch_month = F.when((F.col("_status") == C.STATUS_SWITCHER)
+                          & (F.col("Month") == month_text("_life_first")), month_text(switching_time(cfg)))
+    returning = (month_text("_life_first") < F.col("Month")).cast("int")
+    events = per.select(F.explode(F.array(
+        F.struct(F.col("Month").alias("m"), F.lit(1).alias("tot"), returning.alias("ret"), F.lit(0).alias("sw")),
+        F.struct(switch_month.alias("m"), F.lit(0).alias("tot"), F.lit(0).alias("ret"), F.lit(1).alias("sw")),
+    )).alias("e")).where(F.col("e.m").isNotNull())
+    g = events.groupBy(F.col("e.m").alias("Month")).agg(
+        F.sum("e.tot").alias("Total_Count"), F.sum("e.ret").alias("Returning_Count"),
+        F.sum("e.sw").alias("Switching_Count"))
+    # a switch happens at an order, so its month always has buyers
+    return g.where(F.col("Total_Count") > 0)
 
 
 def second_purchase(orders: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tier, funnel group, switching status / time / days are ``when`` chains
 on the per-buyer aggregate (the tier's branch order is the rule); the
-funnel rules are stated on two small bitmasks, see ``_with_brand_sets``.
+funnel rules are stated on two small bitmasks, see ``with_brand_sets``.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def customers_frame(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG,
         **{f"Basket_Pct_{s}_Products": pct(n, "Basket_Total_Num_Products", 2)
            for (_, s), n in zip(cfg.brands, n_cols)},
     })
-    g = _with_brand_sets(g.withColumn("Loyalty_Tier", loyalty_tier(cfg)), cfg)
+    g = with_brand_sets(g.withColumn("Loyalty_Tier", loyalty_tier(cfg)), cfg)
     g = g.withColumns({"Funnel_Group": funnel_group(cfg), "Switching_Status": switching_status(cfg)})
     g = g.withColumn("Switching_Ts", F.when(F.col("Switching_Status") == C.STATUS_SWITCHER,
                                             switching_time(cfg)))
@@ -92,7 +92,7 @@ def _bit(i: int) -> int:
     return 1 << i
 
 
-def _with_brand_sets(g: DataFrame, cfg: LoyaltyConfig) -> DataFrame:
+def with_brand_sets(g: DataFrame, cfg: LoyaltyConfig) -> DataFrame:
     """Two small bitmasks the funnel rules are stated on (bit i = funnel brand i).
 
     ``_seen``  : brands ever bought.

@@ -68,7 +68,7 @@ DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     "second_purchase": lambda d: adhoc.second_purchase(d.orders),
     # ad-hoc
     "customers_active_between": lambda d: adhoc.customers_active_between(d.orders, ACTIVE_FROM, ACTIVE_TO, d.cfg),
-    "monthly_funnel": lambda d: adhoc.monthly_funnel(d.monthly, d.customers),
+    "monthly_funnel": lambda d: adhoc.monthly_funnel(d.orders, d.cfg),
     "subcategory_month_lines": lambda d: present_lines(
         adhoc.subcategory_month_lines(d.lines, SUBCATEGORY, SUBCATEGORY_MONTH)).drop("Month_Year"),
     # chart feeds over the monthly acquisition summary

@@ -75,3 +75,23 @@ def test_hot_pseudo_buyer(spark):
     d = LoyaltyData(spark.createDataFrame(rows, LINE_SCHEMA), labels(spark))
     got = {r.Buyer_Username: (r.Num_of_Orders, r.Funnel_Group) for r in d.customers.collect()}
     assert got == {"No Username": (3000, "Start with Kinka and Revy"), "solo": (1, "Only with SiMee")}
+
+
+def test_monthly_funnel_matches_join_form(spark):
+    # brute force: month counts of the month x buyer table joined to the
+    # switch months of the customer table, on the hand fixture (pseudo
+    # buyer, pair and three-way entries, switches in a later month)
+    from loyalframe.operators.adhoc import monthly_funnel
+    from loyalframe.functions import month_text
+
+    d = _data(spark)
+    got = sorted(tuple(r) for r in monthly_funnel(d.orders).collect())
+    m = d.monthly.groupBy(F.col("Order_Month").alias("Month")).agg(
+        F.count("*").alias("t"),
+        F.count(F.when(F.col("Acquisition_Type") == "Return From Previous Month", 1)).alias("r"))
+    s = d.customers.where(F.col("Switching_Status") == "Switcher").groupBy(
+        month_text("Switching_Ts").alias("Month")).agg(F.count("*").alias("s"))
+    want = sorted(tuple(r) for r in m.join(s, "Month", "left").select(
+        "Month", "t", "r", F.coalesce("s", F.lit(0))).collect())
+    assert got == want
+    assert sum(r[3] for r in got) == 5  # f_k_r, f_kr_s, f_krs, f_rs_k, f_s_kr

@@ -94,3 +94,9 @@ def test_funnel_group_labels_picked_after_hash_aggregate(spark, name):
     assert re.search(r"HashAggregate\(keys=\[Funnel_Group#\d+, Switching_Status#\d+, Loyalty_Tier#\d+\]", plan)
     for m in re.finditer(r"SortAggregate\(key=\[([^\]]*)\]", plan):
         assert m.group(1).startswith(("ID#", "Funnel_Group#")), m.group(0)
+
+
+def test_monthly_funnel_in_one_pass(spark):
+    plan = _plan(spark, "monthly_funnel")
+    assert "Join" not in plan.replace("BroadcastHashJoin", "")  # only the line-level lookups
+    assert plan.count("FileScan parquet") <= 4
