@@ -60,9 +60,8 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     l = spread(_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("Order_ID"),
-        F.col("l_partkey").cast("string").alias("SKU_ID"),
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
-    ), "Order_ID")
+    ), "Order_ID").withColumn("SKU_ID", F.col("l_partkey").cast("string"))
     o = _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("_o_id"),
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
