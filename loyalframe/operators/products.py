@@ -25,7 +25,8 @@ def pivot_monthly_products(lines: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG
     One aggregation computes both the all-lines and the non-sample measures
     (conditional sums), so the order lines are shuffled once; it keys on
     the sub-category too, so the line-level aggregate is a hash aggregate
-    and only the (small) aggregated rows pick one sub-category. The
+    and only the (small) aggregated rows pick one sub-category, with one
+    more exchange of those rows for everything after. The
     non-sample measures are matched on the shop's key without Category: a
     (month, name, variant) sold under two categories pairs every category
     row with every non-sample category row (m x n rows), as the shop's
@@ -51,9 +52,24 @@ def pivot_monthly_products(lines: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG
             F.sum(F.when(nonaff, after)).alias(measures[6]),
         )
     )
-    # level 2: on the aggregated rows, one sub-category per group (the largest)
-    agg = fine.groupBy(*keys).agg(
-        F.max("Sub_category").alias("Sub_category"), *[F.sum(m).alias(m) for m in measures])
+    # level 2, on the aggregated rows: one row per category (its largest
+    # sub-category, summed measures). The rows are hash-partitioned once by
+    # the product key (month, name, variant) — aggregated rows, a handful
+    # per product, so no hot key — and that one partitioning serves both
+    # the per-category windows here and the product window below.
+    # All window functions share one ordering: (month, name, variant,
+    # category, sub-category desc) — its prefix is the product window's
+    # ordering too, so the three windows need a single sort.
+    cat = Window.partitionBy(*PRODUCT_KEYS, "Category").orderBy(F.col("Sub_category").desc_nulls_last())
+    whole = cat.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    agg = (
+        fine.repartition(*PRODUCT_KEYS)
+        .select(*keys, F.max("Sub_category").over(whole).alias("Sub_category"),
+                *[F.sum(m).over(whole).alias(m) for m in measures],
+                F.row_number().over(cat).alias("_r"))
+        .where(F.col("_r") == 1)
+        .drop("_r")
+    )
     t = {f.name: f.dataType for f in agg.schema.fields}
     # the non-sample side of the shop's join: every category row of the same
     # (month, name, variant) that has non-sample lines. The window runs on

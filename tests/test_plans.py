@@ -100,3 +100,12 @@ def test_monthly_funnel_in_one_pass(spark):
     plan = _plan(spark, "monthly_funnel")
     assert "Join" not in plan.replace("BroadcastHashJoin", "")  # only the line-level lookups
     assert plan.count("FileScan parquet") <= 4
+
+
+def test_products_one_exchange_after_line_aggregate(spark):
+    # aggregated rows are partitioned once by (month, name, variant); the
+    # per-category collapse and the product window share it and one sort
+    plan = _plan(spark, "pivot_monthly_products")
+    assert len(re.findall(r"Exchange hashpartitioning\(Month_Year#", plan)) == 2
+    assert not re.search(r"SortAggregate\(key=\[Month_Year", plan)
+    assert len(re.findall(r"Sort \[Month_Year#", plan)) == 1
