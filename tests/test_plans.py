@@ -109,3 +109,15 @@ def test_products_one_exchange_after_line_aggregate(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(Month_Year#", plan)) == 2
     assert not re.search(r"SortAggregate\(key=\[Month_Year", plan)
     assert len(re.findall(r"Sort \[Month_Year#", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["first_seen_hist", "first_seen_hist_by_month"])
+def test_histogram_range_reuses_the_shuffles_at_run_time(spark, name):
+    # the range (a scalar subquery / a broadcast side) is a second subtree
+    # over the same rows; adaptive execution runs its shuffles only once
+    import __spark_entry__ as E
+
+    df = E.queries()[name](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in final and "ReusedExchange" in final
