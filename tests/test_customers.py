@@ -95,3 +95,22 @@ def test_monthly_funnel_matches_join_form(spark):
         "Month", "t", "r", F.coalesce("s", F.lit(0))).collect())
     assert got == want
     assert sum(r[3] for r in got) == 5  # f_k_r, f_kr_s, f_krs, f_rs_k, f_s_kr
+
+
+def test_active_between_matches_semi_join(spark):
+    # brute force: the customer rows of buyers with an order in the window,
+    # by a semi-join of the order table, on the hand fixture; the window
+    # is half-open, so orders at midnight on 2026-02-01 are in and orders
+    # at midnight on 2026-03-01 are out
+    from loyalframe.operators.adhoc import customers_active_between
+    from loyalframe.operators.customers import total_customers_data
+
+    d = _data(spark)
+    got = customers_active_between(d.orders, "2026-02-01", "2026-03-01")
+    ts = F.col("Order_Ts")
+    active = d.orders.where((ts >= F.lit("2026-02-01").cast("timestamp")) & (ts < F.lit("2026-03-01").cast("timestamp")))
+    want = total_customers_data(d.customers).join(active.select("Buyer_Username"), "Buyer_Username", "left_semi")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    names = {r[0] for r in got.select("Buyer_Username").collect()}
+    assert "No Username" in names and "f_none" in names and "f_kr" in names and "t_one" not in names
