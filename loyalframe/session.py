@@ -78,14 +78,20 @@ def apply_session_conf(spark: SparkSession) -> None:
         spark.conf.set(k, SESSION_CONF[k])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting points at shared storage and is used as is.
     Only when it is unset (local tests) a fresh scratch folder is taken.
+    A Spark Connect session has no driver-side context here: the server's
+    own setting applies and is returned as found.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        return d
+    d = d or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="loyalframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -36,8 +36,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     A hash exchange is also deterministic on retry (round-robin is made
     so by sorting each partition first).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # a Spark Connect session has no RDD view: leave the scan as is
+        return df
+    if parts < cores:
         return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
