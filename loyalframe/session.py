@@ -43,10 +43,15 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4000) -> dict:
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-        # the label join needs only (id, brand, pack size) per product: up to
-        # ~512 MB of that is cheaper to broadcast than shuffling every line
-        # by product id; above it the join falls back to sort-merge
-        "spark.sql.autoBroadcastJoinThreshold": str(512 * 1024 * 1024),
+        # Broadcast bounds. The planner's static estimate of a scan is its
+        # compressed file size, which can understate the in-memory table
+        # several times, so the static bound stays small. At run time AQE
+        # measures the real (uncompressed) shuffle output of a join side:
+        # the label join needs only (id, brand, pack size) per product, and
+        # up to ~512 MB of that, measured, is cheaper to broadcast than
+        # shuffling every line by product id; above it the join stays
+        # sort-merge, with skewed partitions split.
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(512 * 1024 * 1024),
     }
 

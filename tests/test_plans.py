@@ -121,3 +121,15 @@ def test_histogram_range_reuses_the_shuffles_at_run_time(spark, name):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in final and "ReusedExchange" in final
+
+
+def test_cluster_broadcast_bounds():
+    # static estimates (compressed file sizes) get the small bound; the
+    # large one only applies to sizes AQE measured at run time
+    from loyalframe.session import cluster_conf
+
+    c = cluster_conf(100 * 1024**4)
+    static = int(c["spark.sql.autoBroadcastJoinThreshold"])
+    measured = int(c["spark.sql.adaptive.autoBroadcastJoinThreshold"])
+    assert static <= 64 * 1024**2 < measured <= 512 * 1024**2
+    assert int(c["spark.sql.shuffle.partitions"]) >= 100_000
