@@ -30,7 +30,7 @@ EXPORT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in EXPORT_C
 
 def order_line_stream(spark: SparkSession, export_dir: str, labels: DataFrame,
                       cfg: LoyaltyConfig = DEFAULT_CONFIG, fmt: str = "csv",
-                      schema: T.StructType = EXPORT_SCHEMA) -> DataFrame:
+                      schema: T.StructType = EXPORT_SCHEMA, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of typed, labelled, gift-flagged order lines.
 
     The de-duplicated label table is written once to the reliable
@@ -43,18 +43,24 @@ def order_line_stream(spark: SparkSession, export_dir: str, labels: DataFrame,
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
+    if max_files_per_trigger:
+        # bounds each micro-batch: a backlog of many exports is ingested in
+        # several batches (``availableNow`` honours it) rather than one
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return prepared_lines(cast_order_lines(reader.load(export_dir)), fixed_labels, cfg, dedupe=False)
 
 
 def start_order_line_ingest(spark: SparkSession, export_dir: str, labels: DataFrame, out_dir: str,
                             checkpoint_dir: str, available_now: bool = True,
-                            cfg: LoyaltyConfig = DEFAULT_CONFIG) -> StreamingQuery:
+                            cfg: LoyaltyConfig = DEFAULT_CONFIG,
+                            max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Append new export files to the Parquet order-lines table at ``out_dir``.
 
     ``available_now`` processes what is there and stops (a scheduled
     batch); otherwise the query keeps watching the folder.
     """
-    w = (order_line_stream(spark, export_dir, labels, cfg).writeStream.format("parquet")
+    w = (order_line_stream(spark, export_dir, labels, cfg, max_files_per_trigger=max_files_per_trigger)
+         .writeStream.format("parquet")
          .option("path", out_dir).option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

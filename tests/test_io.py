@@ -97,6 +97,24 @@ def test_streaming_ingest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_streaming_ingest_bounded_batches(spark, tmp_path):
+    # a backlog of two exports with one file per trigger: two micro-batches,
+    # every line ingested once
+    src = tmp_path / "exports"
+    src.mkdir()
+    _csv(src / "e1.csv", [list(EXPORT_COLUMNS)] + ROWS[:2], description=False)
+    _csv(src / "e2.csv", [list(EXPORT_COLUMNS)] + ROWS[2:], description=False)
+    with open(tmp_path / "labels.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows(LABELS)
+    labels = read_labels(spark, str(tmp_path / "labels.csv"))
+    q = start_order_line_ingest(spark, str(src), labels, str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                                max_files_per_trigger=1)
+    q.awaitTermination(120)
+    batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    assert len(batches) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
 def test_whole_pipeline_run(spark, tmp_path):
     from loyalframe.plans.run import PIPELINE_DATASETS, run_pipeline
 
