@@ -57,11 +57,11 @@ def monthly_funnel(orders: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> Da
     per = with_brand_sets(per, cfg).withColumn("_status", switching_status(cfg))
     switch_month = F.when((F.col("_status") == C.STATUS_SWITCHER)
                           & (F.col("Month") == month_text("_life_first")), month_text(switching_time(cfg)))
-    returning = (month_text("_life_first") < F.col("Month")).cast("int")
+    returning = F.when(month_text("_life_first") < F.col("Month"), 1).otherwise(0)
     events = per.select(F.explode(F.array(
         F.struct(F.col("Month").alias("m"), F.lit(1).alias("tot"), returning.alias("ret"), F.lit(0).alias("sw")),
         F.struct(switch_month.alias("m"), F.lit(0).alias("tot"), F.lit(0).alias("ret"), F.lit(1).alias("sw")),
-    )).alias("e")).where(F.col("e.m").isNotNull())
+    )).alias("e")).where((F.col("e.tot") == 1) | F.col("e.m").isNotNull())  # orders without a time keep their NULL month
     g = events.groupBy(F.col("e.m").alias("Month")).agg(
         F.sum("e.tot").alias("Total_Count"), F.sum("e.ret").alias("Returning_Count"),
         F.sum("e.sw").alias("Switching_Count"))

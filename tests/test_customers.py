@@ -77,26 +77,40 @@ def test_hot_pseudo_buyer(spark):
     assert got == {"No Username": (3000, "Start with Kinka and Revy"), "solo": (1, "Only with SiMee")}
 
 
-def test_monthly_funnel_matches_join_form(spark):
-    # brute force: month counts of the month x buyer table joined to the
-    # switch months of the customer table, on the hand fixture (pseudo
-    # buyer, pair and three-way entries, switches in a later month)
-    from loyalframe.operators.adhoc import monthly_funnel
+def _funnel_both_ways(d):
+    # the one-pass monthly funnel, and the join of the month x buyer table
+    # to the switch months of the customer table (brute force)
     from loyalframe.functions import month_text
+    from loyalframe.operators.adhoc import monthly_funnel
 
-    d = _data(spark)
-    got = sorted(tuple(r) for r in monthly_funnel(d.orders).collect())
+    got = sorted((tuple(r) for r in monthly_funnel(d.orders).collect()), key=str)
     m = d.monthly.groupBy(F.col("Order_Month").alias("Month")).agg(
         F.count("*").alias("t"),
         F.count(F.when(F.col("Acquisition_Type") == "Return From Previous Month", 1)).alias("r"))
     s = d.customers.where(F.col("Switching_Status") == "Switcher").groupBy(
         month_text("Switching_Ts").alias("Month")).agg(F.count("*").alias("s"))
-    want = sorted(tuple(r) for r in m.join(s, "Month", "left").select(
-        "Month", "t", "r", F.coalesce("s", F.lit(0))).collect())
+    want = sorted((tuple(r) for r in m.join(s, "Month", "left").select(
+        "Month", "t", "r", F.coalesce("s", F.lit(0))).collect()), key=str)
+    return got, want
+
+
+def test_monthly_funnel_matches_join_form(spark):
+    # hand fixture: pseudo buyer, pair and three-way entries, later switches
+    got, want = _funnel_both_ways(_data(spark))
     assert got == want
     assert sum(r[3] for r in got) == 5  # f_k_r, f_kr_s, f_krs, f_rs_k, f_s_kr
 
 
+def test_monthly_funnel_orders_without_time(spark):
+    # an order whose time did not parse keeps its buyer in a NULL month
+    lines = customer_lines(spark)
+    no_time = (lines.where(F.col("Buyer_Username") == "t_one")
+               .withColumn("Created_At", F.lit(None).cast("timestamp")).withColumn("Order_ID", F.lit("zz")))
+    got, want = _funnel_both_ways(LoyaltyData(lines.unionByName(no_time), labels(spark)))
+    assert got == want
+    assert (None, 1, 0, 0) in got
+
+
 def test_active_between_matches_semi_join(spark):
     # brute force: the customer rows of buyers with an order in the window,
     # by a semi-join of the order table, on the hand fixture; the window
