@@ -31,7 +31,8 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4000) -> dict:
     orders, after map-side combine) carries roughly a quarter of the line
     volume; start with enough partitions for ~256 MB each and let AQE
     coalesce the later, much smaller shuffles toward the same advisory
-    size. Skewed partitions (> 5x the median and > 1 GB) are split.
+    size. Skewed partitions (> 5x the median and > 1 GB) are split, also
+    where that costs an extra shuffle.
     """
     shuffle_bytes = max(input_bytes // 4, 1)
     partitions = max(executor_cores * 2, shuffle_bytes // (256 * 1024 * 1024))
@@ -42,6 +43,11 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4000) -> dict:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+        # joins that share one partitioning (the product and label joins on
+        # trim(SKU_ID)) sit in one stage; without this AQE would skip a skew
+        # split there because it breaks the next join's partitioning. With
+        # it, a hot product is split and a shuffle is added only then.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         # Broadcast bounds. The planner's static estimate of a scan is its
         # compressed file size, which can understate the in-memory table

@@ -133,3 +133,6 @@ def test_cluster_broadcast_bounds():
     measured = int(c["spark.sql.adaptive.autoBroadcastJoinThreshold"])
     assert static <= 64 * 1024**2 < measured <= 512 * 1024**2
     assert int(c["spark.sql.shuffle.partitions"]) >= 100_000
+    # stacked joins on one partitioning still get their skewed partitions split
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert c["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
