@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig, EXPORT_TIME_FORMAT
 from loyalframe.operators.customers import customers_frame
-from loyalframe.operators.labelling import prepared_lines
+from loyalframe.operators.labelling import flag_gifts, prepared_lines
 from loyalframe.operators.monthly import monthly_frame
 from loyalframe.operators.orders import orders_frame
 from loyalframe.session import ensure_checkpoint_dir
-from loyalframe.sources.adapter import order_lines_from_tables, product_labels_from_tables
+from loyalframe.sources.adapter import (
+    labelled_order_lines_from_tables, order_lines_from_tables, product_labels_from_tables,
+)
 
 
 _GRAPHS: dict = {}
@@ -42,7 +44,11 @@ class LoyaltyData:
         """
         key = (id(spark), sf_dir, cfg)
         if key not in _GRAPHS:
-            _GRAPHS[key] = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
+            g = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
+            # the same labelled lines as ``prepared_lines(raw_lines, labels)``,
+            # with the joins ordered so the order aggregate reuses a partitioning
+            g.__dict__["lines"] = flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, g.labels), cfg)
+            _GRAPHS[key] = g
         return _GRAPHS[key]
 
     @cached_property

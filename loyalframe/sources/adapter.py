@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loyalframe.config import CANCELLED_STATUS
+from loyalframe.operators.labelling import LABEL_COLUMNS, label_order_lines
 
 DONE_STATUS = "Đã hoàn tất"
 
@@ -50,18 +51,11 @@ def _money(c) -> F.Column:
     return F.round(c * 100).cast("bigint")
 
 
-def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines (reference shape, typed) from lineitem ⋈ orders ⋈ part.
-
-    Both joins are many-to-one on a key; the planner broadcasts ``orders``
-    / ``part`` only while they are under the broadcast threshold and
-    sort-merges otherwise (all three are large at scale). The join keys
-    are the very expressions the later steps key on, so a sort-merge
-    join's partitioning is reused instead of shuffling the lines again:
-    the orders join is on ``Order_ID`` (the order aggregate's key; the
-    text of a bigint is unique, so this equals the key equality) and the
-    part join on ``trim(SKU_ID)`` (the label join's key).
-    """
+def _line_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lineitem (spread), orders and part, each keyed by the expression
+    the later steps partition by: ``Order_ID`` for orders (the order
+    aggregate's key; the text of a bigint is unique, so this equals the
+    key equality) and ``trim(SKU_ID)`` for part (the label join's key)."""
     l = spread(_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("Order_ID"),
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
@@ -71,7 +65,11 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )
     p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("_p_id"), "p_retailprice")
-    j = l.join(o, l.Order_ID == o._o_id).join(p, F.trim(l.SKU_ID) == p._p_id)
+    return l, o, p
+
+
+def _shop_columns() -> list:
+    """The export's columns computed from the joined benchmark columns."""
     ext = F.col("l_extendedprice")
     disc_amt = _money(ext * F.col("l_discount"))
     zero_line = (F.col("l_partkey") % 17) == 0
@@ -79,7 +77,7 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp")
         + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
     )
-    return j.select(
+    return [
         "Order_ID",
         "SKU_ID",
         F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), F.lit(CANCELLED_STATUS))
@@ -102,7 +100,37 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         disc_amt.alias("SKU_Seller_Discount"),
         F.when(zero_line, F.lit(0).cast("bigint")).otherwise(_money(ext) - disc_amt)
         .alias("SKU_Subtotal_After_Discount"),
-    )
+    ]
+
+
+def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines (reference shape, typed) from lineitem ⋈ orders ⋈ part.
+
+    Both joins are many-to-one on a key; the planner broadcasts ``orders``
+    / ``part`` only while they are under the broadcast threshold and
+    sort-merges otherwise (all three are large at scale).
+    """
+    l, o, p = _line_tables(spark, sf_dir)
+    j = l.join(o, l.Order_ID == o._o_id).join(p, F.trim(l.SKU_ID) == p._p_id)
+    return j.select(*_shop_columns())
+
+
+def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+    """The same order lines with the product labels, joins ordered for scale.
+
+    Equal to labelling :func:`order_lines_from_tables` (the inner joins
+    commute with the label join, which is keyed on the product alone),
+    but the product-keyed joins come first and the orders join last.
+    When nothing broadcasts, the lines are then shuffled once by product
+    (part and label joins share that partitioning) and once by order id,
+    and the order aggregate reuses the orders join's partitioning; joining
+    orders first would scatter an order's lines over the product shuffle
+    and cost the aggregate a third, nearly full-size shuffle.
+    """
+    l, o, p = _line_tables(spark, sf_dir)
+    lp = label_order_lines(l.join(p, F.trim(l.SKU_ID) == p._p_id), labels)
+    j = lp.join(o, lp.Order_ID == o._o_id)
+    return j.select(*_shop_columns(), *LABEL_COLUMNS)
 
 
 def product_labels_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

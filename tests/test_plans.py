@@ -70,8 +70,8 @@ def test_hist_by_month_broadcasts_month_range(spark):
 def test_no_broadcast_plan_reuses_join_partitioning(spark):
     # at scale neither orders nor part nor the labels fit a broadcast; the
     # join keys are chosen so the label join reuses the part join's
-    # partitioning: the lines are shuffled by order id, by product id and
-    # (partially aggregated) by the order keys — never twice by product id
+    # partitioning, and the order aggregate reuses the orders join's: the
+    # lines are shuffled once by product id and once by order id
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     old = {k: spark.conf.get(k) for k in keys}
     for k in keys:
@@ -84,6 +84,9 @@ def test_no_broadcast_plan_reuses_join_partitioning(spark):
     assert len(re.findall(r"SortMergeJoin \[trim\(SKU_ID#\d+, None\)\]", plan)) == 2
     assert len(re.findall(r"Exchange hashpartitioning\(trim\(SKU_ID", plan)) == 1
     assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(l_partkey" not in plan
+    # the orders join comes last, on Order_ID: the order aggregate reuses it
+    assert re.search(r"SortMergeJoin \[Order_ID#\d+\], \[_o_id#\d+\], Inner", plan)
+    assert not re.search(r"Exchange hashpartitioning\(Order_ID#\d+, Order_Amount", plan)
 
 
 @pytest.mark.parametrize("name", ["switch_total_funnel_group", "switch_total_funnel_group_by_status"])
