@@ -121,7 +121,9 @@ def _row_counts(d: LoyaltyData):
     # three line-level counts read the lines directly (one pass each, the
     # label join dropped where no label column is used) — cheaper than
     # writing a second copy of the whole line table just to count it.
-    fixed = LoyaltyData(d.raw_lines, d.labels, d.cfg).checkpoint()
+    fixed = LoyaltyData(d.raw_lines, d.labels, d.cfg)
+    fixed.__dict__["lines"] = d.lines  # the graph's labelled lines (its join order)
+    fixed.checkpoint()
     return row_counts({n: DATASETS[n](fixed) for n in COUNTED})
 
 
