@@ -44,13 +44,18 @@ class LoyaltyData:
         """
         key = (id(spark), sf_dir, cfg)
         if key not in _GRAPHS:
-            g = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
-            # the same labelled lines as ``prepared_lines(raw_lines, labels)``,
-            # with the joins ordered so the order aggregate reuses a partitioning
-            g.__dict__["lines"] = flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, g.labels), cfg)
-            _GRAPHS[key] = g
+            _GRAPHS[key] = cls.build_from_tables(spark, sf_dir, cfg)
         return _GRAPHS[key]
 
+    @classmethod
+    def build_from_tables(cls, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> "LoyaltyData":
+        """A new (uncached) graph over the benchmark tables."""
+        g = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
+        # the same labelled lines as ``prepared_lines(raw_lines, labels)``,
+        # with the joins ordered so the order aggregate reuses a partitioning
+        g.__dict__["lines"] = flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, g.labels), cfg)
+        return g
+
     @cached_property
     def lines(self) -> DataFrame:
         return prepared_lines(self.raw_lines, self.labels, self.cfg)
