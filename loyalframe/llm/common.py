@@ -16,6 +16,8 @@ from loyalframe.session import ensure_checkpoint_dir
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def python_workers(spark: SparkSession) -> None:
     """Let Python workers import this package when the driver was started elsewhere."""
@@ -35,11 +37,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs the tasks it ran, never the
     steps before. The planner then knows the table's real size, so a join
-    with it is broadcast only below ``autoBroadcastJoinThreshold``.
+    with it is broadcast only below ``autoBroadcastJoinThreshold``. Shuffle
+    files of the write are no longer needed once it is done; Spark is told
+    to remove them then, not when the driver collects garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
