@@ -9,11 +9,12 @@ document's class under chains of links.
    sets share an n-gram within their prefixes, the first
    ``n - ceil(t * n) + 1`` n-grams in that order. Document frequencies are
    counted over all classes for the n-grams whose hash falls into a fixed
-   eighth of the hash range (these come first in the order, by frequency;
-   the others follow by hash), as an eighth is more than the tenth that a
-   prefix takes. A class whose prefix holds only n-grams of its own cannot
-   link and is done; the classes left are joined to one class per shared
-   prefix n-gram and fall into candidate clusters.
+   quarter of the hash range; these come first in the order, by frequency,
+   the others follow by hash. A class whose prefix holds only n-grams of its
+   own cannot link and is done: in a quarter of the n-grams that takes two
+   in five of them, a prefix being a tenth of all. The classes left are
+   joined to one class per shared prefix n-gram and range of sizes, and fall
+   into candidate clusters.
 3. Prefix tree. The sets of a cluster are stored in a tree of globally
    ordered n-grams, common ones first, so that similar sets share a path and
    their overlap with a new set is counted once. The overlap so far and the
@@ -45,7 +46,7 @@ from loyalframe.llm.common import materialize, python_workers, slim, with_text_c
 from loyalframe.llm.components import components
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_UNIVERSE = np.uint64(1 << 61)  # hashes below are counted: an eighth of the range
+_UNIVERSE = np.uint64(1 << 62)  # hashes below are counted: a quarter of the range
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -157,22 +158,29 @@ def link_classes(sets: list[np.ndarray], percent: int, start: list | None = None
     return [find(i) for i in range(len(sets))]
 
 
-def _linked(cells: DataFrame, percent: int) -> DataFrame:
+_CELL = ("cell_a", "cell_b", "cluster", "node", "label", "s1", "s2", "text")
+
+
+def _linked(cells: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges ``a, b`` (member, least member of its class) within each cell.
 
-    ``cells``: cell_a, cell_b, cluster, node, label, ngrams. A cell may hold
-    many small clusters; each is joined alone.
+    ``cells`` has the columns of ``_CELL``: texts travel, as they are smaller
+    than their sets. A text that is not the node's (another text under the
+    same doc_id) is left out. A cell may hold many small clusters; each is
+    joined alone.
     """
     python_workers(cells.sparkSession)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         by = defaultdict(dict)
-        for cluster, node, label, ngrams in zip(pdf["cluster"], pdf["node"], pdf["label"], pdf["ngrams"]):
-            by[cluster][node] = label, ngrams
+        for cluster, node, label, s1, s2, text in zip(*[pdf[c] for c in _CELL[2:]]):
+            ngrams = ngram_set(text, n)
+            if signature(ngrams) == (s1, s2):
+                by[cluster][node] = label, ngrams
         a, b = [], []
         for members in by.values():
             nodes = sorted(members)
-            found = link_classes([np.asarray(members[i][1], np.int64) for i in nodes], percent, [members[i][0] for i in nodes])
+            found = link_classes([members[i][1] for i in nodes], percent, [members[i][0] for i in nodes])
             least: dict = {}
             for i, g in zip(nodes, found):
                 least.setdefault(g, i)
@@ -180,16 +188,16 @@ def _linked(cells: DataFrame, percent: int) -> DataFrame:
             b += [least[g] for g in found]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return cells.groupBy("cell_a", "cell_b").applyInPandas(join, "a long, b long").where("a != b")
+    return cells.select(*_CELL).groupBy("cell_a", "cell_b").applyInPandas(join, "a long, b long").where("a != b")
 
 
-def _large_clusters(sets: DataFrame, found: DataFrame, percent: int, cell_ngrams: int) -> DataFrame:
+def _large_clusters(texts: DataFrame, found: DataFrame, n: int, percent: int, cell_ngrams: int) -> DataFrame:
     """Edges between the cells of clusters that were dealt into several cells; see step 4 above.
 
-    ``sets``: cluster, parts, node, n, ngrams of those clusters; ``found``:
-    edges within their cells.
+    ``texts``: cluster, parts, node, n, s1, s2, text of those clusters;
+    ``found``: edges within their cells.
     """
-    slim_sets = sets.select("cluster", "node", "n")
+    slim_sets = texts.select("cluster", "node", "n")
     own = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = materialize(slim_sets.join(own, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
     leaders = labels.groupBy("cluster", "label").agg(
@@ -198,8 +206,9 @@ def _large_clusters(sets: DataFrame, found: DataFrame, percent: int, cell_ngrams
     leaders = materialize(leaders.join(slim_sets.select("node", "n"), "node"), "leaders")
     parts = leaders.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(cell_ngrams)).alias("parts"))
     cells = leaders.join(parts, "cluster").withColumn("cell_b", F.pmod(F.xxhash64("label"), F.col("parts")))
+    own_text = texts.select("node", "s1", "s2", "text")
     between = materialize(_linked(cells.select("cluster", "node", "label", "cell_b").join(
-        sets.select("node", "ngrams"), "node").withColumn("cell_a", F.col("cluster")), percent), "between")
+        own_text, "node").withColumn("cell_a", F.col("cluster")), n, percent), "between")
     merged = components(between.unionByName(found).join(slim_sets.select(F.col("node").alias("a")), "a"))
     merged = merged.select("node", F.col("component").alias("merged"))
     labels = materialize(labels.join(merged, "node", "left").withColumn("label", F.coalesce("merged", "label")).select(
@@ -209,7 +218,7 @@ def _large_clusters(sets: DataFrame, found: DataFrame, percent: int, cell_ngrams
                                             F.count(F.lit(1)).alias("classes")).where("classes > 1")
     open_ = materialize(labels.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest")), "open")
     chunks = open_.where("outside").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(cell_ngrams)).cast("int").alias("chunks"))
-    open_ = open_.join(chunks, "cluster").join(sets.select("node", "parts", "ngrams"), "node")
+    open_ = open_.join(chunks, "cluster").join(texts.select("node", "parts", "s1", "s2", "text"), "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
     # cell (part i, chunk c): every document of part i in every chunk's cell, every outside document in its chunk's
@@ -218,15 +227,14 @@ def _large_clusters(sets: DataFrame, found: DataFrame, percent: int, cell_ngrams
         "i", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
     cells = all_rows.unionByName(outside).withColumn(
         "cell_a", F.col("cluster")).withColumn("cell_b", F.col("i").cast("long") * F.col("chunks") + F.col("c"))
-    last = _linked(cells.select("cell_a", "cell_b", "cluster", "node", "label", "ngrams"), percent)
-    return between.unionByName(last)
+    return between.unionByName(_linked(cells, n, percent))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams: int = 2_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Links: 100 * intersection >= ``percent`` * union of the n-gram sets
-    (``percent`` 88 or more: the prefix must stay below the counted eighth's
+    (best above 80: the prefix must stay below the counted quarter's
     size for most sets; smaller sets are filled up, so any value is right).
     A null or empty text, or one of white space, has the empty set and links
     with nothing. A text of fewer than ``n`` words is one n-gram. Texts of
@@ -267,39 +275,32 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams:
         "shared", F.coalesce("shared", F.expr("cast(array() as array<struct<df:bigint,token:bigint>>)")))
     narrow = narrow.withColumn("left", (length - (F.col("k") - F.size("shared"))).cast("int")).where("left > 0")
     prefix = F.concat(F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("left")), lambda t: t["token"]), "filled")
-    index = materialize(narrow.select("node", F.explode(prefix).alias("token")), "index")
-    hubs = index.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = index.join(hubs, "token").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # linked sizes are at most one range apart; the width leaves room for rounding
+    width = max(math.log(100 / percent) * 1.000001, 1e-9)
+    size = F.floor(F.log("n") / F.lit(width))
+    index = narrow.select("node", F.explode(prefix).alias("token"), size.alias("size"))
+    index = materialize(index.withColumn("size", F.explode(F.array("size", F.col("size") + 1))), "index")
+    hubs = index.groupBy("token", "size").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    near = index.join(hubs, ["token", "size"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = components(near).select("node", F.col("component").alias("cluster"))
 
-    # the sets of candidates, read again from their texts
-    members = materialize(classes.select("node", "rep", "n", "s1", "s2").join(clusters, "node"), "members")
-    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-
-    def make_sets():
-        def columns(texts: list) -> tuple:
-            sets = [ngram_set(t, n) for t in texts]
-            marks = [signature(s) for s in sets]
-            return [m[0] for m in marks], [m[1] for m in marks], [s.view(np.int64) for s in sets]
-
-        return columns
-
-    again = with_text_columns(slim(docs.join(ids, "doc_id", "left_semi")), "s1 long, s2 long, ngrams array<long>", make_sets)
-    sets = again.withColumnRenamed("doc_id", "rep").join(members, ["rep", "s1", "s2"]).select("cluster", "node", "n", "ngrams")
-    sets = materialize(sets, "ngrams")
+    # cells: small clusters share one, a large one is dealt into several
+    members = classes.select("node", "rep", "n", "s1", "s2").join(clusters, "node")
+    members = materialize(members.withColumn("label", F.col("node")), "members")
     totals = members.groupBy("cluster").agg(F.sum("n").alias("ngrams_in")).withColumn(
         "parts", F.ceil(F.col("ngrams_in") / F.lit(cell_ngrams)))
     totals = materialize(totals, "totals")
     small, large = totals.agg(F.sum(F.when(F.col("parts") == 1, F.col("ngrams_in"))),
                               F.count(F.when(F.col("parts") > 1, 1))).first()
     bins = max(1, math.ceil((small or 0) / cell_ngrams))
-    placed = sets.join(totals.select("cluster", "parts"), "cluster").withColumn("label", F.col("node"))
     whole = F.col("parts") == 1
-    cells = placed.withColumns({
+    placed = materialize(members.join(totals.select("cluster", "parts"), "cluster").withColumns({
         "cell_a": F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")),
         "cell_b": F.when(whole, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))),
-    })
-    found = materialize(_linked(cells.select("cell_a", "cell_b", "cluster", "node", "label", "ngrams"), percent), "links")
+    }), "placed")
+    ids = materialize(placed.select("rep").distinct(), "ids")  # small enough to be broadcast, it spares shuffling all texts
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi").join(placed, "rep")
+    found = materialize(_linked(texts, n, percent), "links")
     # a document with several texts joins their classes
     named = rows.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").select("doc_id", "n", "node")
     named = materialize(named, "named")
@@ -307,8 +308,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams:
         F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("doc_id", "b")
     several = materialize(named.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a > b"), "several")
     if large:
-        big = placed.where("parts > 1").select("cluster", "parts", "node", "n", "ngrams")
-        links = found.unionByName(_large_clusters(big, found, percent, cell_ngrams)).unionByName(several)
+        big = materialize(texts.where("parts > 1").select("cluster", "parts", "node", "n", "s1", "s2", "text"), "large")
+        links = found.unionByName(_large_clusters(big, found, n, percent, cell_ngrams)).unionByName(several)
         joined = components(links)
     elif several.isEmpty():
         joined = found.select(F.col("a").alias("node"), F.col("b").alias("component"))  # stars: already labels
