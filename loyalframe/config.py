@@ -82,6 +82,10 @@ class LoyaltyConfig:
     # K2: integer / integer truncates (as the shop's SQL did on integer text)
     truncate_integer_ratio: bool = True
 
+    def __post_init__(self):
+        if len(self.funnel_brands) != 3:
+            raise ValueError(f"the funnel rules are stated for 3 brands, not {len(self.funnel_brands)}")
+
     def brand_suffix(self, brand: str) -> str:
         return dict(self.brands)[brand]
 

@@ -103,6 +103,12 @@ def ratio(a, b, a_type, b_type, truncate: bool = True) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def whole_ratio(a, b, a_type, b_type, truncate: bool = True) -> Column:
+    """:func:`ratio`, rounded to a whole number where it is a real division."""
+    r = ratio(a, b, a_type, b_type, truncate)
+    return r if integer_rule(a_type, b_type, truncate) else F.round(r, 0)
+
+
 def integer_rule(a_type, b_type, truncate: bool = True) -> bool:
     """True when ``a / b`` truncates: both operands whole numbers."""
     def whole(t):

@@ -174,11 +174,12 @@ def spend_per_head(acq: DataFrame) -> DataFrame:
                       _fdiv("Total_Customer_Spending", "Num_Of_Customers").alias("Spend_Per_Head"))
 
 
-def purchasing_power(acq: DataFrame, from_month: str) -> DataFrame:
-    """F13 (with P15): per month from ``from_month`` on where both kinds exist:
-    spend efficiency (% spend / % buyers), purchase value x frequency and
-    the returning / new ratios."""
-    df = acq.where(F.col("Order_Month") >= from_month)
+def purchasing_power(acq: DataFrame, from_month: str | None = None, months: list | None = None) -> DataFrame:
+    """F13 (with P15): per month from ``from_month`` on, and in the list
+    ``months`` if given, where both kinds exist: spend efficiency (% spend /
+    % buyers), purchase value x frequency and the returning / new ratios."""
+    df = acq if from_month is None else acq.where(F.col("Order_Month") >= from_month)
+    df = df if months is None else df.where(F.col("Order_Month").isin(*months))
     g = df.groupBy("Order_Month").agg(
         _of("new", "Pct_Total_Customer_Spending").alias("_ps_n"), _of("new", "Pct_Num_Of_Customers").alias("_pc_n"),
         _of("ret", "Pct_Total_Customer_Spending").alias("_ps_r"), _of("ret", "Pct_Num_Of_Customers").alias("_pc_r"),

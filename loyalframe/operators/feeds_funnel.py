@@ -102,23 +102,25 @@ def value_map(fg: DataFrame) -> DataFrame:
 def monthly_funnel_stack(mfg: DataFrame, groups=C.STACK_ORDER) -> DataFrame:
     """loyal buyers per entry month and stack group (0-filled) + month total.
 
-    Groups outside the stack list are left out (the chart has no place
-    for them).
+    Groups outside the stack list are summed as ``Other``, so that the total
+    is every loyal buyer of the month.
     """
-    p = mfg.groupBy("Month").pivot("Funnel_Group", list(groups)).agg(F.sum("Num_of_Customers")).na.fill(
-        0, subset=list(groups))
-    total = sum((F.col(f"`{g}`") for g in groups[1:]), F.col(f"`{groups[0]}`"))
+    shown = F.when(F.col("Funnel_Group").isin(*groups), F.col("Funnel_Group")).otherwise("Other")
+    names = [*groups, "Other"]
+    p = mfg.withColumn("Funnel_Group", shown).groupBy("Month").pivot("Funnel_Group", names).agg(
+        F.sum("Num_of_Customers")).na.fill(0, subset=names)
+    total = sum((F.col(f"`{g}`") for g in names[1:]), F.col(f"`{names[0]}`"))
     return p.withColumn("Total", total)
 
 
 def switcher_share_by_month(mfg: DataFrame, groups=C.STACK_ORDER, censored_months: int = 2) -> DataFrame:
-    """% of each entry-month cohort in a "Start ..." group, cohort size,
+    """% of each entry-month cohort (all its groups) in a "Start ..." group, cohort size,
     and a flag on the youngest ``censored_months`` cohorts (too young to
     have switched yet)."""
     g = F.col("Funnel_Group")
     n = F.col("Num_of_Customers")
     starts = [x for x in groups if x.startswith("Start")]
-    m = mfg.where(g.isin(*groups)).groupBy("Month").agg(
+    m = mfg.groupBy("Month").agg(
         F.sum(n).alias("Cohort_Size"), F.sum(F.when(g.isin(*starts), n).otherwise(0)).alias("_sw"))
     share = F.when(F.col("Cohort_Size") != 0, _fdiv(F.col("_sw"), F.col("Cohort_Size")) * 100.0).otherwise(0.0)
     young = F.dense_rank().over(Window.orderBy(F.col("Month").desc())) <= censored_months

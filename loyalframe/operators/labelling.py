@@ -12,14 +12,16 @@ ROW_TAG = "_row_tag"
 
 
 def tag_file_order(labels: DataFrame) -> DataFrame:
-    """Tag label rows with an id that grows with their position in the file.
+    """Tag label rows with (file name, an id that grows with the position in the file).
 
-    Call right after reading: a file scan's partitions follow the file's
-    byte order and ids grow with the partition index, so the tag orders
-    rows as they appear. Scans are deterministic, so a recomputed
-    partition gets the same tags.
+    Call right after reading: the splits of one file are scanned in byte
+    order and ids grow with the partition index, so the id orders a file's
+    rows as they appear; files themselves are scanned by size, so their name
+    comes first. Scans are deterministic, so a recomputed partition gets the
+    same tags.
     """
-    return labels.withColumn(ROW_TAG, F.monotonically_increasing_id())
+    return labels.withColumn(ROW_TAG, F.struct(F.input_file_name().alias("file"),
+                                               F.monotonically_increasing_id().alias("row")))
 
 
 def dedupe_labels(labels: DataFrame, id_col: str = "ID") -> DataFrame:

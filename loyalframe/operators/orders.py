@@ -25,13 +25,14 @@ ORDER_FIELDS = ("Order_Amount", "Order_Status", "Order_Ts", "Buyer_Username")
 def orders_frame(lines: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
     """Aggregate labelled lines to orders; ``Order_Ts`` is the minute-truncated time.
 
-    The order-level fields the export repeats on every line of an order
-    (amount, status, time, buyer) are grouping keys next to ``Order_ID``,
-    so every aggregate buffer is numeric and Spark plans a hash aggregate
-    with map-side combine (a string ``max`` would force a sort-based
-    aggregate over all lines). One shuffle, on the order keys; an order
-    has a handful of lines, so there is no hot key here. Buyer-less
-    orders all become one pseudo buyer.
+    One row per ``Order_ID``. Two levels: lines are first combined per order
+    and order-level fields (amount, status, time, buyer), which the export
+    repeats on every line, with numeric buffers only, so that this level is a
+    hash aggregate with map-side combine. Then the few rows of an order, one
+    unless its lines disagree, are collapsed: measures are added up, each
+    field takes its ``max`` (a null never wins). Where the rows are already
+    partitioned by ``Order_ID``, as after the orders join, neither level
+    shuffles. An order without any buyer goes to one pseudo buyer.
     """
     brand = F.col("Brand")
     after = F.col("SKU_Subtotal_After_Discount")
@@ -41,7 +42,11 @@ def orders_frame(lines: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataF
     aggs += [F.sum(F.when(brand == b, after)).alias(s) for (b, _), s in zip(cfg.brands, s_cols)]
     aggs += [F.sum(F.when(brand == b, F.col("Pack_Size"))).alias(k) for (b, _), k in zip(cfg.brands, k_cols)]
     keyed = lines.withColumn("Order_Ts", F.date_trunc("minute", F.col("Created_At")))
-    out = keyed.groupBy("Order_ID", *ORDER_FIELDS).agg(*aggs)
+    level1 = keyed.groupBy("Order_ID", *ORDER_FIELDS).agg(*aggs)
+    measures = ["Sum_SKU_Subtotal_After_Discount", *n_cols, *s_cols, *k_cols]
+    types = {f.name: f.dataType for f in level1.schema.fields}
+    out = level1.groupBy("Order_ID").agg(
+        *[F.max(c).alias(c) for c in ORDER_FIELDS], *[F.sum(c).cast(types[c]).alias(c) for c in measures])
     return out.select(
         "Order_ID", "Order_Amount", "Order_Status", "Order_Ts",
         F.coalesce(F.col("Buyer_Username"), F.lit(cfg.no_username)).alias("Buyer_Username"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
-from loyalframe.functions import month_text, ratio
+from loyalframe.functions import month_text
+from loyalframe.functions.exprs import whole_ratio
 from loyalframe.operators.labelling import named_buyer_lines, non_gift_lines
 
 PRODUCT_KEYS = ("Month_Year", "Product_SKU_Name", "Product_Variant")
@@ -78,7 +79,7 @@ def pivot_monthly_products(lines: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG
     cand = F.struct(
         F.coalesce(F.col("_q_nonaff"), F.lit(0)).alias("units"),
         _round2(F.coalesce(F.col("_v_nonaff"), F.lit(0)), t["_v_nonaff"]).alias("volume"),
-        ratio("_rev_nonaff", "_q_nonaff", t["_rev_nonaff"], t["_q_nonaff"], cfg.truncate_integer_ratio)
+        whole_ratio("_rev_nonaff", "_q_nonaff", t["_rev_nonaff"], t["_q_nonaff"], cfg.truncate_integer_ratio)
         .alias("price"),
     )
     w = Window.partitionBy(*PRODUCT_KEYS)

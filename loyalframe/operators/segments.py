@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.functions import pct, ratio, round_div
-from loyalframe.functions.exprs import integer_rule
+from loyalframe.functions.exprs import integer_rule, whole_ratio
 from loyalframe.operators.orders import brand_measures
 
 
@@ -91,10 +91,10 @@ def pivot_loyalty_tier(customers: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG
     g = _summary(customers, ["Loyalty_Tier"], [], cfg)
     g = g.withColumns({
         "Avg_Num_Of_Orders": round_div("Num_of_Orders", "Num_Of_Customers", 2),
-        "Avg_Customer_Lifetime_Value": ratio("Total_Customer_Spending", "Num_Of_Customers",
-                                             g.schema["Total_Customer_Spending"].dataType,
-                                             g.schema["Num_Of_Customers"].dataType,
-                                             cfg.truncate_integer_ratio),
+        "Avg_Customer_Lifetime_Value": whole_ratio("Total_Customer_Spending", "Num_Of_Customers",
+                                                   g.schema["Total_Customer_Spending"].dataType,
+                                                   g.schema["Num_Of_Customers"].dataType,
+                                                   cfg.truncate_integer_ratio),
         "Avg_Retention_Time_Period": round_div("_period_min", "_period_n * 1440", 3),
     })
     return g.select(

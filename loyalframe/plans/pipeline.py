@@ -3,12 +3,13 @@
 ``LoyaltyData`` builds each shared intermediate once per instance
 (lazily, as a DataFrame plan). ``persist()`` keeps them across several
 actions; ``checkpoint()`` cuts the lineage at the order table by writing
-it reliably to ``spark.checkpoint.dir`` (shared storage on a cluster), so
+it as Parquet to ``spark.checkpoint.dir`` (shared storage on a cluster), so
 a lost executor recomputes from there instead of from the raw lines.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -20,40 +21,27 @@ from loyalframe.operators.customers import customers_frame
 from loyalframe.operators.labelling import flag_gifts, prepared_lines
 from loyalframe.operators.monthly import monthly_frame
 from loyalframe.operators.orders import orders_frame
-from loyalframe.session import ensure_checkpoint_dir
+from loyalframe.session import ensure_checkpoint_dir, require_utc
 from loyalframe.sources.adapter import (
     labelled_order_lines_from_tables, order_lines_from_tables, product_labels_from_tables,
 )
 
 
-_GRAPHS: dict = {}
-
-
 class LoyaltyData:
     def __init__(self, lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG):
+        require_utc(lines.sparkSession)
         self.raw_lines = lines
         self.labels = labels
         self.cfg = cfg
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> "LoyaltyData":
-        """Plan graph over the benchmark tables, built once per session and folder.
-
-        DataFrames are immutable plans, so the graph (not data) is shared
-        by every dataset asked for; each action still reads the files.
-        """
-        key = (id(spark), sf_dir, cfg)
-        if key not in _GRAPHS:
-            _GRAPHS[key] = cls.build_from_tables(spark, sf_dir, cfg)
-        return _GRAPHS[key]
-
-    @classmethod
-    def build_from_tables(cls, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> "LoyaltyData":
-        """A new (uncached) graph over the benchmark tables."""
+        """Plan graph over the benchmark tables, as they are now."""
         g = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
         # the same labelled lines as ``prepared_lines(raw_lines, labels)``,
         # with the joins ordered so the order aggregate reuses a partitioning
         g.__dict__["lines"] = flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, g.labels), cfg)
+        g.tables = (spark, sf_dir)
         return g
 
     @cached_property
@@ -79,18 +67,25 @@ class LoyaltyData:
 
     def checkpoint(self, lines: bool = False) -> "LoyaltyData":
         """Write the order table (and with ``lines`` the labelled lines first)
-        to the reliable checkpoint folder ``spark.checkpoint.dir``; later
-        datasets, and recovery after a lost executor, start from there."""
-        ensure_checkpoint_dir(self.raw_lines.sparkSession)
+        as Parquet to the shared folder ``spark.checkpoint.dir``; later
+        datasets, and recovery after a lost executor, start from there and
+        read only the columns they need."""
         if lines:
-            self.__dict__["lines"] = self.lines.checkpoint(eager=True)
+            self.__dict__["lines"] = _written(self.lines, "lines")
             self.__dict__.pop("orders", None)
-        self.__dict__["orders"] = self.orders.checkpoint(eager=True)
+        self.__dict__["orders"] = _written(self.orders, "orders")
         for name in ("customers", "monthly"):
             self.__dict__.pop(name, None)
         return self
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalframe-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def present_lines(lines: DataFrame) -> DataFrame:
     """Order lines as the export shows them: ``Created_Time`` text."""
     if "Created_Time" in lines.columns:  # read from an export: keep its own text

@@ -12,8 +12,10 @@ from loyalframe.operators import feeds_acquisition as fa
 from loyalframe.operators import feeds_funnel as ff
 from loyalframe.operators import feeds_hist as fh
 from loyalframe.operators import feeds_sku as fs
-from loyalframe.operators.labelling import missing_label_ids
+from loyalframe.operators.labelling import dedupe_labels, missing_label_ids
 from loyalframe.plans.pipeline import LoyaltyData, present_lines
+from loyalframe.sources.adapter import export_text_from_tables, label_rows_from_tables
+from loyalframe.sources.ingest import cast_order_lines, rejects
 from loyalframe.sources.sinks import row_counts
 
 # parameters of the ad-hoc questions when run over the benchmark tables
@@ -117,7 +119,7 @@ COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "total
 
 def _row_counts(d: LoyaltyData):
     # six of the nine counted datasets derive from the order table: write it
-    # once to the reliable checkpoint folder and count them from there. The
+    # once as Parquet to the shared folder and count them from there. The
     # three line-level counts read the lines directly (one pass each, the
     # label join dropped where no label column is used) — cheaper than
     # writing a second copy of the whole line table just to count it.
@@ -127,5 +129,17 @@ def _row_counts(d: LoyaltyData):
     return row_counts({n: DATASETS[n](fixed) for n in COUNTED})
 
 
+def _cast_order_lines(d: LoyaltyData):
+    return cast_order_lines(export_text_from_tables(*d.tables)).drop("Created_Time")
+
+
+def _export_rejects(d: LoyaltyData):
+    return rejects(export_text_from_tables(*d.tables))
+
+
+# S2 / S4 over a text rendering of the tables
+DATASETS["cast_order_lines"] = _cast_order_lines
+DATASETS["export_rejects"] = _export_rejects
+DATASETS["dedupe_labels"] = lambda d: dedupe_labels(label_rows_from_tables(*d.tables))
 DATASETS["row_counts"] = _row_counts
 DATASETS["active_months"] = lambda d: fa.active_months(_acq(d))

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from loyalframe.config import DEFAULT_CONFIG
 from loyalframe.plans.pipeline import LoyaltyData
 from loyalframe.plans.registry import COUNTED, DATASETS
+from loyalframe.session import apply_session_conf
 from loyalframe.sources.ingest import read_labels, read_order_lines
-from loyalframe.sources.sinks import export_all, row_counts
+from loyalframe.sources.sinks import export_all, read_dataset, row_counts
 
 # the datasets the shop's pipeline stored, plus the loyal-switcher filter
 PIPELINE_DATASETS = (
@@ -34,8 +35,14 @@ def run_pipeline(data: LoyaltyData, out_dir: str, fmt: str = "parquet",
                  names: tuple = PIPELINE_DATASETS) -> DataFrame:
     """Write ``names`` under ``out_dir`` and return their row counts."""
     data.checkpoint(lines=True)
-    export_all({n: (lambda n=n: DATASETS[n](data)) for n in names}, out_dir, fmt)
-    return row_counts({n: DATASETS[n](data) for n in COUNTED})
+    built = {n: DATASETS[n](data) for n in names}
+    paths = dict(zip(names, export_all({n: (lambda n=n: built[n]) for n in names}, out_dir, fmt)))
+    # what was written is counted from the files, the rest from its plan
+    readable = fmt in ("parquet", "csv", "orc", "json")
+    spark = data.raw_lines.sparkSession
+    return row_counts({
+        n: read_dataset(spark, paths[n], fmt, built[n].schema) if readable and n in paths else DATASETS[n](data)
+        for n in COUNTED})
 
 
 def main(argv=None) -> None:
@@ -47,6 +54,7 @@ def main(argv=None) -> None:
     ap.add_argument("--format", default="parquet")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("loyalframe-pipeline").getOrCreate()
+    apply_session_conf(spark)
     t0 = time.time()
     data = LoyaltyData(read_order_lines(spark, a.lines, a.lines_format), read_labels(spark, a.labels),
                        DEFAULT_CONFIG)

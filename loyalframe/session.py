@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the product and label joins share a stage: split a hot product there too
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # size-checked broadcast: the planner (and AQE at runtime, from real
     # shuffle sizes) broadcasts a join side only below this bound and
     # falls back to a sort-merge join above it.
@@ -85,15 +87,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def apply_session_conf(spark: SparkSession) -> None:
-    for k in ("spark.sql.session.timeZone", "spark.sql.caseSensitive"):
+    """Set on a given session what results depend on, and the skew handling of the joins."""
+    for k in ("spark.sql.session.timeZone", "spark.sql.caseSensitive", "spark.sql.adaptive.enabled",
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
         spark.conf.set(k, SESSION_CONF[k])
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Day differences and minutes are right only without DST steps."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"session time zone is {zone}: call loyalframe.session.apply_session_conf(spark) first")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is taken.
+    Only when it is unset and the master is local (tests) a fresh scratch
+    folder is taken; a cluster without it is an error, as executors would
+    write to folders of their own.
     A Spark Connect session has no driver-side context here: the server's
     own setting applies and is returned as found.
     """
@@ -104,6 +117,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return d
     d = d or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loyalframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:

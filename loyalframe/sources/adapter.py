@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyalframe.config import CANCELLED_STATUS
-from loyalframe.operators.labelling import LABEL_COLUMNS, label_order_lines
+from loyalframe.config import CANCELLED_STATUS, EXPORT_TIME_FORMAT
+from loyalframe.operators.labelling import LABEL_COLUMNS, ROW_TAG, label_order_lines
 
 DONE_STATUS = "Đã hoàn tất"
 
@@ -22,29 +22,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than there are cores.
+LINE_PARTITIONS = "spark.loyalframe.linePartitions"
 
-    A parquet split cannot cut a row group, so a file written as one big
-    row group scans as one task and everything up to the first shuffle
-    would run on one core. Many files / row groups (the normal case on a
-    cluster) give enough partitions already and are left as they are.
 
-    With ``key`` the rows are hash-partitioned on it: when it is the key
-    the next aggregate groups by (``Order_ID`` for the order lines), the
-    broadcast joins in between keep that partitioning and the aggregate
-    needs no shuffle of its own, so spreading costs no extra exchange.
-    A hash exchange is also deterministic on retry (round-robin is made
-    so by sorting each partition first).
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan on ``key`` when the caller asks for it.
+
+    For files written as one big row group, which scan as one task: the
+    session setting ``spark.loyalframe.linePartitions`` names the number of
+    partitions. With the key of the next aggregate (``Order_ID`` for the
+    order lines) the broadcast joins in between keep that partitioning and
+    the aggregate needs no shuffle of its own. Unset, as on a cluster with
+    many files, the plan is the plain scan at every size.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # a Spark Connect session has no RDD view: leave the scan as is
-        return df
-    if parts < cores:
-        return df.repartition(cores, key) if key else df.repartition(cores)
-    return df
+    n = df.sparkSession.conf.get(LINE_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def _money(c) -> F.Column:
@@ -52,7 +44,7 @@ def _money(c) -> F.Column:
 
 
 def _line_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """lineitem (spread), orders and part, each keyed by the expression
+    """lineitem, orders and part, each keyed by the expression
     the later steps partition by: ``Order_ID`` for orders (the order
     aggregate's key; the text of a bigint is unique, so this equals the
     key equality) and ``trim(SKU_ID)`` for part (the label join's key)."""
@@ -133,6 +125,32 @@ def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: D
     return j.select(*_shop_columns(), *LABEL_COLUMNS)
 
 
+def export_text_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines as an export writes them: every cell text.
+
+    Whole numbers come as ``200`` on odd line quantities and ``200.0`` on
+    even ones, and lines of every 11th product have a quantity that is no
+    number.
+    """
+    lines = order_lines_from_tables(spark, sf_dir)
+    even = F.col("Quantity") % 2 == 0
+    number = lambda c: F.concat(F.col(c).cast("string"), F.when(even, ".0").otherwise(""))
+    bad = F.col("SKU_ID").cast("bigint") % 11 == 0
+    money = [c for c in lines.columns if c.startswith("SKU_S") or c.startswith("SKU_U") or c == "Order_Amount"]
+    return lines.withColumns({
+        "Created_Time": F.date_format("Created_At", EXPORT_TIME_FORMAT),
+        **{c: number(c) for c in money}, "Quantity": F.when(bad, "n/a").otherwise(number("Quantity")),
+    }).drop("Created_At")
+
+
+def label_rows_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label rows with an older row for every third product, tagged in file order."""
+    new = product_labels_from_tables(spark, sf_dir)
+    old = new.where(F.col("ID").cast("bigint") % 3 == 0).withColumns({"Category": F.lit("old"), "Brand": F.lit("old")})
+    tag = lambda df, n: df.withColumn(ROW_TAG, F.lit(n))
+    return tag(old, 0).unionByName(tag(new.withColumn("ID", F.concat(F.lit(" "), "ID", F.lit(" "))), 1))
+
+
 def product_labels_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label table (ID + six labels) from ``part``; 10 % of parts unlabelled."""
     p = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_name", "p_brand")

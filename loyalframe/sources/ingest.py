@@ -5,13 +5,11 @@ row under it; every cell is text. Spark has no spreadsheet reader, so
 the sheet comes in saved as CSV (or already as Parquet). Headers are
 cleaned, the description row is dropped by content (no row positions in
 Spark), and text is cast once to a typed schema; unparsable cells
-become NULL instead of failing the job.
+become NULL instead of failing the job, and :func:`rejects` counts them.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,30 +49,64 @@ def read_order_lines(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
         raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    names = clean_headers(_strip_bom(raw.columns))
+    return cast_order_lines(raw.toDF(*name_sku_column(clean_headers(_strip_bom(raw.columns)))))
+
+
+def name_sku_column(names: list[str]) -> list[str]:
+    """The 6th column is the product id, whatever an export calls it."""
     if "SKU_ID" not in names and len(names) > SKU_ID_INDEX:
-        names[SKU_ID_INDEX] = "SKU_ID"
-    return cast_order_lines(raw.toDF(*names))
+        names = [*names[:SKU_ID_INDEX], "SKU_ID", *names[SKU_ID_INDEX + 1:]]
+    return names
+
+
+def _number(c: str, kind: str):
+    """Text as a number of type ``kind``: "200" and "200.0" alike; "1,000" or "2kg" is no number.
+
+    A value that ``kind`` cannot hold exactly ("100.5" as a whole number)
+    becomes NULL rather than another value.
+    """
+    exact = F.trim(F.col(c).cast("string")).try_cast("decimal(38,6)")
+    return F.when(exact.try_cast(kind).cast("decimal(38,6)") == exact, exact.try_cast(kind))
+
 
+def _number_columns(df: DataFrame) -> list[str]:
+    return [c for c in ("Quantity", *MONEY_COLUMNS) if c in df.columns]
 
-def _whole(c: str):
-    # whole numbers; text such as "1,000" or "2kg" is not a number here
-    return F.col(c).cast("string").try_cast("bigint")
 
+def _is_description(df: DataFrame):
+    """True for the export's description row: no cell holds a digit where a time or number belongs."""
+    cells = [F.col(c).cast("string") for c in ("Created_Time", *_number_columns(df))]
+    return ~F.coalesce(F.concat_ws(" ", *cells).rlike("[0-9]"), F.lit(False))
 
-def cast_order_lines(df: DataFrame) -> DataFrame:
+
+def cast_order_lines(df: DataFrame, money: str = "bigint") -> DataFrame:
     """Parse times and numbers once; drop the export's description row.
 
-    The description row is recognised by content: neither its time nor
-    its quantity parses.
+    Only the description row is dropped: the row whose time, quantity and
+    money cells hold no digit at all. A line with a cell that does not parse
+    stays, with NULL there. ``money`` is the type of amounts: whole units by
+    default, ``decimal(18,2)`` for exports with fractions.
     """
-    t = F.try_to_timestamp(F.col("Created_Time").cast("string"), F.lit(EXPORT_TIME_FORMAT))
-    out = df.withColumns({
+    t = F.try_to_timestamp(F.trim(F.col("Created_Time").cast("string")), F.lit(EXPORT_TIME_FORMAT))
+    kept = df.where(~_is_description(df))
+    return kept.withColumns({
         "Created_At": t,
-        "Quantity": _whole("Quantity"),
-        **{c: _whole(c) for c in MONEY_COLUMNS if c in df.columns},
+        **{c: _number(c, "bigint" if c == "Quantity" else money) for c in _number_columns(df)},
     })
-    return out.where(F.col("Created_At").isNotNull() | F.col("Quantity").isNotNull())
+
+
+def rejects(df: DataFrame, money: str = "bigint") -> DataFrame:
+    """Cells of the raw export that :func:`cast_order_lines` turns into NULL: ``Column, Num_Rejected``.
+
+    One row per typed column (0 if all parse), counted in one pass; blank
+    cells and the description row are no rejects.
+    """
+    cast = cast_order_lines(df.withColumns({f"_raw_{c}": F.col(c) for c in _number_columns(df)}), money)
+    raw = {"Created_Time": ("Created_Time", "Created_At"), **{c: (f"_raw_{c}", c) for c in _number_columns(df)}}
+    bad = [F.count(F.when((F.trim(F.col(text).cast("string")) != "") & F.col(typed).isNull(), 1)).alias(name)
+           for name, (text, typed) in raw.items()]
+    pairs = F.array(*[F.struct(F.lit(c).alias("Column"), F.col(c).alias("Num_Rejected")) for c in raw])
+    return cast.agg(*bad).select(F.inline(pairs))
 
 
 def pack_size(c: str = "Pack_Size"):
@@ -88,26 +120,23 @@ def read_labels(spark: SparkSession, path: str, id_column: str = ID_COLUMN,
     """The product label file (CSV, BOM tolerated).
 
     Missing required columns raise ``ValueError`` naming them. Values are
-    trimmed; rows with an empty id are skipped; a duplicated id keeps its
-    last row (rows are tagged in file order right after the read, and
-    :func:`~loyalframe.operators.labelling.dedupe_labels` keeps the
-    largest tag).
+    trimmed and a blank label is the empty text, not NULL (only lines without
+    any label have NULL); rows with an empty id are skipped; a duplicated id
+    keeps its last row: the last in its file, and of several files the last
+    by name (rows are tagged right after the read, and
+    :func:`~loyalframe.operators.labelling.dedupe_labels` keeps the largest
+    tag).
     """
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     cols = _strip_bom(raw.columns)
     missing = [c for c in (id_column, *label_headers) if c not in cols]
     if missing:
-        raise ValueError("CSV file is missing required column(s): " + ", ".join(missing))
+        raise ValueError(f"label file {path} has no column " + ", ".join(missing))
     raw = tag_file_order(raw.toDF(*cols))
     wanted = dict(zip(label_headers, LABEL_COLUMNS))
     out = raw.select(
         F.trim(F.col(f"`{id_column}`")).alias("ID"),
-        *[F.trim(F.col(f"`{h}`")).alias(n) for h, n in wanted.items()],
+        *[F.coalesce(F.trim(F.col(f"`{h}`")), F.lit("")).alias(n) for h, n in wanted.items()],
         "_row_tag",
     )
     return out.withColumn("Pack_Size", pack_size()).where(F.col("ID").isNotNull() & (F.col("ID") != ""))
-
-
-def header_safe(name: str) -> str:
-    """A column name usable as a file name (for exports)."""
-    return re.sub(r"[^A-Za-z0-9_.-]+", "_", name)

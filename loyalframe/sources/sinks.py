@@ -27,16 +27,35 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     w.save(path)
 
 
-def write_labelled_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Labelled order lines as CSV (with or without a header row)."""
-    df.write.mode("overwrite").option("header", header).csv(path)
+def write_labelled_csv(df: DataFrame, path: str, header: bool = True, header_row: list | None = None,
+                       bom: bool = False) -> None:
+    """Labelled order lines as CSV, with or without a header row.
+
+    ``header_row`` gives the header's texts (one per column, duplicates
+    allowed only as Spark allows them); ``bom`` marks the files as UTF-8 for
+    spreadsheet programs, on the header of each part file.
+    """
+    names = list(header_row) if header_row is not None else df.columns
+    if len(names) != len(df.columns):
+        raise ValueError(f"{len(names)} header texts for {len(df.columns)} columns")
+    if bom and header:
+        names = ["\ufeff" + names[0], *names[1:]]
+    df.toDF(*names).write.mode("overwrite").option("header", header).csv(path)
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read a written dataset back."""
+def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    """Read a written dataset back.
+
+    CSV holds no types: give the dataset's ``schema`` (a DDL text or
+    StructType) to get them back; without it every column is text, as
+    written. Types are never guessed (a month is no timestamp, ``0012`` no
+    number).
+    """
     r = spark.read.format(fmt)
     if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", True)
+        r = r.option("header", True)
+    if schema is not None:
+        r = r.schema(schema)
     return r.load(path)
 
 

@@ -1 +1,3 @@
-from loyalframe.streaming.ingest import order_line_stream, start_order_line_ingest  # noqa: F401
+from loyalframe.streaming.ingest import (  # noqa: F401
+    current_order_lines, order_line_stream, start_order_line_ingest,
+)

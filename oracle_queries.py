@@ -97,12 +97,13 @@ _o_brand = ",\n    ".join(
 )
 ORDERS = f"""
 orders_t AS (
-  SELECT Order_ID, Order_Amount, Order_Status, date_trunc('minute', Created_At) AS Order_Ts,
-    COALESCE(Buyer_Username, 'No Username') AS Buyer_Username,
+  SELECT Order_ID, MAX(Order_Amount) AS Order_Amount, MAX(Order_Status) AS Order_Status,
+    MAX(date_trunc('minute', Created_At)) AS Order_Ts,
+    COALESCE(MAX(Buyer_Username), 'No Username') AS Buyer_Username,
     {isum('SKU_Subtotal_After_Discount')} AS Sum_SKU_Subtotal_After_Discount,
-    {isum('SKU_Subtotal_After_Discount')} - Order_Amount AS Different_Amount,
+    {isum('SKU_Subtotal_After_Discount')} - MAX(Order_Amount) AS Different_Amount,
     {_o_brand}
-  FROM lines GROUP BY Order_ID, Order_Amount, Order_Status, date_trunc('minute', Created_At), Buyer_Username
+  FROM lines GROUP BY Order_ID
 )"""
 
 _sums = ",\n    ".join(f"{isum(c)} AS {c}" for c in N + S + K)
@@ -579,7 +580,8 @@ SELECT Funnel_Group, Cancel_Rate, ROW_NUMBER() OVER (ORDER BY Cancel_Rate, Funne
 SELECT Funnel_Group, {_n} AS Num_Of_Customers, {_ltv} AS Avg_Customer_Value,
   COALESCE(Avg_Num_Of_Orders, 0.0) AS Avg_Num_Of_Orders,
   {fdiv(f'SUM({_n} * {_ltv}) OVER ()', f'SUM({_n}) OVER ()')} AS Weighted_Avg_Customer_Value FROM fg"""),
-    "monthly_funnel_stack": f("SELECT *, " + " + ".join(f'"{g}"' for g in _stack) + " AS Total FROM (SELECT Month, "
+    "monthly_funnel_stack": f("SELECT *, " + " + ".join(f'"{g}"' for g in (*_stack, "Other")) + " AS Total FROM (SELECT Month, "
+                              + f"""COALESCE({isum(f"CASE WHEN Funnel_Group NOT IN ({', '.join(chr(39) + g + chr(39) for g in _stack)}) OR Funnel_Group IS NULL THEN Num_of_Customers END")}, 0) AS "Other", """
                               + ", ".join(f"""COALESCE({isum(f"CASE WHEN Funnel_Group = '{g}' THEN Num_of_Customers END")}, 0) AS "{g}\""""
                                           for g in _stack) + " FROM mfg GROUP BY Month) x"),
     "switcher_share_by_month": f(f"""
@@ -587,7 +589,7 @@ SELECT Month, Cohort_Size, CASE WHEN Cohort_Size <> 0 THEN {fdiv('sw', 'Cohort_S
   AS Switcher_Share, DENSE_RANK() OVER (ORDER BY Month DESC) <= 2 AS Censored
 FROM (SELECT Month, {isum('Num_of_Customers')} AS Cohort_Size,
         {isum("CASE WHEN Funnel_Group LIKE 'Start%' THEN Num_of_Customers ELSE 0 END")} AS sw
-      FROM mfg WHERE Funnel_Group IN ({", ".join(f"'{g}'" for g in _stack)}) GROUP BY Month) x"""),
+      FROM mfg GROUP BY Month) x"""),
     # histograms
     "first_seen_hist": f(f""", r AS {_ret}
 SELECT Order_Month, {_b60} AS Bin, COUNT(*) AS Num_Customers, {_mtext(_lo60)} AS Range_Start, {_mtext(_hi60)} AS Range_End
@@ -643,6 +645,16 @@ SELECT CAST(Created_At AS DATE) AS Day, Product_SKU_Name, MIN(SKU_Subtotal_After
 FROM lines WHERE Created_At IS NOT NULL AND {IN_SKUS} GROUP BY 1, 2 HAVING AVG(SKU_Subtotal_After_Discount) IS NOT NULL"""),
 })
 
+_TYPED = ", ".join(f"CASE WHEN CAST(SKU_ID AS BIGINT) % 11 = 0 THEN NULL ELSE Quantity END AS Quantity" if c == "Quantity" else c
+                   for c in ("Order_ID", "SKU_ID", "Order_Status", "Normal_Or_Pre_order", "Created_At", "Buyer_Username",
+                             "Quantity", "Order_Amount", "SKU_Unit_Original_Price", "SKU_Subtotal_Before_Discount",
+                             "SKU_Seller_Discount", "SKU_Subtotal_After_Discount"))
+ORACLE_SQL["cast_order_lines"] = f"WITH {ADAPTER}\nSELECT {_TYPED} FROM order_lines"
+ORACLE_SQL["export_rejects"] = f"""WITH {ADAPTER}
+SELECT 'Quantity' AS "Column", COUNT(*) AS Num_Rejected FROM order_lines WHERE CAST(SKU_ID AS BIGINT) % 11 = 0
+UNION ALL SELECT unnest(['Created_Time', 'Order_Amount', 'SKU_Unit_Original_Price', 'SKU_Subtotal_Before_Discount',
+  'SKU_Seller_Discount', 'SKU_Subtotal_After_Discount']), 0"""
+ORACLE_SQL["dedupe_labels"] = f"WITH {ADAPTER}\nSELECT * FROM product_labels"
 _COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "total_customers_data",
             "pivot_loyalty_tier", "monthly_customers_data", "pivot_monthly_customers_acquisition",
             "pivot_monthly_products", "monthly_retention_rate")

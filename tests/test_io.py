@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from loyalframe.operators.labelling import label_order_lines
 from loyalframe.plans.pipeline import LoyaltyData
-from loyalframe.sources.ingest import clean_headers, read_labels, read_order_lines
+from loyalframe.operators.orders import orders_frame
+from loyalframe.sources.ingest import cast_order_lines, clean_headers, read_labels, read_order_lines, rejects
 from loyalframe.sources.sinks import export_all, read_dataset, row_counts, write_dataset, write_labelled_csv
-from loyalframe.streaming import start_order_line_ingest
-from loyalframe.streaming.ingest import EXPORT_COLUMNS
+from loyalframe.streaming import current_order_lines, start_order_line_ingest
 
 HEADER = ["Order ID", "Order Status", "Normal or Pre-order", "Created Time", "Buyer Username", "SKU ID", "Quantity",
           "Order Amount", "SKU Unit Original Price", "SKU Subtotal Before Discount", "SKU Seller Discount",
@@ -81,8 +81,8 @@ def test_sinks_roundtrip(spark, tmp_path):
 def test_streaming_ingest(spark, tmp_path):
     src = tmp_path / "exports"
     src.mkdir()
-    _csv(src / "e1.csv", [list(EXPORT_COLUMNS)] + ROWS[:2], description=True)
-    _csv(src / "e2.csv", [list(EXPORT_COLUMNS)] + ROWS[2:], description=False)
+    _csv(src / "e1.csv", [HEADER] + ROWS[:2], description=True)
+    _csv(src / "e2.csv", [HEADER] + ROWS[2:], description=False)
     with open(tmp_path / "labels.csv", "w", newline="", encoding="utf-8") as fh:
         csv.writer(fh).writerows(LABELS)
     labels = read_labels(spark, str(tmp_path / "labels.csv"))
@@ -102,8 +102,8 @@ def test_streaming_ingest_bounded_batches(spark, tmp_path):
     # every line ingested once
     src = tmp_path / "exports"
     src.mkdir()
-    _csv(src / "e1.csv", [list(EXPORT_COLUMNS)] + ROWS[:2], description=False)
-    _csv(src / "e2.csv", [list(EXPORT_COLUMNS)] + ROWS[2:], description=False)
+    _csv(src / "e1.csv", [HEADER] + ROWS[:2], description=False)
+    _csv(src / "e2.csv", [HEADER] + ROWS[2:], description=False)
     with open(tmp_path / "labels.csv", "w", newline="", encoding="utf-8") as fh:
         csv.writer(fh).writerows(LABELS)
     labels = read_labels(spark, str(tmp_path / "labels.csv"))
@@ -129,3 +129,103 @@ def test_whole_pipeline_run(spark, tmp_path):
     for n in PIPELINE_DATASETS:
         assert (tmp_path / "out" / n).exists()
     assert read_dataset(spark, str(tmp_path / "out" / "total_customers_data")).count() == 3
+
+
+def _raw(spark, *rows):
+    cols = ["Order_ID", "Created_Time", "Quantity", "Order_Amount"]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+
+
+def test_only_the_description_row_is_dropped(spark):
+    raw = _raw(spark, ("Platform order id", "dd/mm/yyyy", "", ""), ("o1", "2026-02-05 10:00:31", "1.0", "200.0"),
+               ("o2", "05/02/2026 10:00:31", "x", "100.5"), ("o3", None, "3", " 7 "))
+    got = {r.Order_ID: (r.Created_At is None, r.Quantity, r.Order_Amount) for r in cast_order_lines(raw).collect()}
+    assert got == {"o1": (True, 1, 200), "o2": (False, None, None), "o3": (True, 3, 7)}
+    assert {r.Order_ID: r.Order_Amount and float(r.Order_Amount)
+            for r in cast_order_lines(raw, money="decimal(18,2)").collect()}["o2"] == 100.5
+    assert {r.Column: r.Num_Rejected for r in rejects(raw).collect()} == {
+        "Created_Time": 1, "Quantity": 1, "Order_Amount": 1}
+
+
+def test_blank_labels_and_several_label_files(spark, tmp_path):
+    d = tmp_path / "labels"
+    d.mkdir()
+    with open(d / "a_first.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows([LABELS[0], ["K1", "", "Tea/1", "old", "1 box", "Kinka", "500"]])
+    with open(d / "b_last.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows([LABELS[0]] + [[f"X{i}", "c", "c", "n" * 40, "v", "Revy", "1"] for i in range(300)]
+                                 + [["K1", "", "Tea/1", "new", "1 box", "Kinka", "250"]])
+    lines = spark.createDataFrame([("K1",), ("ZZ",)], "SKU_ID string")
+    got = {r.SKU_ID: (r.Category, r.Product_SKU_Name) for r in label_order_lines(lines, read_labels(spark, str(d))).collect()}
+    assert got == {"K1": ("", "new"), "ZZ": (None, None)}
+
+
+def test_csv_read_back_keeps_text_and_given_types(spark, tmp_path):
+    df = spark.createDataFrame([("2026-01", "0012", 3)], "Order_Month string, Order_ID string, n long")
+    write_dataset(df, str(tmp_path / "d"), "csv")
+    assert read_dataset(spark, str(tmp_path / "d"), "csv").collect()[0] == ("2026-01", "0012", "3")
+    assert read_dataset(spark, str(tmp_path / "d"), "csv", df.schema).collect() == df.collect()
+    write_labelled_csv(df, str(tmp_path / "h"), header_row=["Month", "Order", "N"], bom=True)
+    text = next((tmp_path / "h").glob("part-*")).read_text(encoding="utf-8")
+    assert text.splitlines()[0] == "\ufeffMonth,Order,N"
+
+
+def test_order_with_disagreeing_lines_is_one_order(spark):
+    from tests.fixtures import LINE_SCHEMA, labels, line, t
+
+    when = t("2026-01-05 10:00")
+    rows = [line("o1", "K", when, "ann", amount=200, status="Đã hủy"),
+            line("o1", "R", when, None, amount=150, status="Đã hoàn tất"),
+            line("o2", "K", when, None, amount=90)]
+    d = LoyaltyData(spark.createDataFrame(rows, LINE_SCHEMA), labels(spark))
+    got = {r.Order_ID: r for r in orders_frame(d.lines).collect()}
+    assert len(got) == 2 and got["o1"].Order_Amount == 200 and got["o1"].Buyer_Username == "ann"
+    assert got["o1"].Order_Status == "Đã hủy" and got["o1"].Sum_SKU_Subtotal_After_Discount == 200
+    assert got["o1"].Basket_Num_Kinka_Products == 1 and got["o1"].Basket_Num_Revy_Products == 1
+    assert got["o2"].Buyer_Username == "No Username"
+    ann = {r.Buyer_Username: r for r in d.customers.collect()}["ann"]
+    assert ann.Num_of_Orders == 1 and ann.Total_Customer_Spending == 200
+
+
+def test_session_time_zone_must_be_utc(spark):
+    from tests.fixtures import LINE_SCHEMA, labels
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="time zone"):
+            LoyaltyData(spark.createDataFrame([], LINE_SCHEMA), labels(spark))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_reexported_orders_are_current_once(spark, tmp_path):
+    src = tmp_path / "exports"
+    src.mkdir()
+    header = HEADER + ["Note"]  # one column more than the datasets need
+    _csv(src / "e1.csv", [header] + [r + ["a"] for r in ROWS[:2]])
+    with open(tmp_path / "labels.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows(LABELS)
+    labels = read_labels(spark, str(tmp_path / "labels.csv"))
+    start_order_line_ingest(spark, str(src), labels, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(120)
+    _csv(src / "e2.csv", [header] + [r + ["b"] for r in ROWS])
+    start_order_line_ingest(spark, str(src), labels, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    now = current_order_lines(spark, str(tmp_path / "out")).collect()
+    assert len(now) == 4 and {r.Note for r in now} == {"b"}
+
+
+def test_every_loyal_buyer_is_in_the_funnel_charts(spark):
+    from loyalframe.operators.feeds_funnel import monthly_funnel_stack, switcher_share_by_month
+
+    mfg = spark.createDataFrame([("2026-01", "Start with Kinka", 3), ("2026-01", "Not buy any of 3 brands", 2)],
+                                "Month string, Funnel_Group string, Num_of_Customers long")
+    r = monthly_funnel_stack(mfg).first()
+    assert r.Total == 5 and r.Other == 2
+    assert switcher_share_by_month(mfg).first().Cohort_Size == 5
+
+
+def test_funnel_needs_three_brands():
+    from loyalframe.config import LoyaltyConfig
+
+    with pytest.raises(ValueError, match="3 brands"):
+        LoyaltyConfig(funnel_brands=("Kinka", "Revy"))

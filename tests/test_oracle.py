@@ -6,6 +6,8 @@ import os
 import duckdb
 import pytest
 
+from loyalframe.plans.registry import DATASETS
+
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -34,9 +36,7 @@ def con():
 
 
 def _names():
-    import __spark_entry__ as E
-
-    return sorted(E.oracle_sql())
+    return sorted(DATASETS)
 
 
 @pytest.mark.parametrize("name", _names())
@@ -56,8 +56,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_reason():
     import __spark_entry__ as E
 
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= set(getattr(E, "NO_ORACLE", {}))
+    assert set(DATASETS) <= set(E.queries()) and set(DATASETS) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from loyalframe.plans.registry import DATASETS
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,15 +20,16 @@ def _plan(spark, name):
                                   "pivot_loyalty_tier", "monthly_sku_sales"])
 def test_line_level_aggregates_are_hash_aggregates(spark, name):
     plan = _plan(spark, name)
-    # the only sort-based aggregate allowed is the label de-duplication (max_by of a struct)
+    # sort-based aggregates: the label de-duplication (max_by of a struct) and the collapse of an order's few rows
     for m in re.finditer(r"SortAggregate\(key=\[([^\]]*)\]", plan):
-        assert m.group(1).startswith("ID#"), m.group(0)
+        assert re.match(r"ID#|Order_ID#\d+$", m.group(1)), m.group(0)
+    assert re.search(r"HashAggregate\(keys=\[Order_ID#\d+, Order_Amount#", plan) or name == "monthly_sku_sales"
 
 
 def test_no_cartesian_products(spark):
     import __spark_entry__ as E
 
-    for name in E.queries():
+    for name in DATASETS:
         plan = _plan(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -47,9 +50,14 @@ def test_label_join_is_broadcast_at_small_scale(spark):
 
 
 def test_spread_partitioning_feeds_order_aggregate(spark):
-    # the under-partitioned line scan is hash-spread on Order_ID; the order
-    # aggregate reuses that partitioning instead of shuffling again
-    plan = _plan(spark, "total_orders_data")
+    # on demand the line scan is hash-spread on Order_ID; both levels of the
+    # order aggregate reuse that partitioning instead of shuffling again
+    assert "REPARTITION_BY_NUM" not in _plan(spark, "total_orders_data")
+    spark.conf.set("spark.loyalframe.linePartitions", "8")
+    try:
+        plan = _plan(spark, "total_orders_data")
+    finally:
+        spark.conf.unset("spark.loyalframe.linePartitions")
     assert re.search(r"Exchange hashpartitioning\(Order_ID#\d+, \d+\), REPARTITION_BY_NUM", plan)
     assert not re.search(r"Exchange hashpartitioning\(Order_ID#\d+, Order_Amount", plan)
 
@@ -86,6 +94,7 @@ def test_no_broadcast_plan_reuses_join_partitioning(spark):
     assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(l_partkey" not in plan
     # the orders join comes last, on Order_ID: the order aggregate reuses it
     assert re.search(r"SortMergeJoin \[Order_ID#\d+\], \[_o_id#\d+\], Inner", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(Order_ID#", plan)) == 1
     assert not re.search(r"Exchange hashpartitioning\(Order_ID#\d+, Order_Amount", plan)
 
 
@@ -96,7 +105,7 @@ def test_funnel_group_labels_picked_after_hash_aggregate(spark, name):
     plan = _plan(spark, name)
     assert re.search(r"HashAggregate\(keys=\[Funnel_Group#\d+, Switching_Status#\d+, Loyalty_Tier#\d+\]", plan)
     for m in re.finditer(r"SortAggregate\(key=\[([^\]]*)\]", plan):
-        assert m.group(1).startswith(("ID#", "Funnel_Group#")), m.group(0)
+        assert m.group(1).startswith(("ID#", "Order_ID#", "Funnel_Group#")), m.group(0)
 
 
 def test_monthly_funnel_in_one_pass(spark):
