@@ -72,8 +72,7 @@ def source_targets(sources: DataFrame, weights: tuple = (3.0, 1.0, 2.0), total_s
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), total_share: float = 1.5, max_repeat: float = 2.0,
-            seed: int = 7, part_rows: int = 4096, keep: tuple = ()) -> DataFrame:
+def mixture(docs: DataFrame, **params) -> DataFrame:
     """``doc_id, size, source, source_size, target, copies, taken`` for every row of ``docs``.
 
     ``size`` counts words (runs of anything but space and ``\\x09-\\x0D``);
@@ -81,10 +80,16 @@ def mixture(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), total_share: floa
     in order. Repeated rows are rows like any other, each with its own
     position; rows equal in every column stand next to each other and share
     their copies in any order. An empty table gives an empty result. Extra
-    columns are ignored unless named in ``keep``. The same rows and seed
+    columns are ignored. The same rows and seed
     give the same result. A source without words has target 0 and is not
     taken.
     """
+    return _placed(docs, (), **params)
+
+
+def _placed(docs: DataFrame, keep: tuple, weights: tuple = (3.0, 1.0, 2.0), total_share: float = 1.5,
+            max_repeat: float = 2.0, seed: int = 7, part_rows: int = 4096) -> DataFrame:
+    """:func:`mixture` with the columns of ``keep`` under ``_keep_`` names."""
     source_key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # never null: one join key
     sized = materialize(docs.select(
         "doc_id", "source", source_key.alias("_s"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
@@ -111,12 +116,13 @@ def mixture(docs: DataFrame, weights: tuple = (3.0, 1.0, 2.0), total_share: floa
     copies = F.floor(at * F.col("_rate") + F.col("_u")) - F.floor((at - 1) * F.col("_rate") + F.col("_u"))
     return placed.withColumn("_rate", rate).withColumn("_u", start).withColumn("copies", copies.cast("long")).select(
         "doc_id", "size", "source", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+        (F.col("copies") * F.col("size")).alias("taken"), *[f"_keep_{c}" for c in keep])
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed documents: every input column, one row per emitted copy."""
     names = docs.columns
-    counted = mixture(docs, keep=tuple(c for c in names if c not in ("doc_id", "source")), **params)
+    counted = _placed(docs, tuple(names), **params)
     return counted.where("copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        *[F.col(f"_keep_{c}").alias(c) for c in names])
