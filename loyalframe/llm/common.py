@@ -65,6 +65,13 @@ def text_of(c: str = "text") -> Column:
 
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few results at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_text_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[list], tuple]]) -> DataFrame:
     """``df`` with column ``_text`` replaced by the columns of ``ddl``, made from the texts in Arrow batches.
 
@@ -78,7 +85,7 @@ def with_text_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns_of = make()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
             rest = batch.drop_columns(["_text"])
             made = [pa.array(values, type=t) for values, t in zip(columns_of(texts), types)]

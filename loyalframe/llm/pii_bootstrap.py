@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loyalframe.llm.common import materialize, python_workers, text_of, with_text_columns
+from loyalframe.llm.common import materialize, python_workers, slices, text_of, with_text_columns
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the exact patterns, in forms that take linear time on long runs. A domain and an IP's
@@ -238,7 +238,7 @@ def mask_personal_data(docs: DataFrame, **params) -> DataFrame:
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, added in zip(batch.column("text").to_pylist(), batch.column("_added").to_pylist()):
                 if text is not None:

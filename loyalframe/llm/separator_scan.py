@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyalframe.llm.common import python_workers, scratch_path
+from loyalframe.llm.common import python_workers, scratch_path, slices
 
 END = 50256
 #: A document may start with its doc_id: 64 bits and a null flag, as five numbers of 15 bits.
@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _tokeniser(file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.array(codec.encode_ordinary(text or ""), dtype="<u2")
