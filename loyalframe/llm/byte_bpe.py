@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import regex
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from loyalframe.llm.common import slim, unkept, with_text_columns
 
 #: Encoded pre-tokens kept in a worker; older ones stay, new ones are then encoded each time.
-CACHED = 1_000_000
+CACHED = 400_000
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -32,22 +31,6 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
 
 
-class _Encoded(dict):
-    """Ids of pre-tokens, made when first asked for; the first ``most`` short ones are kept."""
-
-    def __init__(self, codec: BytePairCodec, most: int):
-        super().__init__()
-        self.codec, self.most = codec, most
-
-    def __missing__(self, piece: str) -> tuple:
-        data = piece.encode()
-        rank = self.codec.ranks.get(data)
-        found = self.codec.merge(data) if rank is None else (rank,)
-        if len(self) < self.most and len(piece) < 64:
-            self[piece] = found
-        return found
-
-
 class BytePairCodec:
     """Encoder and decoder of one vocabulary (token bytes to rank) and one pre-token pattern."""
 
@@ -67,7 +50,8 @@ class BytePairCodec:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.pairs[a << self.shift | b] = rank
-        self.encoded = _Encoded(self, cached)
+        self.cache: dict[str, tuple] = {}
+        self.cached = cached
 
     def merge(self, piece: bytes) -> tuple:
         """Ids of one pre-token."""
@@ -141,10 +125,21 @@ class BytePairCodec:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.encoded.__getitem__, self.split(text))))
+        cache, ids = self.cache, []
+        extend = ids.extend
+        for piece in self.split(text):
+            found = cache.get(piece)
+            if found is None:
+                data = piece.encode()
+                rank = self.ranks.get(data)
+                found = self.merge(data) if rank is None else (rank,)
+                if len(cache) < self.cached and len(piece) < 64:
+                    cache[piece] = found
+            extend(found)
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join([self.tokens[i] for i in ids])
 
 
 _CODECS: dict[tuple, BytePairCodec] = {}
@@ -179,7 +174,7 @@ def tokenise(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fa
             for text in texts:
                 ids = codec.encode(text or "")
                 counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(codec.text.__getitem__, ids)).encode()).hexdigest())
+                digests.append(hashlib.sha256(",".join([codec.text[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
                     lists.append(np.array(ids, np.int32))
