@@ -50,38 +50,37 @@ class BytePairCodec:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.pairs[a << self.shift | b] = rank
+        # the queue: positions by merge rank, and the first level of its bitmap, 256 ranks a word
+        self.buckets: list[list] = [[] for _ in self.tokens]
+        self.words = [0] * (len(self.tokens) // 256 + 1)
         self.cache: dict[str, tuple] = {}
         self.cached = cached
 
     def merge(self, piece: bytes) -> tuple:
-        """Ids of one pre-token."""
-        pairs, shift = self.pairs.get, self.shift
-        ids = [self.single[b] for b in piece]
+        """Ids of one pre-token. Buckets and bitmap are the codec's own and empty again at the end."""
+        pairs, shift, buckets, words = self.pairs.get, self.shift, self.buckets, self.words
+        single = self.single
+        ids = [single[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        current = [-1] * n  # rank of the pair that starts here, -1: none
-        buckets: dict[int, list] = {}
-        words: dict[int, int] = {}
+        # rank of the pair that starts at a position, -1: none
+        current = [pairs(a << shift | b, -1) for a, b in zip(ids, ids[1:])]
+        current.append(-1)
         summary = 0
-        for at in range(n - 1):
-            rank = pairs(ids[at] << shift | ids[at + 1])
-            if rank is not None:
-                current[at] = rank
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    buckets[rank] = [at]
-                    words[rank >> 6] = words.get(rank >> 6, 0) | 1 << (rank & 63)
-                    summary |= 1 << (rank >> 6)
-                else:
-                    bucket.append(at)  # increasing, so already a heap
+        for at, rank in enumerate(current):
+            if rank >= 0:
+                bucket = buckets[rank]
+                if not bucket:
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    summary |= 1 << (rank >> 8)
+                bucket.append(at)  # increasing, so already a heap
         while summary:
             word = (summary & -summary).bit_length() - 1
             bits = words[word]
-            rank = word << 6 | (bits & -bits).bit_length() - 1
+            rank = word << 8 | (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
             at = heappop(bucket)
             if not bucket:
-                del buckets[rank]
                 bits &= bits - 1
                 words[word] = bits
                 if not bits:
@@ -90,34 +89,28 @@ class BytePairCodec:
                 continue  # stale: the pair was merged or has changed
             ids[at] = rank
             gone = after[at]
-            follow = after[gone]
-            after[at] = follow
+            follow = after[at] = after[gone]
             current[gone] = -1
-            new = None
             if follow < n:
                 before[follow] = at
-                new = pairs(rank << shift | ids[follow])
-            current[at] = -1 if new is None else new
-            if new is not None:
-                bucket = buckets.get(new)
-                if bucket is None:
-                    buckets[new] = [at]
-                    words[new >> 6] = words.get(new >> 6, 0) | 1 << (new & 63)
-                    summary |= 1 << (new >> 6)
-                else:
+                new = current[at] = pairs(rank << shift | ids[follow], -1)
+                if new >= 0:
+                    bucket = buckets[new]
+                    if not bucket:
+                        words[new >> 8] |= 1 << (new & 255)
+                        summary |= 1 << (new >> 8)
                     heappush(bucket, at)
+            else:
+                current[at] = -1
             prev = before[at]
             if prev >= 0:
-                new = pairs(ids[prev] << shift | rank)
-                current[prev] = -1 if new is None else new
-                if new is not None:
-                    bucket = buckets.get(new)
-                    if bucket is None:
-                        buckets[new] = [prev]
-                        words[new >> 6] = words.get(new >> 6, 0) | 1 << (new & 63)
-                        summary |= 1 << (new >> 6)
-                    else:
-                        heappush(bucket, prev)
+                new = current[prev] = pairs(ids[prev] << shift | rank, -1)
+                if new >= 0:
+                    bucket = buckets[new]
+                    if not bucket:
+                        words[new >> 8] |= 1 << (new & 255)
+                        summary |= 1 << (new >> 8)
+                    heappush(bucket, prev)
         out, at = [], 0
         while at < n:
             out.append(ids[at])
