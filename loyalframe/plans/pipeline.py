@@ -10,7 +10,7 @@ a lost executor recomputes from there instead of from the raw lines.
 from __future__ import annotations
 
 import uuid
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ from loyalframe.operators.monthly import monthly_frame
 from loyalframe.operators.orders import orders_frame
 from loyalframe.session import ensure_checkpoint_dir, require_utc
 from loyalframe.sources.adapter import (
-    labelled_order_lines_from_tables, order_lines_from_tables, product_labels_from_tables,
+    labelled_order_lines_from_tables, order_lines_from_tables, product_labels_from_tables, read_table,
 )
 
 
@@ -37,12 +37,7 @@ class LoyaltyData:
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> "LoyaltyData":
         """Plan graph over the benchmark tables, as they are now."""
-        g = cls(order_lines_from_tables(spark, sf_dir), product_labels_from_tables(spark, sf_dir), cfg)
-        # the same labelled lines as ``prepared_lines(raw_lines, labels)``,
-        # with the joins ordered so the order aggregate reuses a partitioning
-        g.__dict__["lines"] = flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, g.labels), cfg)
-        g.tables = (spark, sf_dir)
-        return g
+        return TableData(spark, sf_dir, cfg)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -79,6 +74,31 @@ class LoyaltyData:
         return self
 
 
+class TableData(LoyaltyData):
+    """The graph over the benchmark tables. A dataset builds only the frames
+    it needs, and each table is looked up once per graph."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG):
+        require_utc(spark)
+        self.tables = (spark, sf_dir, cache(read_table))
+        self.cfg = cfg
+
+    @cached_property
+    def raw_lines(self) -> DataFrame:
+        return order_lines_from_tables(*self.tables)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return product_labels_from_tables(*self.tables)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The same lines as ``prepared_lines(raw_lines, labels)``, with the
+        joins ordered so the order aggregate reuses a partitioning."""
+        spark, sf_dir, read = self.tables
+        return flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, self.labels, read), self.cfg)
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalframe-{uuid.uuid4().hex}/{name}"

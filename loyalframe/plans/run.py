@@ -39,7 +39,7 @@ def run_pipeline(data: LoyaltyData, out_dir: str, fmt: str = "parquet",
     paths = dict(zip(names, export_all({n: (lambda n=n: built[n]) for n in names}, out_dir, fmt)))
     # what was written is counted from the files, the rest from its plan
     readable = fmt in ("parquet", "csv", "orc", "json")
-    spark = data.raw_lines.sparkSession
+    spark = data.lines.sparkSession
     return row_counts({
         n: read_dataset(spark, paths[n], fmt, built[n].schema) if readable and n in paths else DATASETS[n](data)
         for n in COUNTED})

@@ -9,6 +9,8 @@ start from identical input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ from loyalframe.operators.labelling import LABEL_COLUMNS, ROW_TAG, label_order_l
 DONE_STATUS = "Đã hoàn tất"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One benchmark table. Looking up a Parquet folder's schema is a Spark
+    job, so callers that derive several frames pass one caching reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
 LINE_PARTITIONS = "spark.loyalframe.linePartitions"
 
 
@@ -43,20 +49,20 @@ def _money(c) -> F.Column:
     return F.round(c * 100).cast("bigint")
 
 
-def _line_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _line_tables(spark: SparkSession, sf_dir: str, read: Reader) -> tuple[DataFrame, DataFrame, DataFrame]:
     """lineitem, orders and part, each keyed by the expression
     the later steps partition by: ``Order_ID`` for orders (the order
     aggregate's key; the text of a bigint is unique, so this equals the
     key equality) and ``trim(SKU_ID)`` for part (the label join's key)."""
-    l = spread(_table(spark, sf_dir, "lineitem").select(
+    l = spread(read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("Order_ID"),
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
     ), "Order_ID").withColumn("SKU_ID", F.col("l_partkey").cast("string"))
-    o = _table(spark, sf_dir, "orders").select(
+    o = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("_o_id"),
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("_p_id"), "p_retailprice")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("_p_id"), "p_retailprice")
     return l, o, p
 
 
@@ -95,19 +101,20 @@ def _shop_columns() -> list:
     ]
 
 
-def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines_from_tables(spark: SparkSession, sf_dir: str, read: Reader = read_table) -> DataFrame:
     """Order lines (reference shape, typed) from lineitem ⋈ orders ⋈ part.
 
     Both joins are many-to-one on a key; the planner broadcasts ``orders``
     / ``part`` only while they are under the broadcast threshold and
     sort-merges otherwise (all three are large at scale).
     """
-    l, o, p = _line_tables(spark, sf_dir)
+    l, o, p = _line_tables(spark, sf_dir, read)
     j = l.join(o, l.Order_ID == o._o_id).join(p, F.trim(l.SKU_ID) == p._p_id)
     return j.select(*_shop_columns())
 
 
-def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: DataFrame,
+                                     read: Reader = read_table) -> DataFrame:
     """The same order lines with the product labels, joins ordered for scale.
 
     Equal to labelling :func:`order_lines_from_tables` (the inner joins
@@ -119,20 +126,20 @@ def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: D
     orders first would scatter an order's lines over the product shuffle
     and cost the aggregate a third, nearly full-size shuffle.
     """
-    l, o, p = _line_tables(spark, sf_dir)
+    l, o, p = _line_tables(spark, sf_dir, read)
     lp = label_order_lines(l.join(p, F.trim(l.SKU_ID) == p._p_id), labels)
     j = lp.join(o, lp.Order_ID == o._o_id)
     return j.select(*_shop_columns(), *LABEL_COLUMNS)
 
 
-def export_text_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def export_text_from_tables(spark: SparkSession, sf_dir: str, read: Reader = read_table) -> DataFrame:
     """The order lines as an export writes them: every cell text.
 
     Whole numbers come as ``200`` on odd line quantities and ``200.0`` on
     even ones, and lines of every 11th product have a quantity that is no
     number.
     """
-    lines = order_lines_from_tables(spark, sf_dir)
+    lines = order_lines_from_tables(spark, sf_dir, read)
     even = F.col("Quantity") % 2 == 0
     number = lambda c: F.concat(F.col(c).cast("string"), F.when(even, ".0").otherwise(""))
     bad = F.col("SKU_ID").cast("bigint") % 11 == 0
@@ -143,17 +150,17 @@ def export_text_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("Created_At")
 
 
-def label_rows_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_rows_from_tables(spark: SparkSession, sf_dir: str, read: Reader = read_table) -> DataFrame:
     """Label rows with an older row for every third product, tagged in file order."""
-    new = product_labels_from_tables(spark, sf_dir)
+    new = product_labels_from_tables(spark, sf_dir, read)
     old = new.where(F.col("ID").cast("bigint") % 3 == 0).withColumns({"Category": F.lit("old"), "Brand": F.lit("old")})
     tag = lambda df, n: df.withColumn(ROW_TAG, F.lit(n))
     return tag(old, 0).unionByName(tag(new.withColumn("ID", F.concat(F.lit(" "), "ID", F.lit(" "))), 1))
 
 
-def product_labels_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_labels_from_tables(spark: SparkSession, sf_dir: str, read: Reader = read_table) -> DataFrame:
     """Label table (ID + six labels) from ``part``; 10 % of parts unlabelled."""
-    p = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_name", "p_brand")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_name", "p_brand")
     k = F.col("p_partkey") % 10
     brand = (
         F.when(k < 4, "Kinka").when(k < 6, "Revy").when(k == 6, "SiMee").when(k == 7, "Y tế")
