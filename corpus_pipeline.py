@@ -20,6 +20,8 @@ from loyalframe.llm.pii_bootstrap import mask_personal_data
 from loyalframe.llm.zstd_language import held_out, identify, learn
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: near duplicates: Jaccard similarity of 0.8 or more on shingles of five words (op6 has its own contract, 3 and 90)
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Repeated rows of an id become one."""
-    classes = jaccard_classes(docs)
+    classes = jaccard_classes(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     gone = materialize(classes.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = materialize(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")

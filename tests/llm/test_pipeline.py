@@ -58,3 +58,41 @@ def test_stages(spark):
         assert stage(spark, odd, SF).columns == docs.columns
         assert stage(spark, odd.limit(0), SF).count() == 0
     assert Counter(r.doc_id for r in C.near_duplicates(spark, odd, SF).collect()) == Counter([1, 2, 3, None, 5, 6, 8])
+
+
+def five_word_classes(rows, n=5, percent=80):
+    """Least id of each id's class under chains of links, by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[a:a + n]) for a in range(max(1, len(w) - n + 1))} if w else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return root
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    import corpus_pipeline as C
+    from tests.llm.test_operators import DOC, near_copies
+
+    base = [f"w{i}" for i in range(200)]
+    longer = base + [f"x{i}" for i in range(36)]  # 18 % of contiguous text more
+    changed = base[:100] + [f"y{i}" for i in range(14)] + base[114:]  # 7 % replaced
+    far = base[:100] + [f"z{i}" for i in range(40)] + base[140:]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((base, longer, changed, far))] + near_copies(spark)
+    kept = {r.doc_id for r in C.near_duplicates(spark, spark.createDataFrame(rows, DOC), SF).collect()}
+    assert kept == set(five_word_classes([r[:2] for r in rows]).values()) and {0, 3} <= kept and not {1, 2} & kept
+
+
+def test_near_duplicates_of_the_table(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    single = C.near_duplicates(spark, docs, SF)
+    want = set(five_word_classes([(r.doc_id, r.text) for r in docs.collect()]).values())
+    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(want)
