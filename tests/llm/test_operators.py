@@ -361,6 +361,19 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in identify(odd_documents(spark), learn(empty)).collect()} == {UNKNOWN}
 
 
+@pytest.mark.parametrize("lang", ["en", "fr"])
+def test_language_margin_does_not_fall_with_the_length(spark, lang):
+    rows = documents(spark).select("doc_id", "text", "lang")
+    content = learn(rows.where(~held_out()))
+    words = " ".join(r.text for r in rows.where(held_out() & (F.col("lang") == lang)).collect()).split()
+    rnd = random.Random(6)
+    long = " ".join(rnd.choices(words, k=1_000_000))  # several MB
+    got = identify(spark.createDataFrame([(1, long, None, "s", 1), (2, long[:30_000], None, "s", 1)], DOC), content)
+    by = {r.doc_id: r for r in got.collect()}
+    assert len(long) > 4_000_000 and by[1].lang_pred == by[2].lang_pred == lang and not by[1].rejected
+    assert by[1].margin > 0.5 * by[2].margin > 0
+
+
 # 10: secrets
 
 SECRETS = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
