@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary is filled with whole labelled
-texts. A text is compressed with every language's dictionary; the smallest
+For each language a raw-content dictionary is filled with labelled texts,
+of long ones an excerpt. A text is compressed with every language's dictionary; the smallest
 output names the language, as its letter sequences were found in that
 dictionary most often. A text is compressed in chunks of ``CHUNK`` bytes, each
 with the dictionary alone, and the sizes are summed: in one go the text itself
@@ -10,8 +10,10 @@ The margin to the second best, in compressed bytes per hundred, is the
 confidence; a text with a narrow margin is rejected.
 
 Learning reads labels once: rows are ordered by a hash, the first
-``sample_rows`` of each language are the sample, and whole texts of them are
-taken in that order while they fit into ``dict_bytes``. So the driver holds
+``sample_rows`` of each language are the sample, and their texts are taken in
+that order while they fit into ``dict_bytes``. Of a text above a quarter of
+``dict_bytes`` the middle is taken, a sixteenth of ``dict_bytes`` in
+characters, so a language with long texts only is learned too. The driver holds
 at most (``dict_bytes`` plus the sample's ids) per language, at any size of
 the table. Letters are taken in lower case. Between languages of equal size
 the one with more labelled rows is taken.
@@ -34,17 +36,20 @@ CHUNK = 1 << 14  # bytes, a quarter of a dictionary
 def learn(labelled: DataFrame, dict_bytes: int = 1 << 16, sample_rows: int = 200) -> dict[str, bytes]:
     """Dictionary content per language from ``labelled`` (doc_id, text, lang), the commonest language first.
 
-    A bounded sample: ``dict_bytes`` and ``sample_rows`` per language. Rows
-    without language or text are not learned from.
+    A bounded sample: ``dict_bytes`` and ``sample_rows`` per language; long
+    texts are cut for learning only. Every language with a labelled text has
+    content. Rows without language or text are not learned from.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0")
     order = F.xxhash64("doc_id")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     ids = rows.select("lang", "doc_id", order.alias("h")).withColumn("r", first).where(
         F.col("r") <= sample_rows).select("doc_id").distinct().collect()  # sample_rows per language
-    size = F.octet_length("text")
-    # texts of the sample that can fit at all; the sum of sizes decides which do
-    sample = rows.where(F.col("doc_id").isin([r[0] for r in ids]) & (size <= dict_bytes // 4)) if ids else rows.limit(0)
+    sample = rows.where(F.col("doc_id").isin([r[0] for r in ids])) if ids else rows.limit(0)
+    part = max(1, dict_bytes // 16)  # characters, of up to four bytes each
+    middle = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - part) / 2).cast("int")), F.lit(part))
+    sample = sample.withColumn("text", F.when(F.octet_length("text") > dict_bytes // 4, middle).otherwise(F.col("text")))
+    size = F.octet_length("text")  # the sum of sizes decides which fit
     upto = F.sum("size").over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     sample = sample.select("lang", "doc_id", "text", order.alias("h"), size.alias("size")).withColumn("upto", upto).where(
         F.col("upto") <= dict_bytes)

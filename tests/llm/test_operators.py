@@ -361,6 +361,19 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in identify(odd_documents(spark), learn(empty)).collect()} == {UNKNOWN}
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    rows = [tuple(r) for r in documents(spark).select("doc_id", "text", "lang").collect()]
+    words = {g: " ".join(t for _, t, lang in rows if lang == g).split() for g in ("en", "fr")}
+    rnd = random.Random(7)
+    long = lambda g: " ".join(rnd.choices(words[g], k=20_000))
+    rows = [r for r in rows if r[2] != "fr"] + [(10_000 + i, long("fr"), "fr") for i in range(3)]
+    content = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 0 < len(content["fr"]) <= 1 << 17 and all(content.values())
+    new = spark.createDataFrame([(1, long("fr"), None, "s", 1), (2, long("fr")[:2000], None, "s", 1), (3, long("en"), None, "s", 1)], DOC)
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in identify(new, content).collect()}
+    assert got == {1: ("fr", False), 2: ("fr", False), 3: ("en", False)}
+
+
 @pytest.mark.parametrize("lang", ["en", "fr"])
 def test_language_margin_does_not_fall_with_the_length(spark, lang):
     rows = documents(spark).select("doc_id", "text", "lang")
