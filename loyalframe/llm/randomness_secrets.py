@@ -1,7 +1,10 @@
 """Secret scans: exact patterns, plus a battery of randomness tests on unknown tokens.
 
-Candidates are maximal runs of token characters, at least ``min_length``
-long, with a letter and a digit. For each an encoding is inferred (its
+Candidates are maximal runs over each set of token characters (letters and
+digits, also with ``+/``, also with ``_-``), at least ``min_length`` long, with
+a letter and a digit; ``=`` may only end them, as padding. So the value of
+``NAME=VALUE`` is a candidate, as is a token behind a URL path; a run that mixes
+``+/`` with ``_-`` is split at either. For each an encoding is inferred (its
 alphabet of ``m`` symbols) and three statistics are taken on the symbols:
 
 * chi-squared uniformity over the alphabet,
@@ -37,7 +40,8 @@ BASE_KINDS = ("assign", "access", "hex")
 ADDED_KIND = "random"
 # a run of 24 or more is the same match as a run of any length, then dropped if shorter
 LONG_HEX = "[0-9a-f]{24,}"
-TOKEN_CHARS = "[A-Za-z0-9+/_=-]"
+TOKEN_CHARS = ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]", "[A-Za-z0-9]")
+PADDING = 2  # signs of padding that count for the least length
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # encoding: (pattern of the body, alphabet, sum of squared symbol shares that uneven natural use has at least)
 ENCODINGS = {
@@ -138,7 +142,8 @@ def scan_secrets(docs: DataFrame, min_length: int = 20, z_limit: float = 3.4, fd
 
     ``base`` and ``added`` are arrays of (start, ord, kind, end), in order of
     start, then kind; positions count code points, the end is exclusive.
-    An added span never overlaps a base span. A null text is the empty text
+    An added span never overlaps a base span and lies in no other added span.
+    A null text is the empty text
     and has no spans; texts of any length are scanned whole; repeated rows
     have equal results; equal tokens count once for the discovery rule. An
     empty table gives an empty result. Extra columns are ignored unless
@@ -150,7 +155,11 @@ def scan_secrets(docs: DataFrame, min_length: int = 20, z_limit: float = 3.4, fd
     df = _find(df, "assign", ASSIGN, f"length(regexp_extract(x.m, '{value}', 1)) >= 6")
     df = _find(df, "access", ACCESS, "length(x.m) >= 20")
     df = _find(df, "hex", LONG_HEX, "true")
-    df = _find(df, "cands", TOKEN_CHARS + f"{{{int(min_length)},}}", "rlike(x.m, '[0-9]') AND rlike(x.m, '[A-Za-z]')")
+    runs = [f"cands{i}" for i in range(len(TOKEN_CHARS))]
+    for name, chars in zip(runs, TOKEN_CHARS):
+        df = _find(df, name, f"{chars}{{{max(1, int(min_length) - PADDING)},}}=*",
+                   f"length(x.m) >= {int(min_length)} AND rlike(x.m, '[0-9]') AND rlike(x.m, '[A-Za-z]')")
+    df = df.withColumn("cands", F.array_distinct(F.concat(*runs))).drop(*runs)
     spans = F.concat(*[F.expr(f"transform({k}, x -> named_struct('start', x.start, 'ord', {i}, 'kind', '{k}', 'end', x.end))")
                        for i, k in enumerate(BASE_KINDS)])
     df = df.withColumn("base", F.array_sort(spans)).drop(*BASE_KINDS, "_text")
@@ -164,7 +173,10 @@ def scan_secrets(docs: DataFrame, min_length: int = 20, z_limit: float = 3.4, fd
     added = F.expr(f"""array_sort(transform(
         filter(cands, c -> c.random AND c.bin >= coalesce(_least[c.stratum], 2147483647)),
         c -> named_struct('start', c.start, 'ord', {len(BASE_KINDS)}, 'kind', '{ADDED_KIND}', 'end', c.end)))""")
-    return df.withColumn("added", added).select(
+    # of accepted runs within one another the outermost stays
+    outermost = F.expr("filter(added, x -> NOT exists(added, y -> y.start <= x.start AND x.end <= y.end "
+                       "AND y.end - y.start > x.end - x.start))")
+    return df.withColumn("added", added).withColumn("added", outermost).select(
         "doc_id", "text_hash", "base", "added", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 

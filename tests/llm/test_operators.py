@@ -424,3 +424,18 @@ def test_random_tokens_are_found_and_plain_ones_left(spark):
     got = {r.doc_id: r.spans for r in randomness_secrets.secret_report(spark.createDataFrame(rows, DOC)).collect()}
     assert sum(got[i] == "random:11:51" for i in range(30)) >= 27
     assert all(got[500 + i] == "" for i in range(len(plain)))
+
+
+def test_random_values_of_names_and_paths_are_found(spark):
+    rnd = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lead = ["SECRETKEY=", "x&sig=", "AccountKey=", "https://a.example/my_files/v1/user_data/", "a_long_name_of_a_setting="]
+    keys = ["".join(rnd.choice(alphabet) for _ in range(44)) for _ in range(60)]
+    texts = [f"some words {lead[i % 5]}{k}{'==' if i % 5 == 2 else ''} more" for i, k in enumerate(keys)]
+    texts += ["some words A_NAME=the_version_of_the_letter_settings_2 more", "path/to/some_folder/with-words/2024/of/letters more"]
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in randomness_secrets.scan_secrets(spark.createDataFrame(rows, DOC)).collect()}
+    covers = lambda i: any(a.start <= texts[i].index(keys[i]) and texts[i].index(keys[i]) + 44 <= a.end for a in got[i].added)
+    for kind in range(5):
+        assert sum(covers(i) for i in range(kind, 60, 5)) >= 10
+    assert not got[60].added and not got[61].added
