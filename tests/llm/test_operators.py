@@ -339,6 +339,20 @@ def test_urls_follow_the_fixed_rules_and_mined_ones(spark):
     assert url_rules.judge_urls(df.limit(0)).count() == 0
 
 
+def test_urls_are_judged_by_deep_folders_values_and_rare_hosts(spark):
+    urls = {i: f"https://h{i}.net/es/{i}/p{i}/casino/x{i}?k=bad{i % 2}" for i in range(40)}
+    urls |= {100 + i: f"https://h{i}.com/de/{i}/p{i}/garden/x{i}?k=good" for i in range(40)}
+    urls |= {1000 + i: f"https://w{i}.com/de/{i}" for i in range(4000)}  # shares fall below 0.02
+    urls |= {6000 + i: f"https://rare.h{i}.net/fr/{i}" for i in range(30)}
+    urls |= {9000: "https://new.org/a/b/c/casino/1", 9001: "https://new.org/a/b/c/garden/1", 9002: "https://new.org/z?k=bad1",
+             9003: "https://rare.org/q"}
+    df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge_urls(df).where("page_id >= 9000").collect()}
+    assert {i: (got[i].verdict, got[i].mined_rule) for i in got} == {
+        9000: ("block", "folder=casino"), 9001: ("allow", "folder=garden"),
+        9002: ("block", "query=k=bad1"), 9003: ("block", "host=rare")}
+
+
 # 9: language
 
 def test_language_of_held_out_documents(spark):
