@@ -1,8 +1,9 @@
 """Personal data by exact patterns and bootstrapped context.
 
 The exact patterns find the base spans; they are also the seeds of the
-bootstrap. Every mention of something like an identifier (a seed, or a token
-with an ``@`` or ``min_digits`` digits) has lexical patterns: the word
+bootstrap. Every mention of something like an identifier (a seed, a token
+with an ``@`` or ``min_digits`` digits, or digit groups joined by blanks and
+other signs with so many digits in all) has lexical patterns: the word
 before it, the two words before it, the words on both sides. Mentions and
 patterns form a bipartite graph, one edge per distinct (identifier,
 pattern), so that copies of a text count once. Each round scores the
@@ -14,11 +15,12 @@ round. Unknown identifiers above ``accept`` are added where they occur.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalframe.llm.common import materialize, python_workers, slices, text_of, with_text_columns
@@ -31,8 +33,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ITEM = 100  # characters; of a longer identifier the graph holds the digest
 DIGIT = re.compile(r"[0-9]")
 MENTION = re.compile(r"[0-9@]\S*+")
+# digit groups joined by one blank, dot, dash or slash, or by a parenthesis with or without one
+GROUPS = re.compile(r"(?<![0-9])[0-9]++(?:(?:\)?[\x20\xa0./-]|[\x20\xa0./-]?\(|\))[0-9]++)++")
 EDGES = ".,;:!?()[]{}<>\"'|*#&%$"
 
 
@@ -82,18 +87,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def mentions(text: str, base: list, min_digits: int, max_length: int) -> list[tuple[int, int, int]]:
-    """(start, kind number or -1, end) of the seeds and of other tokens that look like identifiers."""
+def group_runs(text: str, base: list, min_digits: int) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs of digit groups with a blank inside, between the spans of ``base``.
+
+    A plus sign or an opening parenthesis before a run, or up to four letters
+    as in ``DE89 3704``, belong to it.
+    """
+    out, at = [], 0
+    for stop, after in [(s, e) for s, _, e in base] + [(len(text), len(text))]:
+        for m in GROUPS.finditer(text, at, max(at, stop)):
+            a, b = m.span()
+            if not (" " in m[0] or "\xa0" in m[0]) or len(DIGIT.findall(m[0])) < min_digits:
+                continue
+            letters = a
+            while letters > max(at, a - 5) and text[letters - 1].isalpha():
+                letters -= 1
+            if a - letters <= 4:
+                a = letters
+            if a > at and (text[a - 1] == "+" or text[a - 1] == "(" and ")" in m[0]):
+                a -= 1
+            out.append((a, b))
+        at = max(at, after)
+    return out
+
+
+def mentions(text: str, base: list, min_digits: int, max_length: int | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind number or -1, end) of the seeds, of other tokens that look like identifiers and of runs of digit groups."""
     out, end, k = list(base), 0, 0
+    limit = len(text) if max_length is None else max_length
+    out += [(a, -1, b) for a, b in group_runs(text, base, min_digits) if b - a <= limit] if DIGIT.search(text) else []
     for m in MENTION.finditer(text):
         start = m.start()
         while start > end and not text[start - 1].isspace():
             start -= 1
         end = m.end()
-        token = text[start:end] if end - start <= 4 * max_length else ""
+        token = text[start:end] if end - start <= 4 * limit else ""
         a = start + len(token) - len(token.lstrip(EDGES))
         b = a + len(token.strip(EDGES))
-        if not 0 < b - a <= max_length:
+        if not 0 < b - a <= limit:
             continue
         if "@" not in text[a:b] and len(DIGIT.findall(text, a, b)) < min_digits:
             continue
@@ -121,7 +152,7 @@ _SCAN = ("base array<struct<start:int,ord:int,kind:string,end:int>>, "
          "mentions array<struct<start:int,end:int,kind:string,item:string,patterns:array<string>>>")
 
 
-def scan(docs: DataFrame, min_digits: int, max_length: int) -> DataFrame:
+def scan(docs: DataFrame, min_digits: int, max_length: int | None) -> DataFrame:
     """``doc_id, text_hash, base, mentions`` per row."""
     def make():
         def columns(texts: list) -> tuple:
@@ -130,7 +161,7 @@ def scan(docs: DataFrame, min_digits: int, max_length: int) -> DataFrame:
                 base = base_spans(text)
                 spans.append([{"start": s, "ord": k, "kind": KINDS[k], "end": e} for s, k, e in base])
                 found.append([{
-                    "start": s, "end": e, "kind": KINDS[k] if k >= 0 else None, "item": text[s:e],
+                    "start": s, "end": e, "kind": KINDS[k] if k >= 0 else None, "item": text[s:e] if e - s <= ITEM else hashlib.sha256(text[s:e].encode()).hexdigest(),
                     "patterns": contexts(text, s, e, "@" if "@" in text[s:e] else "9"),
                 } for s, k, e in mentions(text, base, min_digits, max_length)])
             return spans, found
@@ -174,7 +205,7 @@ def bootstrap(graph: DataFrame, rounds: int = 3, min_support: int = 5, min_confi
     return found.where(F.col("score") >= accept)
 
 
-def find_personal_data(docs: DataFrame, min_digits: int = 5, max_length: int = 100, **params) -> DataFrame:
+def find_personal_data(docs: DataFrame, min_digits: int = 5, max_length: int | None = None, **params) -> DataFrame:
     """``doc_id, text_hash, base, added`` for every row of ``docs``.
 
     Both are arrays of (start, ord, kind, end) in order of start, then kind;
@@ -182,13 +213,16 @@ def find_personal_data(docs: DataFrame, min_digits: int = 5, max_length: int = 1
     base span. A null text is the empty text; texts of any length are scanned
     whole, in linear time; repeated rows have equal results and count once in
     the graph; an empty table gives an empty result; extra columns are
-    ignored. An identifier that the bootstrap may add has at most
-    ``max_length`` characters.
+    ignored. An identifier that the bootstrap may add has any length, or at
+    most ``max_length`` characters if that is given.
     """
     rows = materialize(scan(docs, min_digits, max_length).withColumn("row", F.monotonically_increasing_id()), "scan")
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     accepted = bootstrap(each.select("item", "kind", F.explode("patterns").alias("pattern")), **params)
     hits = each.where("kind IS NULL").select("row", "start", "end", "item").join(accepted.select("item", "kind"), "item")
+    # a token of an accepted run of digit groups is no span of its own
+    before = Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("until", F.max("end").over(before)).where("until IS NULL OR end > until")
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     added = hits.groupBy("row").agg(F.array_sort(F.collect_list(
         F.struct("start", number.alias("ord"), "kind", "end"))).alias("added"))

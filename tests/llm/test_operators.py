@@ -186,6 +186,24 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert not got[200].added and not got[200].base
 
 
+def test_bootstrap_finds_identifiers_written_in_groups(spark):
+    shapes = ["0171 555 2{:03}", "555 123 4{:03}", "(555) 123-4{:03}", "1234 5678 9012 3{:03}", "123 45 6{:03}", "DE89 3704 0044 0{:03}"]
+    rows = [(i, f"word{i} and contact phone: +1 (555) 555-{1000 + i} please {i}", "en", "s", 1) for i in range(60)]
+    unseen = [next(u for i in range(100, 200) if not pii_bootstrap.base_spans(u := s.format(i))) for s in shapes]
+    unseen.append("id" + "7x" * 100)  # one long token
+    rows += [(100 + i, f"192.168.0.{i} other{i} words, contact phone: {u}, later", "en", "s", 1) for i, u in enumerate(unseen)]
+    rows += [(200, "plain words and years 2023 2024 the 12 34 56 end", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in pii_bootstrap.find_personal_data(df).collect()}
+    for i, u in enumerate(unseen):
+        assert [(a.kind, rows[60 + i][1][a.start:a.end]) for a in got[100 + i].added] == [("phone", u)]
+    assert not got[200].added and not got[200].base
+    texts = {r.doc_id: r.text for r in pii_bootstrap.mask_personal_data(df).collect()}
+    assert texts[102] == "<IP> other2 words, contact phone: <PHONE>, later"
+    for text in ("1 " * 100_000, "1) (" * 50_000, "a1 " * 70_000, "(1" * 100_000):
+        pii_bootstrap.mentions(text, pii_bootstrap.base_spans(text), 5, 100)
+
+
 def test_personal_data_of_odd_rows(spark):
     df = odd_documents(spark)
     rows = df.collect()
