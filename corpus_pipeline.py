@@ -9,7 +9,7 @@ stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loyalframe.llm.byte_bpe import tokenise
@@ -33,14 +33,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Repeated rows of an id become one."""
-    classes = jaccard_classes(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = materialize(classes.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = materialize(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    """One text of each group stays: the one with the smallest doc_id, then the smallest hash.
+
+    Rows equal in doc_id and text become one, the least in its other columns;
+    different texts under one doc_id are documents of their own. Rows without
+    doc_id all stay.
+    """
+    def text_hash() -> Column:
+        return F.xxhash64(F.col("text").isNull(), "text")
+
+    named = docs.where("doc_id IS NOT NULL")
+    again = materialize(named.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(text_hash()).alias("low"), F.max(text_hash()).alias("high")).where("n > 1"), "again")
+    if again.where("low != high").isEmpty():
+        classes = jaccard_classes(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+        gone = materialize(classes.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+        kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    else:  # ids that clash: each (doc_id, text) has a node number in the place of its id
+        keys = named.select("doc_id", text_hash().alias("_hash")).distinct()
+        keys = materialize(keys.withColumn("node", F.monotonically_increasing_id()), "keys")
+        nodes = named.select("doc_id", "text", text_hash().alias("_hash")).join(keys, ["doc_id", "_hash"])
+        nodes = materialize(nodes.select(F.col("node").alias("doc_id"), "text"), "nodes")
+        classes = jaccard_classes(nodes, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+        linked = keys.join(classes.select(F.col("doc_id").alias("node"), "component_id").distinct(), "node")
+        least = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash")).alias("least"))
+        gone = linked.join(least, "component_id").where(F.struct("doc_id", "_hash") != F.col("least"))
+        gone = materialize(gone.select("doc_id", "_hash"), "gone")
+        kept = docs.withColumn("_hash", text_hash()).join(gone, ["doc_id", "_hash"], "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = again.select("doc_id")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", text_hash().alias("_hash")).agg(
+        F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 

@@ -96,3 +96,18 @@ def test_near_duplicates_of_the_table(spark):
     single = C.near_duplicates(spark, docs, SF)
     want = set(five_word_classes([(r.doc_id, r.text) for r in docs.collect()]).values())
     assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(want)
+
+
+def test_near_duplicates_keep_different_texts_under_one_id(spark):
+    import corpus_pipeline as C
+    from tests.llm.test_operators import DOC
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"], "en", "s", 1), (1, text["b"], "en", "s", 1), (2, text["a"] + " end", "en", "s", 1),
+            (3, text["b"] + " end", "en", "s", 1), (4, text["c"], "fr", "t", 1), (4, text["c"], "de", "t", 1),
+            (5, text["d"], "en", "s", 1), (None, text["d"], "en", "s", 1), (6, None, "en", "s", 1), (6, "", "en", "s", 1)]
+    kept = C.near_duplicates(spark, spark.createDataFrame(rows, DOC), SF)
+    want = [(1, text["a"], "en"), (1, text["b"], "en"), (4, text["c"], "de"), (5, text["d"], "en"), (None, text["d"], "en"),
+            (6, None, "en"), (6, "", "en")]
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter((r.doc_id, r.text, r.lang) for r in kept.collect()) == Counter(want)
