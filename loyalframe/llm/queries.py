@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from loyalframe.llm.block_knn import nearest
 from loyalframe.llm.byte_bpe import tokenise
 from loyalframe.llm.common import table
+from loyalframe.llm.hard_negatives import hard_negatives
 from loyalframe.llm.mixing import mixture
 from loyalframe.llm.ngram_trie_join import jaccard_classes
 from loyalframe.llm.pii_bootstrap import pii_report
 from loyalframe.llm.randomness_secrets import secret_report
 from loyalframe.llm.separator_scan import count_tokens
+from loyalframe.llm.spelling_variants import spelling_variants
 from loyalframe.llm.url_rules import judge_urls
 from loyalframe.llm.vafile_topk import exact_top_k
 from loyalframe.llm.zstd_language import identify_documents
@@ -65,10 +67,20 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op12_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, scale=256, low=50, high=95)
+
+
+def op13_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vafile_topk, op2_separator_scan, op3_bootstrapped_pii, op4_systematic_mixture, op5_byte_bpe,
-        op6_trie_jaccard, op7_url_rules, op8_block_knn, op9_zstd_language, op10_randomness_secrets)
+        op6_trie_jaccard, op7_url_rules, op8_block_knn, op9_zstd_language, op10_randomness_secrets, op12_four_russians, op13_bloom_variants)
 }
 
 _VECTORS = """
@@ -89,6 +101,43 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(q.v[i] - c.v[i]) *
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 10""",
+    "op12_four_russians": f"""
+WITH {_VECTORS.format(vector="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding]",
+                      more="AND label IS NOT NULL AND vec_id IS NOT NULL")},
+n AS (SELECT *, row_number() OVER () AS row FROM v),
+p AS (SELECT q.row, q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM p WHERE same),
+m AS (SELECT s.anchor_id, s.vec_id AS positive_id, p.vec_id AS negative_id, s.score AS positive_score, p.score AS negative_score,
+             (row_number() OVER (PARTITION BY s.row, s.place ORDER BY p.score DESC, p.vec_id))::INTEGER AS rank
+      FROM s JOIN p ON p.row = s.row AND NOT p.same AND 50 * s.score <= 100 * p.score AND 100 * p.score <= 95 * s.score
+      WHERE s.place <= 5)
+SELECT * FROM m WHERE rank <= 3""",
+    # the checksum bit by bit: a zero after each byte's first of eight steps; near words by wildcard and by deletion
+    "op13_bloom_variants": r"""
+WITH RECURSIVE
+o AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[a-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS n FROM o GROUP BY id, run),
+x AS (SELECT *, hex(encode(id || run)) AS x FROM g),
+c AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(
+        [[('0x' || substr(x, i::INTEGER, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR i IN range(1, len(x), 2)])),
+        lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS h FROM x),
+r AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM c),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM w),
+s AS (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS t FROM k),
+d AS (SELECT DISTINCT word, n, l || t AS cut FROM s),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM s a JOIN s b ON a.i = b.i AND a.l = b.l AND a.t = b.t AND a.word <> b.word
+      UNION ALL SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON w.word = d.cut
+      UNION ALL SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON w.word = d.cut),
+f AS (SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS top, max(other_n) AS top_n FROM p GROUP BY word, n),
+e AS (SELECT word, n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n FROM f),
+z AS (SELECT word, word AS root, 0 AS depth FROM w
+      UNION ALL SELECT z.word, e.form, z.depth + 1 FROM z JOIN e ON e.word = z.root WHERE e.form IS NOT NULL)
+SELECT w.word, e.form, arg_max(z.root, z.depth) AS root, w.n, coalesce(e.n_near, 0) AS n_near, e.form_n
+FROM w LEFT JOIN e USING (word) JOIN z ON z.word = w.word GROUP BY w.word, e.form, w.n, e.n_near, e.form_n""",
     # the same sampling design: size bins, parts by the MD5 of the id, one offset per source
     "op4_systematic_mixture": r"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS s,
