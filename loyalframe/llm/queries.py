@@ -12,6 +12,7 @@ from loyalframe.llm.block_knn import nearest
 from loyalframe.llm.byte_bpe import tokenise
 from loyalframe.llm.common import table
 from loyalframe.llm.hard_negatives import hard_negatives
+from loyalframe.llm.license_scan import NOTICES, PHRASES, license_report
 from loyalframe.llm.mixing import mixture
 from loyalframe.llm.ngram_trie_join import jaccard_classes
 from loyalframe.llm.pii_bootstrap import pii_report
@@ -67,6 +68,10 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op12_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
         F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
@@ -80,7 +85,8 @@ def op13_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vafile_topk, op2_separator_scan, op3_bootstrapped_pii, op4_systematic_mixture, op5_byte_bpe,
-        op6_trie_jaccard, op7_url_rules, op8_block_knn, op9_zstd_language, op10_randomness_secrets, op12_four_russians, op13_bloom_variants)
+        op6_trie_jaccard, op7_url_rules, op8_block_knn, op9_zstd_language, op10_randomness_secrets, op11_diagonal_licenses, op12_four_russians,
+        op13_bloom_variants)
 }
 
 _VECTORS = """
@@ -88,6 +94,10 @@ v AS (SELECT DISTINCT vec_id, {vector} AS v FROM embeddings
       WHERE embedding IS NOT NULL AND len(embedding) > 0
         AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 {more})"""
 
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+_TEMPLATES = ", ".join(f"({i}, {exact}, {_QUOTED(label)}, {_QUOTED(text)})" for i, (exact, label, text) in enumerate(
+    [*[("true", *p) for p in PHRASES], *[("false", *n) for n in NOTICES]]))
+
 SQL: dict[str, str] = {
     "op1_vafile_topk": f"""
 WITH {_VECTORS.format(vector="[floor(64 * x::DOUBLE) FOR x IN embedding]", more="")},
@@ -101,6 +111,35 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(q.v[i] - c.v[i]) *
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 10""",
+    # votes by equal words instead of hashes
+    "op11_diagonal_licenses": r"""
+WITH v(template, exact, label, text) AS (VALUES {templates}),
+m AS (SELECT template, exact, label, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS tw FROM v),
+d AS (SELECT row_number() OVER () AS row, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT row, d, w[d + 1] AS a, w[d + 2] AS b, w[d + 3] AS c FROM (SELECT row, w, unnest(range(0, len(w) - 2)) AS d FROM d WHERE len(w) > 2)),
+g AS (SELECT template, t, tw[t + 1] AS a, tw[t + 2] AS b, tw[t + 3] AS c FROM (SELECT template, tw, unnest(range(0, len(tw) - 2)) AS t FROM m)),
+h AS (SELECT row, template, d - t AS diagonal, count(*) AS votes FROM e JOIN g USING (a, b, c) GROUP BY ALL),
+s AS (SELECT h.*, exact, CASE WHEN exact OR diagonal - lag(diagonal) OVER o <= 8 THEN exact::INTEGER ELSE 1 END AS apart
+      FROM h JOIN m USING (template) WHERE CASE WHEN exact THEN votes = len(tw) - 2 ELSE votes >= least(3, len(tw) - 2) END
+      WINDOW o AS (PARTITION BY row, template ORDER BY diagonal)),
+u AS (SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM s),
+x AS (SELECT u.row, u.template, u.span, m.exact, m.label, len(m.tw) AS size, g.t, e.d, unnest([0, 1, 2]) AS more
+      FROM u JOIN m USING (template) JOIN g USING (template) JOIN e ON e.row = u.row AND e.a = g.a AND e.b = g.b AND e.c = g.c AND e.d - g.t = u.diagonal),
+o AS (SELECT row, exact, label, min(d) AS start, max(d) + 3 AS stop, count(DISTINCT t + more)::DOUBLE / size AS score
+      FROM x GROUP BY row, template, span, exact, label, size
+      HAVING exact OR (count(DISTINCT t + more)::DOUBLE / size >= 0.75 AND max(d) + 3 - min(d) <= 2 * size)),
+i AS (SELECT *, CASE WHEN max(stop) OVER (PARTITION BY row, exact ORDER BY start, stop, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > start
+                THEN 0 ELSE 1 END AS apart FROM o),
+j AS (SELECT *, sum(apart) OVER (PARTITION BY row, exact ORDER BY start, stop, label ROWS UNBOUNDED PRECEDING) AS island FROM i),
+y AS (SELECT * FROM j QUALIFY score = max(score) OVER (PARTITION BY row, exact, island)),
+z AS (SELECT row, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+             array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (exact), []))), ',') AS base_labels,
+             array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(score) AS score FROM y GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0::DOUBLE) AS score FROM d LEFT JOIN z USING (row)""".replace("{templates}", _TEMPLATES),
     "op12_four_russians": f"""
 WITH {_VECTORS.format(vector="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding]",
                       more="AND label IS NOT NULL AND vec_id IS NOT NULL")},

@@ -12,11 +12,12 @@ def test_queries_are_registered():
     import __spark_entry__ as E
     from loyalframe.llm.queries import QUERIES, SQL
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op1_vafile_topk", "op4_systematic_mixture", "op6_trie_jaccard", "op8_block_knn"])
+@pytest.mark.parametrize("name", ["op1_vafile_topk", "op4_systematic_mixture", "op6_trie_jaccard", "op8_block_knn",
+                                  "op11_diagonal_licenses", "op12_four_russians", "op13_bloom_variants"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
@@ -34,15 +35,15 @@ def test_query_matches_sql(spark, name):
 
 def test_stages(spark):
     import corpus_pipeline as C
-    from tests.llm.test_operators import brute_classes, odd_documents
+    from tests.llm.test_operators import odd_documents
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = C.language(spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() >= 0.97 * docs.count()
     kept = kept.cache()
     single = C.near_duplicates(spark, kept, SF).cache()
-    classes = brute_classes([(r.doc_id, r.text) for r in kept.collect()])
-    assert {r.doc_id for r in single.collect()} == {c for i, _, c in classes} and single.columns == docs.columns
+    classes = five_word_classes([(r.doc_id, r.text) for r in kept.collect()])
+    assert {r.doc_id for r in single.collect()} == set(classes.values()) and single.columns == docs.columns
     clean = C.personal_data(spark, single, SF).cache()
     assert clean.columns == docs.columns and clean.count() == single.count()
     assert not clean.where("text rlike '[a-z0-9.]+@mail[0-9][.]example'").count()
