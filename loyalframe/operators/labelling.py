@@ -44,24 +44,27 @@ def dedupe_labels(labels: DataFrame, id_col: str = "ID") -> DataFrame:
 
 
 def label_order_lines(lines: DataFrame, labels: DataFrame, id_col: str = "SKU_ID",
-                      missing_value: str | None = None, dedupe: bool = True) -> DataFrame:
+                      missing_value: str | None = None, dedupe: bool = True, flag: str | None = None) -> DataFrame:
     """Append the six label columns by trimmed product id (left join).
 
     Labels are de-duplicated first, so the join cannot multiply lines. No
     broadcast hint: the planner broadcasts the label side only while its
     estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
     re-checks with the real size) and uses a sort-merge join beyond it;
-    AQE's skew-join split covers a hot product id in that case.
+    AQE's skew-join split covers a hot product id in that case. ``flag``
+    names a boolean column to add: whether the line has a label.
     """
     lab = dedupe_labels(labels) if dedupe else labels
     lab = lab.withColumnRenamed("ID", "_label_id")
     # lines already carrying label columns lose them (re-labelling)
     base = lines.drop(*[c for c in LABEL_COLUMNS if c in lines.columns])
     out = base.join(lab, F.trim(F.col(id_col)) == F.col("_label_id"), "left")
+    hit = F.col("_label_id").isNotNull()
+    if flag:
+        out = out.withColumn(flag, hit)
     if missing_value is not None:
-        hit = F.col("_label_id").isNotNull()
         out = out.select(
-            *base.columns,
+            *base.columns, *([flag] if flag else []),
             *[F.when(hit, F.col(c)).otherwise(F.lit(missing_value).cast(lab.schema[c].dataType)).alias(c)
               for c in LABEL_COLUMNS if c in lab.columns],
         )
@@ -99,6 +102,6 @@ def named_buyer_lines(lines: DataFrame) -> DataFrame:
 
 
 def prepared_lines(lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG,
-                   dedupe: bool = True) -> DataFrame:
+                   dedupe: bool = True, flag: str | None = None) -> DataFrame:
     """Labelled, gift-flagged order lines — the input of every dataset."""
-    return flag_gifts(label_order_lines(lines, labels, dedupe=dedupe), cfg)
+    return flag_gifts(label_order_lines(lines, labels, dedupe=dedupe, flag=flag), cfg)

@@ -20,7 +20,7 @@ from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig, EXPORT_TIME_FORMAT
 from loyalframe.operators.customers import customers_frame
 from loyalframe.operators.labelling import flag_gifts, prepared_lines
 from loyalframe.operators.monthly import monthly_frame
-from loyalframe.operators.orders import orders_frame
+from loyalframe.operators.orders import one_version_per_order, orders_frame
 from loyalframe.session import ensure_checkpoint_dir, require_utc
 from loyalframe.sources.adapter import (
     labelled_order_lines_from_tables, order_lines_from_tables, product_labels_from_tables, read_table,
@@ -29,7 +29,8 @@ from loyalframe.sources.adapter import (
 
 class LoyaltyData:
     def __init__(self, lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG):
-        require_utc(lines.sparkSession)
+        self.spark = lines.sparkSession
+        require_utc(self.spark)
         self.raw_lines = lines
         self.labels = labels
         self.cfg = cfg
@@ -41,7 +42,12 @@ class LoyaltyData:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return prepared_lines(self.raw_lines, self.labels, self.cfg)
+        """Labelled lines; the lines of an order agree in its fields."""
+        return prepared_lines(one_version_per_order(self.raw_lines), self.labels, self.cfg)
+
+    def flagged_lines(self, flag: str) -> DataFrame:
+        """The same lines with a boolean column that tells whether a line has a label."""
+        return prepared_lines(one_version_per_order(self.raw_lines), self.labels, self.cfg, flag=flag)
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -66,9 +72,9 @@ class LoyaltyData:
         datasets, and recovery after a lost executor, start from there and
         read only the columns they need."""
         if lines:
-            self.__dict__["lines"] = _written(self.lines, "lines")
+            self.__dict__["lines"] = written(self.lines, "lines")
             self.__dict__.pop("orders", None)
-        self.__dict__["orders"] = _written(self.orders, "orders")
+        self.__dict__["orders"] = written(self.orders, "orders")
         for name in ("customers", "monthly"):
             self.__dict__.pop(name, None)
         return self
@@ -79,6 +85,7 @@ class TableData(LoyaltyData):
     it needs, and each table is looked up once per graph."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: LoyaltyConfig = DEFAULT_CONFIG):
+        self.spark = spark
         require_utc(spark)
         self.tables = (spark, sf_dir, cache(read_table))
         self.cfg = cfg
@@ -94,12 +101,20 @@ class TableData(LoyaltyData):
     @cached_property
     def lines(self) -> DataFrame:
         """The same lines as ``prepared_lines(raw_lines, labels)``, with the
-        joins ordered so the order aggregate reuses a partitioning."""
+        joins ordered so the order aggregate reuses a partitioning. Each
+        order's fields come from its one row of ``orders``, so its lines agree."""
+        return self._labelled(None)
+
+    def flagged_lines(self, flag: str) -> DataFrame:
+        return self._labelled(flag)
+
+    def _labelled(self, flag: str | None) -> DataFrame:
         spark, sf_dir, read = self.tables
-        return flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, self.labels, read), self.cfg)
+        return flag_gifts(labelled_order_lines_from_tables(spark, sf_dir, self.labels, read, flag), self.cfg)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loyalframe-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)

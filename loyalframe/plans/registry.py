@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loyalframe.config import LoyaltyConfig
 from loyalframe.operators import adhoc, customers, monthly, orders, products, retention, segments, switching
@@ -13,7 +14,9 @@ from loyalframe.operators import feeds_funnel as ff
 from loyalframe.operators import feeds_hist as fh
 from loyalframe.operators import feeds_sku as fs
 from loyalframe.operators.labelling import dedupe_labels, missing_label_ids
-from loyalframe.plans.pipeline import LoyaltyData, present_lines
+from loyalframe.operators.orders import orders_frame
+from loyalframe.plans import round_trips as rt
+from loyalframe.plans.pipeline import LoyaltyData, present_lines, written
 from loyalframe.sources.adapter import export_text_from_tables, label_rows_from_tables
 from loyalframe.sources.ingest import cast_order_lines, rejects
 from loyalframe.sources.sinks import row_counts
@@ -118,15 +121,18 @@ COUNTED = ("label_order_lines", "missing_label_ids", "total_orders_data", "total
 
 
 def _row_counts(d: LoyaltyData):
-    # six of the nine counted datasets derive from the order table: write it
-    # once as Parquet to the shared folder and count them from there. The
-    # three line-level counts read the lines directly (one pass each, the
-    # label join dropped where no label column is used) — cheaper than
-    # writing a second copy of the whole line table just to count it.
+    # the order table is written once, with each order's number of lines and
+    # of unlabelled lines: eight of the nine counts come from it. Counts
+    # carried in rows are exact however often a task is run again, unlike
+    # counters kept beside a job. Only the product table reads the lines again.
+    orders_n = written(orders_frame(d.flagged_lines("Has_Label"), d.cfg, counts=True), "counted_orders")
     fixed = LoyaltyData(d.raw_lines, d.labels, d.cfg)
-    fixed.__dict__["lines"] = d.lines  # the graph's labelled lines (its join order)
-    fixed.checkpoint()
-    return row_counts({n: DATASETS[n](fixed) for n in COUNTED})
+    fixed.__dict__.update(lines=d.lines, orders=orders_n.drop("Num_Lines", "Num_Unlabelled_Lines"))
+    summed = orders_n.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("Num_Lines", "Num_Unlabelled_Lines")])
+    summed = summed.select(F.inline(F.array(
+        F.struct(F.lit("label_order_lines").alias("Dataset"), F.col("Num_Lines").alias("Num_Rows")),
+        F.struct(F.lit("missing_label_ids").alias("Dataset"), F.col("Num_Unlabelled_Lines").alias("Num_Rows")))))
+    return summed.unionByName(row_counts({n: DATASETS[n](fixed) for n in COUNTED[2:]}))
 
 
 def _cast_order_lines(d: LoyaltyData):
@@ -142,4 +148,12 @@ DATASETS["cast_order_lines"] = _cast_order_lines
 DATASETS["export_rejects"] = _export_rejects
 DATASETS["dedupe_labels"] = lambda d: dedupe_labels(label_rows_from_tables(*d.tables))
 DATASETS["row_counts"] = _row_counts
+# S1, S3-S9 through files in the shared folder
+DATASETS["export_files_by_name"] = rt.export_files_by_name
+DATASETS["export_quarantine"] = rt.export_quarantine
+DATASETS["ingest_balance"] = rt.ingest_balance
+DATASETS["orders_read_back"] = rt.orders_read_back
+DATASETS["labelled_csv_read_back"] = rt.labelled_csv_read_back
+EXPORTED = ("total_customers_data", "pivot_loyalty_tier", "monthly_customers_data", "switch_total_funnel_group")
+DATASETS["exported_row_counts"] = lambda d: rt.exported_row_counts(d, {n: DATASETS[n] for n in EXPORTED})
 DATASETS["active_months"] = lambda d: fa.active_months(_acq(d))

@@ -114,7 +114,7 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str, read: Reader = rea
 
 
 def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: DataFrame,
-                                     read: Reader = read_table) -> DataFrame:
+                                     read: Reader = read_table, flag: str | None = None) -> DataFrame:
     """The same order lines with the product labels, joins ordered for scale.
 
     Equal to labelling :func:`order_lines_from_tables` (the inner joins
@@ -127,9 +127,9 @@ def labelled_order_lines_from_tables(spark: SparkSession, sf_dir: str, labels: D
     and cost the aggregate a third, nearly full-size shuffle.
     """
     l, o, p = _line_tables(spark, sf_dir, read)
-    lp = label_order_lines(l.join(p, F.trim(l.SKU_ID) == p._p_id), labels)
+    lp = label_order_lines(l.join(p, F.trim(l.SKU_ID) == p._p_id), labels, flag=flag)
     j = lp.join(o, lp.Order_ID == o._o_id)
-    return j.select(*_shop_columns(), *LABEL_COLUMNS)
+    return j.select(*_shop_columns(), *LABEL_COLUMNS, *([flag] if flag else []))
 
 
 def export_text_from_tables(spark: SparkSession, sf_dir: str, read: Reader = read_table) -> DataFrame:

@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# a quote within a quoted cell is doubled, as spreadsheets write and read it
+CSV_QUOTES = {"quote": '"', "escape": '"'}
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                   partition_by: Iterable[str] = ()) -> None:
     """Write one dataset (optionally partitioned, e.g. by month)."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_QUOTES).option("header", True)
     cols = list(partition_by)
     if cols:
         w = w.partitionBy(*cols)
@@ -40,7 +44,7 @@ def write_labelled_csv(df: DataFrame, path: str, header: bool = True, header_row
         raise ValueError(f"{len(names)} header texts for {len(df.columns)} columns")
     if bom and header:
         names = ["\ufeff" + names[0], *names[1:]]
-    df.toDF(*names).write.mode("overwrite").option("header", header).csv(path)
+    df.toDF(*names).write.mode("overwrite").options(**CSV_QUOTES).option("header", header).csv(path)
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
@@ -53,7 +57,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=No
     """
     r = spark.read.format(fmt)
     if fmt == "csv":
-        r = r.option("header", True)
+        r = r.options(**CSV_QUOTES).option("header", True)
     if schema is not None:
         r = r.schema(schema)
     return r.load(path)

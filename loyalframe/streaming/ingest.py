@@ -21,14 +21,14 @@ from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.operators.labelling import dedupe_labels, prepared_lines
 from loyalframe.session import apply_session_conf, ensure_checkpoint_dir
 from loyalframe.sources.ingest import _strip_bom, cast_order_lines, clean_headers, name_sku_column
-from loyalframe.sources.sinks import write_dataset
+from loyalframe.sources.sinks import CSV_QUOTES, write_dataset
 
 EXPORT_TIME, EXPORT_FILE = "_Export_Time", "_Export_File"
 
 
 def export_schema(spark: SparkSession, export_dir: str) -> T.StructType:
     """All-text schema with the header names of the exports in ``export_dir``."""
-    names = spark.read.option("header", True).option("inferSchema", False).csv(export_dir).columns
+    names = spark.read.options(**CSV_QUOTES).option("header", True).option("inferSchema", False).csv(export_dir).columns
     return T.StructType([T.StructField(c, T.StringType()) for c in names])
 
 
@@ -46,7 +46,7 @@ def order_line_stream(spark: SparkSession, export_dir: str, labels: DataFrame, l
     write_dataset(dedupe_labels(labels), labels_dir)
     fixed_labels = spark.read.parquet(labels_dir)
     raw_schema = schema or export_schema(spark, export_dir)
-    reader = spark.readStream.schema(raw_schema).option("header", True).option("enforceSchema", False)
+    reader = spark.readStream.schema(raw_schema).options(**CSV_QUOTES).option("multiLine", True).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         # bounds each micro-batch: a backlog of many exports is ingested in
         # several batches (``availableNow`` honours it) rather than one

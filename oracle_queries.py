@@ -663,3 +663,15 @@ ORACLE_SQL["row_counts"] = "\nUNION ALL\n".join(
 ORACLE_SQL["active_months"] = f("""
 SELECT Order_Month, CAST(SUM(Total_Customer_Spending) AS BIGINT) AS Total_Customer_Spending FROM acq
 GROUP BY Order_Month HAVING SUM(Total_Customer_Spending) > 0""")
+ORACLE_SQL["export_files_by_name"] = ORACLE_SQL["cast_order_lines"]
+ORACLE_SQL["export_quarantine"] = f"""WITH {ADAPTER}
+SELECT Order_ID, 'Quantity' AS "Column", 'n/a' AS "Text" FROM order_lines WHERE CAST(SKU_ID AS BIGINT) % 11 = 0"""
+ORACLE_SQL["ingest_balance"] = f"""WITH {ADAPTER},
+n AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (CAST(SKU_ID AS BIGINT) % 11 = 0) AS bad FROM order_lines)
+SELECT 'raw' AS Dataset, n + 1 AS Num_Rows FROM n UNION ALL SELECT 'lines', n - bad FROM n
+UNION ALL SELECT 'quarantine', bad FROM n UNION ALL SELECT 'descriptions', 1"""
+ORACLE_SQL["orders_read_back"] = f"SELECT *, substr(Order_Time, 1, 7) AS Order_Month FROM ({ORACLE_SQL['total_orders_data']}) t"
+ORACLE_SQL["labelled_csv_read_back"] = ORACLE_SQL["label_order_lines"]
+ORACLE_SQL["exported_row_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS Dataset, COUNT(*) AS Num_Rows FROM ({ORACLE_SQL[n]}) t"
+    for n in ("total_customers_data", "pivot_loyalty_tier", "monthly_customers_data", "switch_total_funnel_group"))

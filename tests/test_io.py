@@ -179,7 +179,7 @@ def test_order_with_disagreeing_lines_is_one_order(spark):
             line("o2", "K", when, None, amount=90)]
     d = LoyaltyData(spark.createDataFrame(rows, LINE_SCHEMA), labels(spark))
     got = {r.Order_ID: r for r in orders_frame(d.lines).collect()}
-    assert len(got) == 2 and got["o1"].Order_Amount == 200 and got["o1"].Buyer_Username == "ann"
+    assert d.orders.count() == len(got) == 2 and got["o1"].Order_Amount == 200 and got["o1"].Buyer_Username == "ann"
     assert got["o1"].Order_Status == "Đã hủy" and got["o1"].Sum_SKU_Subtotal_After_Discount == 200
     assert got["o1"].Basket_Num_Kinka_Products == 1 and got["o1"].Basket_Num_Revy_Products == 1
     assert got["o2"].Buyer_Username == "No Username"
@@ -187,6 +187,18 @@ def test_order_with_disagreeing_lines_is_one_order(spark):
     assert ann.Num_of_Orders == 1 and ann.Total_Customer_Spending == 200
 
 
+def test_fields_of_different_lines_are_never_mixed(spark):
+    from tests.fixtures import LINE_SCHEMA, labels, line, t
+
+    rows = [line("o1", "K", t("2026-01-05 10:00"), "zoe", amount=900), line("o1", "R", t("2026-01-06 10:00"), "ann", amount=100),
+            line(None, "K", t("2026-01-05 10:00"), "bob"), line(None, "K", t("2026-01-05 10:00"), None),
+            line("o2", "K", None, None, amount=None), line("o2", "K", t("2026-01-05 10:00"), None, amount=5)]
+    d = LoyaltyData(spark.createDataFrame(rows, LINE_SCHEMA), labels(spark))
+    got = {r.Order_ID: (r.Buyer_Username, r.Order_Amount, str(r.Order_Ts)[:10]) for r in d.orders.collect()}
+    assert got == {"o1": ("ann", 100, "2026-01-06"), None: ("bob", 100, "2026-01-05"), "o2": ("No Username", 5, "2026-01-05")}
+    assert d.orders.count() == 3 and d.lines.count() == 6
+
+
 def test_session_time_zone_must_be_utc(spark):
     from tests.fixtures import LINE_SCHEMA, labels
 
@@ -229,3 +241,62 @@ def test_funnel_needs_three_brands():
 
     with pytest.raises(ValueError, match="3 brands"):
         LoyaltyConfig(funnel_brands=("Kinka", "Revy"))
+
+
+def _export(path, header, rows, description=None):
+    with open(path, "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows([header, *([description] if description else []), *rows])
+
+
+def test_exports_are_read_by_header_name(spark, tmp_path):
+    # the second export swaps two columns, lacks none, and has one more; the third has a BOM and blank lines' worth of cells
+    swap = list(HEADER)
+    q, a = swap.index("Quantity"), swap.index("Order Amount")
+    swap[q], swap[a] = swap[a], swap[q]
+    other = [[*r[:q], "900", "3", *r[a + 1:], "note"] for r in [ROWS[0]]]
+    other[0][0] = "o9"
+    _export(tmp_path / "a.csv", HEADER, ROWS)
+    _export(tmp_path / "b.csv", [*swap, "Note"], other)
+    _export(tmp_path / "c.csv", ["﻿Order ID", *HEADER[1:]], [["o7", *ROWS[0][1:]]])
+    got = {r.Order_ID: r for r in read_order_lines(spark, str(tmp_path)).collect()}
+    assert set(got) == {"o1", "o2", "o3", "o7", "o9"}
+    assert (got["o9"].Quantity, got["o9"].Order_Amount, got["o9"].Note) == (3, 900, "note")
+    assert (got["o2"].Quantity, got["o2"].Order_Amount, got["o2"].Note) == (1, 90, None)
+
+
+def test_required_and_double_columns_are_errors_with_the_file(spark, tmp_path):
+    _export(tmp_path / "good.csv", HEADER, ROWS)
+    _export(tmp_path / "short.csv", [h for h in HEADER if h != "Quantity"], [])
+    with pytest.raises(ValueError, match="short.csv: no column Quantity"):
+        read_order_lines(spark, str(tmp_path))
+    _export(tmp_path / "short.csv", [*HEADER, "order-id"], [])
+    with pytest.raises(ValueError, match="short.csv: column twice"):
+        read_order_lines(spark, str(tmp_path))
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    _export(tmp_path / "a.csv", [*HEADER, "Note\nof buyer"], [[*ROWS[0], "first\nsecond, \"third\""], [*ROWS[2], ""]])
+    rows = read_order_lines(spark, str(tmp_path / "a.csv")).orderBy("Order_ID").collect()
+    assert len(rows) == 2 and rows[0][HEADER.index("Buyer Username")] == "ann"
+    assert "first\nsecond, \"third\"" in list(rows[0]) and rows[1].Order_Amount == 90
+
+
+def test_no_line_is_lost_and_bad_cells_go_to_quarantine(spark, tmp_path):
+    from loyalframe.sources.ingest import quarantined_cells, read_raw_export, split_order_lines
+
+    blank = ["1", "Đã hoàn tất", "Normal", "", "ann", "K1", "", "", "", "", "", ""]  # order 1: no time, no numbers
+    wordy = ["Platform order ID", "Status", "Type", "Time", "Buyer", "Product", "Pieces", "", "", "", "", ""]
+    bad = ["o5", "x", "", "2026-13-45", "bob", "K1", "two", "1.5", "1", "1", "0", "1"]
+    _export(tmp_path / "a.csv", HEADER, [*ROWS, blank, bad], description=wordy)
+    _export(tmp_path / "b.csv", HEADER, [["nameless", *blank[1:5], "K", *blank[6:]], blank, wordy])
+    _export(tmp_path / "empty.csv", HEADER, [])
+    raw = read_raw_export(spark, str(tmp_path))
+    split = split_order_lines(raw)
+    n = [df.count() for df in split]
+    assert sum(n) == raw.count() == 10 and n == [6, 1, 3]
+    assert sum(r.Order_ID == "1" for r in split.lines.collect()) == 2
+    cells = {(r.Order_ID, r.Column, r.Text) for r in quarantined_cells(split.quarantine).collect()}
+    assert cells == {("o5", "Created_Time", "2026-13-45"), ("o5", "Quantity", "two"), ("o5", "Order_Amount", "1.5")}
+    assert all(r.Export_File.endswith("a.csv") for r in split.quarantine.collect())
+    assert read_order_lines(spark, str(tmp_path)).count() == 7  # a bad cell is NULL there, the line stays
+    assert {r.Column: r.Num_Rejected for r in rejects(raw).collect()}["Quantity"] == 1
