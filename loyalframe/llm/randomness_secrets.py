@@ -56,13 +56,33 @@ ENCODINGS = {
 }
 
 
+# steps of a doubling scan or a binary search over arrays of any length
+_STEPS = "sequence(0, 30)"
+
+
+def _scan(values: str, joined: str) -> str:
+    """Running totals of an array, ``joined`` combining (x, y): log(n) passes over it, each adding what is 2**p places back."""
+    at = "i - shiftleft(1, p)"
+    more = joined.format(x="x", y=f"acc[{at}]")
+    return f"""aggregate({_STEPS}, {values}, (acc, p) -> IF(size(acc) > shiftleft(1, p),
+        transform(acc, (x, i) -> IF({at} >= 0, {more}, x)), acc))"""
+
+
+def _count_before(spans: str, end: str) -> str:
+    """How many of ``spans``, sorted by start, start before ``end``: a binary search."""
+    step = "shiftleft(1, 30 - p)"
+    return f"""aggregate({_STEPS}, 0, (n, p) -> IF(cast(n as bigint) + {step} <= size({spans}) AND
+        {spans}[cast(least(cast(n as bigint) + {step}, size({spans})) as int) - 1].start < {end}, n + {step}, n))"""
+
+
 def _placed(found: str, gaps: str) -> Column:
-    """Matches with code-point positions, from the matches and the text between them."""
-    return F.expr(f"""
-        transform({found}, (m, i) -> named_struct(
-            'start', aggregate(slice({gaps}, 1, i + 1), 0, (a, g) -> a + length(g))
-                   + aggregate(slice({found}, 1, i), 0, (a, x) -> a + length(x)),
-            'm', m))""")
+    """Matches with code-point positions, from the matches and the text between them.
+
+    Both are arguments, not read inside a function: an expression that the
+    optimizer moves into one would be evaluated for every match.
+    """
+    lengths = f"zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> length(g) + length(m))"
+    return F.expr(f"""zip_with({found}, {_scan(lengths, "{x} + {y}")}, (m, e) -> named_struct('start', e - length(m), 'm', m))""")
 
 
 def _find(df: DataFrame, name: str, pattern: str, keep: str) -> DataFrame:
@@ -159,24 +179,30 @@ def scan_secrets(docs: DataFrame, min_length: int = 20, z_limit: float = 3.4, fd
     for name, chars in zip(runs, TOKEN_CHARS):
         df = _find(df, name, f"{chars}{{{max(1, int(min_length) - PADDING)},}}=*",
                    f"length(x.m) >= {int(min_length)} AND rlike(x.m, '[0-9]') AND rlike(x.m, '[A-Za-z]')")
-    df = df.withColumn("cands", F.array_distinct(F.concat(*runs))).drop(*runs)
+    # a run may be found over several sets of characters: once is enough
+    df = df.withColumn("cands", F.array_sort(F.concat(*runs))).drop(*runs)
+    df = df.withColumn("cands", F.expr("filter(cands, (c, i) -> i = 0 OR c != cands[i - 1])"))
+    # the last span of a kind that starts before a run's end reaches farthest: if it ends before the run, all do
+    clear = " AND ".join(f"(size({k}) = 0 OR coalesce(get({k}, {_count_before(k, 'c.end')} - 1).end, 0) <= c.start)" for k in BASE_KINDS)
+    df = df.withColumn("cands", F.expr(f"filter(cands, c -> {clear})"))
     spans = F.concat(*[F.expr(f"transform({k}, x -> named_struct('start', x.start, 'ord', {i}, 'kind', '{k}', 'end', x.end))")
                        for i, k in enumerate(BASE_KINDS)])
     df = df.withColumn("base", F.array_sort(spans)).drop(*BASE_KINDS, "_text")
-    df = df.withColumn("cands", F.expr("filter(cands, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end))"))
     df = materialize(_battery(df, "cands", z_limit), "scored")
     tokens = df.select(F.explode("cands").alias("c")).select("c.stratum", "c.bin", "c.id").distinct()
     accepted = discovery_bins(tokens, fdr)
     least = F.create_map(*[F.lit(x) for kv in accepted.items() for x in kv]) if accepted else \
         F.expr("cast(map() as map<string,int>)")
     df = df.withColumn("_least", least)
-    added = F.expr(f"""array_sort(transform(
-        filter(cands, c -> c.random AND c.bin >= coalesce(_least[c.stratum], 2147483647)),
-        c -> named_struct('start', c.start, 'ord', {len(BASE_KINDS)}, 'kind', '{ADDED_KIND}', 'end', c.end)))""")
-    # of accepted runs within one another the outermost stays
-    outermost = F.expr("filter(added, x -> NOT exists(added, y -> y.start <= x.start AND x.end <= y.end "
-                       "AND y.end - y.start > x.end - x.start))")
-    return df.withColumn("added", added).withColumn("added", outermost).select(
+    # of accepted runs within one another the outermost stays: by start, longest first, a run is within an
+    # earlier one if any of those ends as late
+    chosen = F.expr("array_sort(transform(filter(cands, c -> c.random AND c.bin >= coalesce(_least[c.stratum], 2147483647)), "
+                    "c -> named_struct('start', c.start, 'back', -c.end)))")
+    before = f"slice(concat(array(0), {_scan('transform(chosen, x -> -x.back)', 'greatest({x}, {y})')}), 1, size(chosen))"
+    added = F.expr(f"""transform(filter(zip_with(chosen, {before}, (x, reach) -> named_struct('x', x, 'reach', reach)), z -> z.reach < -z.x.back),
+        z -> named_struct('start', z.x.start, 'ord', {len(BASE_KINDS)}, 'kind', '{ADDED_KIND}', 'end', -z.x.back))""")
+    df = df.withColumn("chosen", chosen)
+    return df.withColumn("added", added).select(
         "doc_id", "text_hash", "base", "added", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
