@@ -191,7 +191,9 @@ def probe(vocabulary: DataFrame, letters: str, filters: Filters) -> DataFrame:
                     a, b = edits_of(words[at:at + step], alphabet, held)
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return vocabulary.select("word").mapInArrow(run, "a long, b long")
+    # many edits per word: spread the words over all tasks, a small table would be read by a few
+    tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vocabulary.select("word").repartition(tasks, "word").mapInArrow(run, "a long, b long")
 
 
 def near_pairs(vocabulary: DataFrame, bits: int = 12, filter_bytes: int = 16 << 20) -> DataFrame:
