@@ -11,6 +11,7 @@ from loyalframe.functions import minute_text, month_text
 from loyalframe.operators.customers import (
     customer_columns, customers_frame, ft_col, switching_status, switching_time, with_brand_sets,
 )
+from loyalframe.sources.sinks import MONTH, in_months
 
 
 def customers_active_between(orders: DataFrame, start: str, end: str,
@@ -24,10 +25,16 @@ def customers_active_between(orders: DataFrame, start: str, end: str,
     per-buyer aggregate of the same pass that builds the customer rows,
     then a filter — no second read of the orders and no semi-join, so the
     pseudo buyer of buyer-less orders (a hot key) is combined map-side
-    like every other buyer.
+    like every other buyer. Of orders stored by month and bucketed by buyer
+    the buyers are found in the window's months only, and the semi-join that
+    takes their whole history has no exchange.
     """
     ts = F.col("Order_Ts")
     hit = (ts >= F.to_timestamp(F.lit(start))) & (ts < F.to_timestamp(F.lit(end)))
+    if MONTH in orders.columns:
+        ids = in_months(orders, start[:7], end[:7]).where(hit).select(F.col("Buyer_Username").alias("_active")).distinct()
+        some = orders.join(ids, F.col("Buyer_Username") == F.col("_active"), "left_semi")
+        return customers_frame(some, cfg).select(*customer_columns(cfg))
     c = customers_frame(orders, cfg, {"_active": F.max(F.when(hit, F.lit(1)))})
     return c.where(F.col("_active") == 1).select(*customer_columns(cfg))
 
@@ -90,6 +97,6 @@ def entry_month_by_tier(customers: DataFrame) -> DataFrame:
 
 
 def subcategory_month_lines(lines: DataFrame, sub_category: str, month: str) -> DataFrame:
-    """The lines of one sub-category in one month."""
-    return (lines.withColumn("Month_Year", month_text("Created_At"))
+    """The lines of one sub-category in one month (of lines stored by month, only that partition is read)."""
+    return (in_months(lines, month, month).withColumn("Month_Year", month_text("Created_At"))
             .where((F.col("Sub_category") == sub_category) & (F.col("Month_Year") == month)))

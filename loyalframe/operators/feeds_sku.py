@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyalframe.functions import week_ending
+from loyalframe.sources.sinks import in_months
 
 Sku = tuple[str, str]
 
@@ -39,7 +40,7 @@ def in_scope(lines: DataFrame, scope_end: str | None) -> DataFrame:
     cond = ts.isNotNull()
     if scope_end is not None:
         cond = cond & (ts <= F.to_timestamp(F.lit(scope_end)))
-    return lines.where(cond)
+    return in_months(lines, None, scope_end and scope_end[:7]).where(cond)
 
 
 def priced_lines(lines: DataFrame) -> DataFrame:
@@ -112,6 +113,7 @@ def sku_weekly_line_counts(lines: DataFrame, skus: list[Sku], start: str, end: s
     ``start`` and ``end`` (left-closed, last bin closed, outside dropped);
     non-empty bins only."""
     edges = sunday_edges(start, end)
+    lines = in_months(lines, edges[0].isoformat()[:7], edges[-1].isoformat()[:7])
     d = lines_for_skus(lines.where(F.col("Created_At").isNotNull()), skus)
     first = F.to_timestamp(F.lit(edges[0].isoformat()))
     last = F.to_timestamp(F.lit(edges[-1].isoformat()))

@@ -44,21 +44,35 @@ def dedupe_labels(labels: DataFrame, id_col: str = "ID") -> DataFrame:
 
 
 def label_order_lines(lines: DataFrame, labels: DataFrame, id_col: str = "SKU_ID",
-                      missing_value: str | None = None, dedupe: bool = True, flag: str | None = None) -> DataFrame:
+                      missing_value: str | None = None, dedupe: bool = True, flag: str | None = None,
+                      hot_ids: tuple = ()) -> DataFrame:
     """Append the six label columns by trimmed product id (left join).
 
     Labels are de-duplicated first, so the join cannot multiply lines. No
     broadcast hint: the planner broadcasts the label side only while its
     estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
     re-checks with the real size) and uses a sort-merge join beyond it;
-    AQE's skew-join split covers a hot product id in that case. ``flag``
-    names a boolean column to add: whether the line has a label.
+    AQE's skew-join split covers a hot product id in that case, and so do
+    ``hot_ids`` (:func:`hot_product_ids`) without relying on it: their few
+    labels are broadcast, and their lines are dealt over all tasks of the
+    join by a salted key that meets no label. ``flag`` names a boolean column
+    to add: whether the line has a label.
     """
     lab = dedupe_labels(labels) if dedupe else labels
     lab = lab.withColumnRenamed("ID", "_label_id")
     # lines already carrying label columns lose them (re-labelling)
     base = lines.drop(*[c for c in LABEL_COLUMNS if c in lines.columns])
-    out = base.join(lab, F.trim(F.col(id_col)) == F.col("_label_id"), "left")
+    key = F.trim(F.col(id_col))
+    if hot_ids:
+        hot = F.coalesce(key.isin(*hot_ids), F.lit(False))
+        salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*base.columns), F.lit(1 << 16)).cast("string"))
+        few = lab.where(F.col("_label_id").isin(*hot_ids))
+        few = few.select(F.struct(*[c for c in lab.columns]).alias("_hot"))  # one row per hot id at most
+        out = base.join(lab, F.when(hot, salt).otherwise(key) == F.col("_label_id"), "left")
+        out = out.join(F.broadcast(few), key == F.col("_hot._label_id"), "left")
+        out = out.select(*base.columns, *[F.coalesce(c, F.col("_hot")[c]).alias(c) for c in lab.columns])
+    else:
+        out = base.join(lab, key == F.col("_label_id"), "left")
     hit = F.col("_label_id").isNotNull()
     if flag:
         out = out.withColumn(flag, hit)
@@ -71,6 +85,14 @@ def label_order_lines(lines: DataFrame, labels: DataFrame, id_col: str = "SKU_ID
     return out.drop("_label_id")
 
 
+def hot_product_ids(lines: DataFrame, share: float = 0.01, id_col: str = "SKU_ID") -> tuple:
+    """The product ids with more than ``share`` of all lines: at most 1 / ``share`` of them, by one count."""
+    counts = lines.groupBy(F.trim(F.col(id_col)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.join(F.broadcast(total), F.col("n") > F.col("total") * share).where("id IS NOT NULL")  # one row
+    return tuple(sorted(r["id"] for r in hot.collect()))
+
+
 def missing_label_ids(lines: DataFrame, labels: DataFrame, id_col: str = "SKU_ID") -> DataFrame:
     """Trimmed ids of lines with no label, one row per line; NULL ids skipped."""
     lab = dedupe_labels(labels).select(F.col("ID").alias("_label_id"))
@@ -102,6 +124,6 @@ def named_buyer_lines(lines: DataFrame) -> DataFrame:
 
 
 def prepared_lines(lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG,
-                   dedupe: bool = True, flag: str | None = None) -> DataFrame:
+                   dedupe: bool = True, flag: str | None = None, hot_ids: tuple = ()) -> DataFrame:
     """Labelled, gift-flagged order lines — the input of every dataset."""
-    return flag_gifts(label_order_lines(lines, labels, dedupe=dedupe, flag=flag), cfg)
+    return flag_gifts(label_order_lines(lines, labels, dedupe=dedupe, flag=flag, hot_ids=hot_ids), cfg)

@@ -10,6 +10,7 @@ a lost executor recomputes from there instead of from the raw lines.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import cache, cached_property
 
 from pyspark import StorageLevel
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig, EXPORT_TIME_FORMAT
 from loyalframe.operators.customers import customers_frame
-from loyalframe.operators.labelling import flag_gifts, prepared_lines
+from loyalframe.operators.labelling import flag_gifts, hot_product_ids, prepared_lines
 from loyalframe.operators.monthly import monthly_frame
 from loyalframe.operators.orders import one_version_per_order, orders_frame
 from loyalframe.session import ensure_checkpoint_dir, require_utc
@@ -28,9 +29,15 @@ from loyalframe.sources.adapter import (
 
 
 class LoyaltyData:
-    def __init__(self, lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG):
+    hot_ids: tuple = ()
+
+    def __init__(self, lines: DataFrame, labels: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG,
+                 hot_share: float | None = None):
+        """``hot_share``: count the lines per product first and deal those above this share over all tasks of the label join."""
         self.spark = lines.sparkSession
         require_utc(self.spark)
+        if hot_share is not None:
+            self.hot_ids = hot_product_ids(lines, hot_share)
         self.raw_lines = lines
         self.labels = labels
         self.cfg = cfg
@@ -43,23 +50,27 @@ class LoyaltyData:
     @cached_property
     def lines(self) -> DataFrame:
         """Labelled lines; the lines of an order agree in its fields."""
-        return prepared_lines(one_version_per_order(self.raw_lines), self.labels, self.cfg)
+        return prepared_lines(one_version_per_order(self.raw_lines), self.labels, self.cfg, hot_ids=self.hot_ids)
 
     def flagged_lines(self, flag: str) -> DataFrame:
         """The same lines with a boolean column that tells whether a line has a label."""
-        return prepared_lines(one_version_per_order(self.raw_lines), self.labels, self.cfg, flag=flag)
+        return prepared_lines(one_version_per_order(self.raw_lines), self.labels, self.cfg, flag=flag, hot_ids=self.hot_ids)
 
     @cached_property
     def orders(self) -> DataFrame:
         return orders_frame(self.lines, self.cfg)
 
+    def by_buyer(self, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A dataset whose rows each belong to one buyer, built from the orders."""
+        return build(self.orders)
+
     @cached_property
     def customers(self) -> DataFrame:
-        return customers_frame(self.orders, self.cfg)
+        return self.by_buyer(lambda orders: customers_frame(orders, self.cfg))
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return monthly_frame(self.orders, self.cfg)
+        return self.by_buyer(lambda orders: monthly_frame(orders, self.cfg))
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "LoyaltyData":
         for name in ("lines", "orders", "customers", "monthly"):

@@ -19,7 +19,7 @@ from loyalframe.plans import round_trips as rt
 from loyalframe.plans.pipeline import LoyaltyData, present_lines, written
 from loyalframe.sources.adapter import export_text_from_tables, label_rows_from_tables
 from loyalframe.sources.ingest import cast_order_lines, rejects
-from loyalframe.sources.sinks import row_counts
+from loyalframe.sources.sinks import MONTH, row_counts
 
 # parameters of the ad-hoc questions when run over the benchmark tables
 ACTIVE_FROM, ACTIVE_TO = "1996-04-01", "1996-05-01"
@@ -47,7 +47,7 @@ def _mfg(d):
 
 DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     # ingest / joins
-    "label_order_lines": lambda d: present_lines(d.lines),
+    "label_order_lines": lambda d: present_lines(d.lines).drop(MONTH),
     "missing_label_ids": lambda d: missing_label_ids(d.raw_lines, d.labels),
     # main datasets
     "total_orders_data": lambda d: orders.total_orders_data(d.orders, d.cfg),
@@ -70,12 +70,13 @@ DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     # windows
     "monthly_retention_rate": lambda d: retention.monthly_retention_rate(d.monthly),
     "pool_vs_retention": lambda d: retention.pool_vs_retention(d.monthly),
-    "second_purchase": lambda d: adhoc.second_purchase(d.orders),
+    "second_purchase": lambda d: d.by_buyer(adhoc.second_purchase),
     # ad-hoc
-    "customers_active_between": lambda d: adhoc.customers_active_between(d.orders, ACTIVE_FROM, ACTIVE_TO, d.cfg),
+    "customers_active_between": lambda d: d.by_buyer(
+        lambda orders: adhoc.customers_active_between(orders, ACTIVE_FROM, ACTIVE_TO, d.cfg)),
     "monthly_funnel": lambda d: adhoc.monthly_funnel(d.orders, d.cfg),
     "subcategory_month_lines": lambda d: present_lines(
-        adhoc.subcategory_month_lines(d.lines, SUBCATEGORY, SUBCATEGORY_MONTH)).drop("Month_Year"),
+        adhoc.subcategory_month_lines(d.lines, SUBCATEGORY, SUBCATEGORY_MONTH)).drop("Month_Year", MONTH),
     # chart feeds over the monthly acquisition summary
     "revenue_orders_by_month": lambda d: fa.revenue_orders_by_month(_acq(d)),
     "brand_share_by_month": lambda d: fa.brand_share_by_month(_acq(d), d.cfg),

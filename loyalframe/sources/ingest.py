@@ -35,7 +35,8 @@ ID_COLUMNS = ("Order_ID", "SKU_ID")
 # what the datasets need of every export
 REQUIRED_COLUMNS = ("Order_ID", "SKU_ID", "Order_Status", "Normal_Or_Pre_order", "Created_Time", "Buyer_Username", "Quantity",
                     *MONEY_COLUMNS)
-EXPORT_FILE, IS_DESCRIPTION = "Export_File", "Is_Description"
+EXPORT_FILE, EXPORT_BLOCK, EXPORT_ROW, IS_DESCRIPTION = "Export_File", "Export_Block", "Export_Row", "Is_Description"
+EXPORT_ORDER = (EXPORT_FILE, EXPORT_BLOCK, EXPORT_ROW)
 SKU_ID_INDEX = 5  # the export's 6th column is the product id
 
 
@@ -77,7 +78,8 @@ def _header_names(file: str, header: list) -> list[str]:
     return [canonical.get(k, n) for n, k in zip(names, low)]
 
 
-def read_raw_export(spark: SparkSession, path: str | list, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+def read_raw_export(spark: SparkSession, path: str | list, fmt: str = "csv", multi_line: bool = True,
+                    ordinal: bool = False) -> DataFrame:
     """S1 + S3: the cells of all export files under ``path`` as text, by column name.
 
     Adds ``Export_File`` and ``Is_Description``. Files may order their columns
@@ -92,11 +94,16 @@ def read_raw_export(spark: SparkSession, path: str | list, fmt: str = "csv", mul
     its start. ``multi_line`` reads quoted cells with line breaks; a file is
     then one task, so exports known to have no line breaks in cells, and to be
     large, are better read with it off. Files without any row are skipped.
+    ``ordinal`` adds ``EXPORT_ORDER``: file, block of the file and a number
+    that grows with the row's place in it, in the order of the exports' rows.
     """
+    tags = [F.col("_metadata.file_path").alias(EXPORT_FILE)]
+    if ordinal:
+        tags += [F.col("_metadata.file_block_start").alias(EXPORT_BLOCK), F.monotonically_increasing_id().alias(EXPORT_ROW)]
     if fmt != "csv":
         raw = spark.read.format(fmt).load(path)
         names = _header_names(str(path), raw.columns)
-        raw = raw.toDF(*names).select("*", F.col("_metadata.file_path").alias(EXPORT_FILE))
+        raw = raw.toDF(*names).select("*", *tags)
         return raw.withColumn(IS_DESCRIPTION, _no_digits(raw))
     files = export_files(spark, path)
     with ThreadPoolExecutor(8) as pool:
@@ -115,9 +122,10 @@ def read_raw_export(spark: SparkSession, path: str | list, fmt: str = "csv", mul
         marked = F.lit(False)
         for row in sorted(described, key=str):  # a text or two: the export's own wording
             marked = marked | reduce(lambda x, y: x & y, [F.col(f"`{n}`").eqNullSafe(F.lit(v)) for n, v in zip(names, row)])
-        parts.append(raw.select("*", F.col("_metadata.file_path").alias(EXPORT_FILE), marked.alias(IS_DESCRIPTION)))
+        parts.append(raw.select("*", *tags, marked.alias(IS_DESCRIPTION)))
     raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    return raw.select(*[c for c in raw.columns if c not in (EXPORT_FILE, IS_DESCRIPTION)], EXPORT_FILE, IS_DESCRIPTION)
+    last = [c for c in (*EXPORT_ORDER, IS_DESCRIPTION) if c in raw.columns]
+    return raw.select(*[c for c in raw.columns if c not in last], *last)
 
 
 def _describes(names: tuple, row: list) -> bool:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MONTH = "Order_Month"  # partition column of a stored line or order table
 # a quote within a quoted cell is doubled, as spreadsheets write and read it
 CSV_QUOTES = {"quote": '"', "escape": '"'}
 
@@ -31,14 +32,33 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     w.save(path)
 
 
+def in_months(df: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The months ``first`` to ``last`` (``YYYY-MM``, inclusive) of a table stored by month; any other frame as it is.
+
+    For a predicate on time that the caller states as well: this one only
+    lets Spark leave out the partitions of other months.
+    """
+    if MONTH not in df.columns:
+        return df
+    if first is not None:
+        df = df.where(F.col(MONTH) >= first)
+    return df if last is None else df.where(F.col(MONTH) <= last)
+
+
 def write_labelled_csv(df: DataFrame, path: str, header: bool = True, header_row: list | None = None,
-                       bom: bool = False) -> None:
+                       bom: bool = False, order_by: Iterable[str] = ()) -> None:
     """Labelled order lines as CSV, with or without a header row.
 
+    ``order_by`` names columns (an export's ``EXPORT_ORDER``) whose order the
+    part files keep, one after the other by name: the rows are dealt to tasks
+    by ranges of them, never gathered. These columns are not written.
     ``header_row`` gives the header's texts (one per column, duplicates
     allowed only as Spark allows them); ``bom`` marks the files as UTF-8 for
     spreadsheet programs, on the header of each part file.
     """
+    keys = list(order_by)
+    if keys:
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
     names = list(header_row) if header_row is not None else df.columns
     if len(names) != len(df.columns):
         raise ValueError(f"{len(names)} header texts for {len(df.columns)} columns")
