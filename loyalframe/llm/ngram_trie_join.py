@@ -21,8 +21,9 @@ document's class under chains of links.
    least and largest sizes below a node bound what can still be reached;
    hopeless subtrees are cut, as are subtrees that are already in the new
    set's class. Every link between different classes so found is a union.
-4. A cluster above ``cell_ngrams`` is dealt into cells by a hash: first each
-   cell alone, then the leaders of the classes found, and last, for clusters
+4. A cluster above ``cell_ngrams`` n-grams, or ``cell_docs`` documents (the
+   search of a tree may compare every two of its sets), is dealt into cells
+   by a hash: first each cell alone, then the leaders of the classes found, and last, for clusters
    still in several classes, each cell with the documents outside the
    cluster's largest class, in chunks. Two documents of different classes
    meet in that last step, so no link is lost, and no task holds more than
@@ -39,7 +40,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loyalframe.llm.common import materialize, python_workers, slim, with_text_columns
@@ -191,7 +192,12 @@ def _linked(cells: DataFrame, n: int, percent: int) -> DataFrame:
     return cells.select(*_CELL).groupBy("cell_a", "cell_b").applyInPandas(join, "a long, b long").where("a != b")
 
 
-def _large_clusters(texts: DataFrame, found: DataFrame, n: int, percent: int, cell_ngrams: int) -> DataFrame:
+def _cells(cell_ngrams: int, cell_docs: int) -> Column:
+    """Number of cells for a group of sets, by n-grams and by documents."""
+    return F.greatest(F.ceil(F.sum("n") / F.lit(cell_ngrams)), F.ceil(F.count(F.lit(1)) / F.lit(cell_docs)))
+
+
+def _large_clusters(texts: DataFrame, found: DataFrame, n: int, percent: int, cells_of: Column) -> DataFrame:
     """Edges between the cells of clusters that were dealt into several cells; see step 4 above.
 
     ``texts``: cluster, parts, node, n, s1, s2, text of those clusters;
@@ -204,7 +210,7 @@ def _large_clusters(texts: DataFrame, found: DataFrame, n: int, percent: int, ce
         F.min_by("node", "n").alias("x"), F.max_by("node", "n").alias("y"))
     leaders = leaders.select("cluster", "label", F.explode(F.array_distinct(F.array("label", "x", "y"))).alias("node"))
     leaders = materialize(leaders.join(slim_sets.select("node", "n"), "node"), "leaders")
-    parts = leaders.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(cell_ngrams)).alias("parts"))
+    parts = leaders.groupBy("cluster").agg(cells_of.alias("parts"))
     cells = leaders.join(parts, "cluster").withColumn("cell_b", F.pmod(F.xxhash64("label"), F.col("parts")))
     own_text = texts.select("node", "s1", "s2", "text")
     between = materialize(_linked(cells.select("cluster", "node", "label", "cell_b").join(
@@ -217,7 +223,7 @@ def _large_clusters(texts: DataFrame, found: DataFrame, n: int, percent: int, ce
     largest = counts.groupBy("cluster").agg(F.max_by("label", F.struct("docs", "label")).alias("largest"),
                                             F.count(F.lit(1)).alias("classes")).where("classes > 1")
     open_ = materialize(labels.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest")), "open")
-    chunks = open_.where("outside").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(cell_ngrams)).cast("int").alias("chunks"))
+    chunks = open_.where("outside").groupBy("cluster").agg(cells_of.cast("int").alias("chunks"))
     open_ = open_.join(chunks, "cluster").join(texts.select("node", "parts", "s1", "s2", "text"), "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
@@ -230,7 +236,8 @@ def _large_clusters(texts: DataFrame, found: DataFrame, n: int, percent: int, ce
     return between.unionByName(_linked(cells, n, percent))
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams: int = 2_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams: int = 2_000_000,
+                    cell_docs: int = 1000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Links: 100 * intersection >= ``percent`` * union of the n-gram sets
@@ -287,12 +294,14 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams:
     # cells: small clusters share one, a large one is dealt into several
     members = classes.select("node", "rep", "n", "s1", "s2").join(clusters, "node")
     members = materialize(members.withColumn("label", F.col("node")), "members")
-    totals = members.groupBy("cluster").agg(F.sum("n").alias("ngrams_in")).withColumn(
-        "parts", F.ceil(F.col("ngrams_in") / F.lit(cell_ngrams)))
+    cells_of = _cells(cell_ngrams, cell_docs)
+    work = (F.count(F.lit(1)).cast("double") / cell_docs) ** 2  # 1 for a cell full of documents
+    totals = members.groupBy("cluster").agg(F.sum("n").alias("ngrams_in"), work.alias("work"), cells_of.alias("parts"))
     totals = materialize(totals, "totals")
-    small, large = totals.agg(F.sum(F.when(F.col("parts") == 1, F.col("ngrams_in"))),
-                              F.count(F.when(F.col("parts") > 1, 1))).first()
-    bins = max(1, math.ceil((small or 0) / cell_ngrams))
+    alone = F.col("parts") == 1
+    small, busy, large = totals.agg(F.sum(F.when(alone, F.col("ngrams_in"))), F.sum(F.when(alone, F.col("work"))),
+                                    F.count(F.when(~alone, 1))).first()
+    bins = max(1, math.ceil((small or 0) / cell_ngrams), math.ceil(busy or 0))
     whole = F.col("parts") == 1
     placed = materialize(members.join(totals.select("cluster", "parts"), "cluster").withColumns({
         "cell_a": F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")),
@@ -309,7 +318,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams:
     several = materialize(named.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a > b"), "several")
     if large:
         big = materialize(texts.where("parts > 1").select("cluster", "parts", "node", "n", "s1", "s2", "text"), "large")
-        links = found.unionByName(_large_clusters(big, found, n, percent, cell_ngrams)).unionByName(several)
+        links = found.unionByName(_large_clusters(big, found, n, percent, cells_of)).unionByName(several)
         joined = components(links)
     elif several.isEmpty():
         joined = found.select(F.col("a").alias("node"), F.col("b").alias("component"))  # stars: already labels

@@ -308,11 +308,11 @@ def near_copies(spark):
     return rows
 
 
-@pytest.mark.parametrize("cell", [2_000_000, 400])
-def test_jaccard_classes_equal_brute_force(spark, cell):
+@pytest.mark.parametrize("cell, members", [(2_000_000, 1000), (400, 1000), (2_000_000, 5)])
+def test_jaccard_classes_equal_brute_force(spark, cell, members):
     df = odd_documents(spark, *near_copies(spark), (6, "another text of document six", "en", "s", 1))
     want = brute_classes([(r.doc_id, r.text) for r in df.collect()])
-    got = ngram_trie_join.jaccard_classes(df, cell_ngrams=cell).collect()
+    got = ngram_trie_join.jaccard_classes(df, cell_ngrams=cell, cell_docs=members).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert ngram_trie_join.jaccard_classes(df.limit(0), cell_ngrams=cell).count() == 0
 
