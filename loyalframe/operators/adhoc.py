@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loyalframe import config as C
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.functions import minute_text, month_text
+from loyalframe.operators.cube import buyers_in, entry_month
 from loyalframe.operators.customers import (
     customer_columns, customers_frame, ft_col, switching_status, switching_time, with_brand_sets,
 )
@@ -92,8 +93,8 @@ def second_purchase(orders: DataFrame) -> DataFrame:
 
 def entry_month_by_tier(customers: DataFrame) -> DataFrame:
     """Buyers per first-seen month x loyalty tier."""
-    return (customers.groupBy(month_text("First_Seen_Ts").alias("Entry_Month"), "Loyalty_Tier")
-            .agg(F.count("Buyer_Username").alias("Num_Of_Customers")))
+    return (customers.groupBy(entry_month(customers, month_text).alias("Entry_Month"), "Loyalty_Tier")
+            .agg(buyers_in(customers, "Num_Of_Customers")))
 
 
 def subcategory_month_lines(lines: DataFrame, sub_category: str, month: str) -> DataFrame:

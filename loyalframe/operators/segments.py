@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.functions import pct, ratio, round_div
 from loyalframe.functions.exprs import integer_rule, whole_ratio
+from loyalframe.operators.cube import is_cube, roll_up
 from loyalframe.operators.orders import brand_measures
 
 
-def _segment_aggs(cfg: LoyaltyConfig):
+SEGMENT_SUMS = ("Num_Of_Customers", "Total_Customer_Spending", "Num_of_Orders", "_canceled", "_period_min", "_period_n")
+
+
+def segment_aggs(cfg: LoyaltyConfig):
+    """The additive measures of a segment of buyers: ``SEGMENT_SUMS`` and the brand measures."""
     n_cols, s_cols, k_cols = brand_measures(cfg)
     aggs = [
         F.count("Buyer_Username").alias("Num_Of_Customers"),
@@ -53,7 +58,10 @@ def _packsize_avg(k, n, types, cfg):
 
 def _summary(frame: DataFrame, keys: list, share_by: list, cfg: LoyaltyConfig) -> DataFrame:
     n_cols, s_cols, k_cols = brand_measures(cfg)
-    g = frame.groupBy(*keys).agg(*_segment_aggs(cfg))
+    if is_cube(frame):
+        g = roll_up(frame, keys, [*SEGMENT_SUMS, *sum(brand_measures(cfg), [])])
+    else:
+        g = frame.groupBy(*keys).agg(*segment_aggs(cfg))
     t = {f.name: f.dataType for f in g.schema.fields}
     over = f"OVER (PARTITION BY {', '.join(share_by)})" if share_by else "OVER ()"
     total = sum((F.col(c) for c in n_cols[1:]), F.col(n_cols[0]))

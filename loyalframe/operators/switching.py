@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loyalframe import config as C
+from loyalframe.config import DEFAULT_CONFIG, LoyaltyConfig
 from loyalframe.functions import month_text, pct, round_div
+from loyalframe.operators.cube import CUBE_KEYS, MARK, buyers_in, entry_month, is_cube, roll_up
+from loyalframe.operators.segments import segment_aggs
 
 
 def _loyal(customers: DataFrame) -> DataFrame:
@@ -20,14 +23,14 @@ def _share_of_all(count_col: str):
 
 def switch_total_switching_status(customers: DataFrame) -> DataFrame:
     """Loyal buyers per switching status, with share."""
-    g = _loyal(customers).groupBy("Switching_Status").agg(F.count(F.lit(1)).alias("Num_of_Customers"))
+    g = _loyal(customers).groupBy("Switching_Status").agg(buyers_in(customers, "Num_of_Customers"))
     return g.withColumn("Pct_Num_Of_Customers", _share_of_all("Num_of_Customers"))
 
 
 def switch_monthly_switching_status_loyal(customers: DataFrame) -> DataFrame:
     """Loyal buyers per first-seen month x switching status."""
-    return (_loyal(customers).withColumn("Month", month_text("First_Seen_Ts"))
-            .groupBy("Month", "Switching_Status").agg(F.count("Buyer_Username").alias("Num_of_Customers")))
+    return (_loyal(customers).withColumn("Month", entry_month(customers, month_text))
+            .groupBy("Month", "Switching_Status").agg(buyers_in(customers, "Num_of_Customers")))
 
 
 # per-buyer measures averaged over a funnel group: output name -> (numerator, scale, denominator)
@@ -41,14 +44,28 @@ _AVERAGES = {
 }
 
 
-def _group_sums(df: DataFrame, keys: list) -> DataFrame:
-    """Level 1: integer sums and counts per ``keys`` — a hash aggregate
-    (numeric buffers only), combined map-side over the buyer rows."""
+GROUP_SUMS = ("_n", *[f"_{k}_{name}" for name in _AVERAGES for k in "sc"], "_orders", "_canceled")
+
+
+def group_aggs() -> list:
+    """The additive measures of a funnel group of buyers, ``GROUP_SUMS``."""
     aggs = [F.count("Buyer_Username").alias("_n")]
     for name, (num, _, den, _) in _AVERAGES.items():
         aggs += [F.sum(F.expr(num)).alias(f"_s_{name}"), F.count(den).alias(f"_c_{name}")]
-    aggs += [F.sum("Num_of_Orders").alias("_orders"), F.sum("Num_of_Canceled_Orders").alias("_canceled")]
-    return df.groupBy(*keys).agg(*aggs)
+    return [*aggs, F.sum("Num_of_Orders").alias("_orders"), F.sum("Num_of_Canceled_Orders").alias("_canceled")]
+
+
+def _group_sums(df: DataFrame, keys: list) -> DataFrame:
+    """Level 1: integer sums and counts per ``keys`` — a hash aggregate
+    (numeric buffers only), combined map-side over the buyer rows."""
+    return roll_up(df, keys, list(GROUP_SUMS)) if is_cube(df) else df.groupBy(*keys).agg(*group_aggs())
+
+
+def customer_cube(customers: DataFrame, cfg: LoyaltyConfig = DEFAULT_CONFIG) -> DataFrame:
+    """All sums that the summaries over buyers need, once per tier, funnel group, status and entry month."""
+    both = group_aggs()[:-1]  # the number of cancelled orders is among the segment's sums
+    return customers.withColumn("Entry_Month", month_text("First_Seen_Ts")).groupBy(*CUBE_KEYS).agg(
+        F.count("Buyer_Username").alias(MARK), *segment_aggs(cfg), *both)
 
 
 def _funnel_measures(g: DataFrame, keys: list, labels: list) -> DataFrame:
@@ -91,8 +108,8 @@ def switch_monthly_funnel_group(customers: DataFrame, switchers_only: bool = Fal
     df = _loyal(customers)
     if switchers_only:
         df = df.where(F.col("Switching_Status") == C.STATUS_SWITCHER)
-    return (df.withColumn("Month", month_text("First_Seen_Ts"))
-            .groupBy("Month", "Funnel_Group").agg(F.count(F.lit(1)).alias("Num_of_Customers")))
+    return (df.withColumn("Month", entry_month(df, month_text))
+            .groupBy("Month", "Funnel_Group").agg(buyers_in(df, "Num_of_Customers")))
 
 
 def switch_monthly_funnel_group_switcher(customers: DataFrame) -> DataFrame:
@@ -102,7 +119,7 @@ def switch_monthly_funnel_group_switcher(customers: DataFrame) -> DataFrame:
 def loyal_status_share(customers: DataFrame) -> DataFrame:
     """Loyal buyers per tier x status, group size, total and share."""
     g = _loyal(customers).groupBy("Loyalty_Tier", "Switching_Status").agg(
-        F.count("Buyer_Username").alias("Group_Size"))
+        buyers_in(customers, "Group_Size"))
     return g.withColumns({
         "Total_Customers": F.expr("sum(Group_Size) OVER ()"),
         "Percentage_of_Total": pct("Group_Size", "sum(Group_Size) OVER ()", 2),

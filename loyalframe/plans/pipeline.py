@@ -22,6 +22,7 @@ from loyalframe.operators.customers import customers_frame
 from loyalframe.operators.labelling import flag_gifts, hot_product_ids, prepared_lines
 from loyalframe.operators.monthly import monthly_frame
 from loyalframe.operators.orders import one_version_per_order, orders_frame
+from loyalframe.operators.switching import customer_cube
 from loyalframe.session import ensure_checkpoint_dir, require_utc
 from loyalframe.sources.adapter import (
     labelled_order_lines_from_tables, order_lines_from_tables, product_labels_from_tables, read_table,
@@ -72,6 +73,16 @@ class LoyaltyData:
     def monthly(self) -> DataFrame:
         return self.by_buyer(lambda orders: monthly_frame(orders, self.cfg))
 
+    @property
+    def buyers(self) -> DataFrame:
+        """What summaries over buyers read: the cube once :meth:`write_cube` has run, else the buyers."""
+        return self.__dict__.get("cube", self.customers)
+
+    def write_cube(self) -> "LoyaltyData":
+        """Sum the buyers up once; the summaries over buyers (A3, A7-A11, A13, A14) then read only that."""
+        self.__dict__["cube"] = written(customer_cube(self.customers, self.cfg), "customer_cube")
+        return self
+
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "LoyaltyData":
         for name in ("lines", "orders", "customers", "monthly"):
             self.__dict__[name] = getattr(self, name).persist(level)
@@ -86,7 +97,7 @@ class LoyaltyData:
             self.__dict__["lines"] = written(self.lines, "lines")
             self.__dict__.pop("orders", None)
         self.__dict__["orders"] = written(self.orders, "orders")
-        for name in ("customers", "monthly"):
+        for name in ("customers", "monthly", "cube"):
             self.__dict__.pop(name, None)
         return self
 

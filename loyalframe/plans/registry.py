@@ -38,11 +38,11 @@ def _acq(d):
 
 
 def _fg(d):
-    return switching.switch_total_funnel_group(d.customers)
+    return switching.switch_total_funnel_group(d.buyers)
 
 
 def _mfg(d):
-    return switching.switch_monthly_funnel_group(d.customers)
+    return switching.switch_monthly_funnel_group(d.buyers)
 
 
 DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
@@ -53,19 +53,19 @@ DATASETS: dict[str, Callable[[LoyaltyData], DataFrame]] = {
     "total_orders_data": lambda d: orders.total_orders_data(d.orders, d.cfg),
     "total_customers_data": lambda d: customers.total_customers_data(d.customers, d.cfg),
     "filter_loyal_switching_customers": lambda d: customers.filter_loyal_switching_customers(d.customers),
-    "pivot_loyalty_tier": lambda d: segments.pivot_loyalty_tier(d.customers, d.cfg),
+    "pivot_loyalty_tier": lambda d: segments.pivot_loyalty_tier(d.buyers, d.cfg),
     "monthly_customers_data": lambda d: monthly.monthly_customers_data(d.monthly, d.cfg),
     "pivot_monthly_customers_acquisition": lambda d: segments.pivot_monthly_customers_acquisition(d.monthly, d.cfg),
     "pivot_monthly_products": lambda d: products.pivot_monthly_products(d.lines, d.cfg),
-    "switch_total_switching_status": lambda d: switching.switch_total_switching_status(d.customers),
-    "switch_monthly_switching_status_loyal": lambda d: switching.switch_monthly_switching_status_loyal(d.customers),
-    "switch_total_funnel_group": lambda d: switching.switch_total_funnel_group(d.customers),
-    "switch_total_funnel_group_by_status": lambda d: switching.switch_total_funnel_group_by_status(d.customers),
-    "switch_monthly_funnel_group": lambda d: switching.switch_monthly_funnel_group(d.customers),
-    "switch_monthly_funnel_group_switcher": lambda d: switching.switch_monthly_funnel_group_switcher(d.customers),
+    "switch_total_switching_status": lambda d: switching.switch_total_switching_status(d.buyers),
+    "switch_monthly_switching_status_loyal": lambda d: switching.switch_monthly_switching_status_loyal(d.buyers),
+    "switch_total_funnel_group": lambda d: switching.switch_total_funnel_group(d.buyers),
+    "switch_total_funnel_group_by_status": lambda d: switching.switch_total_funnel_group_by_status(d.buyers),
+    "switch_monthly_funnel_group": lambda d: switching.switch_monthly_funnel_group(d.buyers),
+    "switch_monthly_funnel_group_switcher": lambda d: switching.switch_monthly_funnel_group_switcher(d.buyers),
     "monthly_sku_sales": lambda d: products.monthly_sku_sales(d.lines, d.cfg),
-    "loyal_status_share": lambda d: switching.loyal_status_share(d.customers),
-    "entry_month_by_tier": lambda d: adhoc.entry_month_by_tier(d.customers),
+    "loyal_status_share": lambda d: switching.loyal_status_share(d.buyers),
+    "entry_month_by_tier": lambda d: adhoc.entry_month_by_tier(d.buyers),
     "returning_customers": lambda d: monthly.monthly_customers_data(monthly.returning_customers(d.monthly), d.cfg),
     # windows
     "monthly_retention_rate": lambda d: retention.monthly_retention_rate(d.monthly),

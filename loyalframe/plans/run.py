@@ -34,7 +34,7 @@ PIPELINE_DATASETS = (
 def run_pipeline(data: LoyaltyData, out_dir: str, fmt: str = "parquet",
                  names: tuple = PIPELINE_DATASETS) -> DataFrame:
     """Write ``names`` under ``out_dir`` and return their row counts."""
-    data.checkpoint(lines=True)
+    data.checkpoint(lines=True).write_cube()
     built = {n: DATASETS[n](data) for n in names}
     paths = dict(zip(names, export_all({n: (lambda n=n: built[n]) for n in names}, out_dir, fmt)))
     # what was written is counted from the files, the rest from its plan

@@ -115,3 +115,22 @@ def test_csv_in_the_order_of_the_exports(spark, tmp_path):
         assert "Export_Row" not in rows[0]
         got += [r[0] for r in rows[1:]]
     assert got == want and len(parts) > 1
+
+
+SUMMARIES = ("pivot_loyalty_tier", "switch_total_switching_status", "switch_monthly_switching_status_loyal",
+             "switch_total_funnel_group", "switch_total_funnel_group_by_status", "switch_monthly_funnel_group",
+             "switch_monthly_funnel_group_switcher", "loyal_status_share", "entry_month_by_tier", "funnel_ltv_rank",
+             "monthly_funnel_stack")
+
+
+def test_summaries_from_one_pass_over_the_buyers(spark):
+    from tests.fixtures import customer_lines, labels
+
+    for make in (lambda: LoyaltyData.from_tables(spark, SF), lambda: LoyaltyData(customer_lines(spark), labels(spark))):
+        single, once = make(), make().write_cube()
+        for name in SUMMARIES:
+            got, want = DATASETS[name](once), DATASETS[name](single)
+            assert got.dtypes == want.dtypes, name
+            key = lambda r: tuple(str(x) for x in r)
+            assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key), name
+            assert got.inputFiles() and all("customer_cube" in f for f in got.inputFiles()), name
