@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from loyalframe.session import ensure_checkpoint_dir
 
@@ -19,12 +19,17 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def python_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver was started elsewhere."""
+    """Let Python workers import this package when the driver was started elsewhere; bound their batches by bytes."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
+    if spark.conf.get(_BATCH_BYTES, None) is None:  # a batch of 10,000 long texts would be held several times
+        spark.conf.set(_BATCH_BYTES, str(8 << 20))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -72,12 +77,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def with_text_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[list], tuple]]) -> DataFrame:
+def with_text_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[list], tuple]], again: str | None = None) -> DataFrame:
     """``df`` with column ``_text`` replaced by the columns of ``ddl``, made from the texts in Arrow batches.
 
     ``make()`` runs once per task and returns a function from a batch's texts
     (None for null) to one list per new column. Other columns pass through as
-    they are, nulls and large numbers included.
+    they are, nulls and large numbers included. ``again`` returns the text
+    itself under that name, without sending it twice.
     """
     python_workers(df.sparkSession)
     new = StructType.fromDDL(ddl)
@@ -89,10 +95,13 @@ def with_text_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[list
             texts = batch.column("_text").to_pylist()
             rest = batch.drop_columns(["_text"])
             made = [pa.array(values, type=t) for values, t in zip(columns_of(texts), types)]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=[*rest.schema.names, *new.names])
+            own = [batch.column("_text")] if again else []
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, *own, *made], names=[*rest.schema.names, *([again] if again else []), *new.names])
 
     kept = [f for f in df.schema.fields if f.name != "_text"]
-    return df.mapInArrow(run, StructType([*kept, *new.fields]))
+    own = [StructField(again, df.schema["_text"].dataType)] if again else []
+    return df.mapInArrow(run, StructType([*kept, *own, *new.fields]))
 
 
 def slim(docs: DataFrame, keep: tuple = (), *more) -> DataFrame:

@@ -106,7 +106,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], min_margin: float = 0.0
 
         return columns
 
-    done = with_text_columns(slim(docs, keep), "lang_pred string, score double, margin double, rejected boolean", make)
+    done = with_text_columns(slim(docs, tuple(c for c in keep if c != "text")), "lang_pred string, score double, margin double, rejected boolean",
+                             make, again="_keep_text" if "text" in keep else None)
     return done.select("doc_id", "lang_pred", "score", "margin", "rejected", *unkept(keep))
 
 
