@@ -2,11 +2,13 @@
 
 A flat token file is a sequence of little-endian 16-bit token ids in which
 every document ends with the end-of-document id; nothing says where a
-document starts. A scan cuts a file into blocks, finds the separators of
-each block by one vectorised comparison and describes the block by its
-separators and the ids after its last one. A prefix scan over the blocks
-gives each block the ids that were left open before it, which stitches
-documents that cross block boundaries, however many.
+document starts. A scan cuts every file into blocks; tasks read the byte
+ranges of their blocks only, so that one file is read by many tasks. The
+separators of a block are found by one vectorised comparison: documents
+that start and end in the block are done, what is cut by its ends are
+pieces, two per block at most. Prefix scans over the blocks of a file, as
+windows over the pieces and over the number of separators per block, stitch
+documents that cross block boundaries, however many, and number them all.
 
 ``write_token_files`` makes such files from texts with Spark's text sink:
 the separator is the sink's line separator, so that the files are flat,
@@ -16,17 +18,20 @@ committed like any Spark output, and of the size of the input's splits.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loyalframe.llm.common import python_workers, scratch_path, slices
+from loyalframe.llm.common import materialize, python_workers, scratch_path, slices
 
 END = 50256
 #: A document may start with its doc_id: 64 bits and a null flag, as five numbers of 15 bits.
@@ -84,76 +89,117 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str,
         "encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
-def document_bounds(ids: np.ndarray, end: int = END, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(starts, lengths, open) of the documents of a token stream, separators not counted.
+def read_range(path: str, offset: int, size: int) -> bytes:
+    """``size`` bytes of a file at ``offset``; ``path`` as Spark lists it, on a mounted or an object store."""
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), path.removeprefix("file:")
+    else:
+        store, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    with store.open_input_file(name) as f:
+        return f.read_at(size, offset)
 
-    ``open``: the last document has no separator. The prefix scan runs over
-    the blocks: what is open after block b is its tail, plus what was open
-    before if b has no separator.
+
+def block_pieces(ids: np.ndarray, first: bool, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, starts, ends) of the documents and pieces of one block, in order.
+
+    ``starts``: begins in this block, or the block is the ``first`` of its
+    file; ``ends``: closed by a separator of this block. The last piece is
+    what follows the last separator, of any length, also 0.
     """
-    if not len(ids):
-        return np.empty(0, np.int64), np.empty(0, np.int64), False
-    cuts = range(0, len(ids), block)
-    found = [np.flatnonzero(ids[at:at + block] == end) for at in cuts]
-    size = np.array([min(block, len(ids) - at) for at in cuts], np.int64)
-    has = np.array([len(f) > 0 for f in found])
-    tail = np.array([n - f[-1] - 1 if len(f) else n for n, f in zip(size, found)], np.int64)
-    # open ids after each block: running sum of tails since the last block with a separator
-    total = np.cumsum(tail)
-    reset = np.maximum.accumulate(np.where(has, total - tail, 0))
-    open_after = total - reset
-    open_before = np.concatenate([[0], open_after[:-1]])
-    starts, lengths = [], []
-    for at, f, carried in zip(cuts, found, open_before):
-        if len(f):
-            first = np.concatenate([[-carried], f[:-1] + 1])
-            starts.append(at + first)
-            lengths.append(f - first)
-    rest = int(open_after[-1])
-    if rest:
-        starts.append(np.array([len(ids) - rest]))
-        lengths.append(np.array([rest]))
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(starts or none), np.concatenate(lengths or none), rest > 0
+    found = np.flatnonzero(ids == end)
+    start = np.concatenate([[0], found + 1])
+    length = np.concatenate([found, [len(ids)]]) - start
+    starts, ends = np.ones(len(start), bool), np.ones(len(start), bool)
+    starts[0], ends[-1] = first, False
+    return start, length, starts, ends
+
+
+_PIECES = ("path string, block long, place long, starts boolean, ends boolean, length long, "
+           "doc_id long, head array<int>")
+
+
+def _headed(doc_ids: np.ndarray, null: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(doc_ids.astype(np.int64), null.astype(bool))
+
+
+def _pieces(files: DataFrame, end: int, block: int, with_header: bool, task_bytes: int) -> DataFrame:
+    """The documents and pieces of every block of ``files`` (path, length)."""
+    spark = files.sparkSession
+    step = 2 * block
+    total, blocks = files.agg(F.sum("length"), F.sum(F.ceil(F.col("length") / F.lit(step)))).first()
+    tasks = max(1, math.ceil((total or 0) / task_bytes), min(blocks or 0, 4 * spark.sparkContext.defaultParallelism))
+    ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))).alias("block")).repartition(tasks, "path", "block")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, size, number in zip(pdf["path"], pdf["length"], pdf["block"]):
+                if size % 2:
+                    raise ValueError(f"{path} is not a file of 16-bit token ids")
+                ids = np.frombuffer(read_range(path, int(number) * step, min(step, int(size - number * step))), "<u2")
+                start, length, starts, ends = block_pieces(ids, number == 0, end)
+                whole = starts & ends
+                doc, null = np.zeros(len(start), np.int64), np.ones(len(start), bool)
+                known = whole & (length >= HEADER) & with_header
+                if known.any():
+                    doc[known], null[known] = _doc_ids(ids[start[known][:, None] + np.arange(HEADER)])
+                heads = np.empty(len(start), object)
+                for i in np.flatnonzero(~whole):  # at most the first and the last
+                    heads[i] = ids[start[i]:start[i] + min(length[i], HEADER)].astype(np.int32)
+                yield pd.DataFrame({
+                    "path": path, "block": number, "place": np.arange(len(start)), "starts": starts, "ends": ends,
+                    "length": length, "doc_id": _headed(doc, null), "head": heads})
+
+    return ranges.mapInPandas(scan, _PIECES)
+
+
+def _stitched(pieces: DataFrame, with_header: bool) -> DataFrame:
+    """Documents of several pieces: ``path, block, place, ends, length, doc_id``; block and place are of the last piece."""
+    order = Window.partitionBy("path").orderBy("block", "place")
+    numbered = pieces.withColumn("doc", F.sum(F.col("starts").cast("long")).over(order))
+    before = Window.partitionBy("path", "doc").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = numbered.withColumn("before", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    # only the pieces that hold ids of the header: at most as many as the header is long, and empty ones
+    head = F.when((F.col("before") < HEADER) & (F.col("length") > 0), F.struct("block", "place", "head"))
+    docs = numbered.groupBy("path", "doc").agg(
+        F.max(F.struct("block", "place", "ends")).alias("last"), F.sum("length").alias("length"),
+        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(head)), lambda h: h["head"])), 1, HEADER).alias("head"))
+    docs = docs.where(F.col("last.ends") | (F.col("length") > 0)).select("path", "last.*", "length", "head")
+    h = [F.element_at("head", i + 1).cast("long") for i in range(HEADER)]
+    low = h[0]
+    for i in range(1, HEADER):
+        low = low.bitwiseOR(F.shiftleft(h[i] if i < 4 else h[i].bitwiseAND(F.lit(0xF)), 15 * i))
+    named = F.when((F.size("head") == HEADER) & F.lit(with_header) & (F.shiftright(h[4], 4) == 0), low)
+    return docs.withColumn("doc_id", named).drop("head")
 
 
 def scan_token_files(spark: SparkSession, path: str, end: int = END, block: int = 1 << 20,
-                     with_header: bool = True) -> DataFrame:
+                     with_header: bool = True, task_bytes: int = 128 << 20) -> DataFrame:
     """``doc_id, n_tokens, file, ordinal, closed`` of every document of the files below ``path``.
 
     ``file`` is the file's name, ``ordinal`` the document's place in it.
     Documents do not cross files; ids after a file's last separator are a
     document that is not ``closed``. An empty document counts 0. Without
     headers, or for an unfinished document that ends within its header,
-    ``doc_id`` is null. An empty folder gives an empty result. A file is read
-    by one task, so a file must stay below the 2 GB that Spark gives a binary
-    value; files are as large as the splits they were written from.
+    ``doc_id`` is null. An empty folder gives an empty result. A file may have
+    any size: a task reads blocks of ``block`` ids, one at a time, of any
+    files, about ``task_bytes`` in all. Blocks are opened by their path, on a
+    mounted store or one that Arrow's file systems reach. A file of an odd
+    number of bytes is an error.
     """
     python_workers(spark)
-    files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["file"], pdf["content"]):
-                if len(content) % 2:
-                    raise ValueError(f"{file} is not a file of 16-bit token ids")
-                ids = np.frombuffer(content, "<u2")
-                starts, lengths, open_ = document_bounds(ids, end, block)
-                closed = np.ones(len(starts), bool)
-                if open_:
-                    closed[-1] = False
-                doc = pd.array([None] * len(starts), dtype="Int64")
-                if with_header and len(starts):
-                    whole = lengths >= HEADER
-                    at = starts[whole][:, None] + np.arange(HEADER)
-                    values, null = _doc_ids(ids[at])
-                    doc[np.flatnonzero(whole)[~null]] = values[~null]
-                    lengths = np.maximum(lengths - HEADER, 0)
-                yield pd.DataFrame({"doc_id": doc, "n_tokens": lengths, "file": file,
-                                    "ordinal": np.arange(len(starts)), "closed": closed})
-
-    return files.mapInPandas(scan, "doc_id long, n_tokens long, file string, ordinal long, closed boolean")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # lists the files, reads none
+    pieces = materialize(_pieces(files, end, block, with_header, task_bytes), "pieces")
+    counts = pieces.groupBy("path", "block").agg(F.sum(F.col("ends").cast("long")).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    names = ["path", "block", "place", "ends", "length", "doc_id"]
+    docs = pieces.where("starts AND ends").select(*names).unionByName(
+        _stitched(pieces.where("NOT (starts AND ends)"), with_header).select(*names))
+    size = F.greatest(F.col("length") - HEADER, F.lit(0)) if with_header else F.col("length")
+    return docs.join(offsets, ["path", "block"]).select(
+        "doc_id", size.cast("long").alias("n_tokens"), F.element_at(F.split("path", "/"), -1).alias("file"),
+        (F.col("offset") + F.col("place")).alias("ordinal"), F.col("ends").alias("closed"))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, end: int = END, block: int = 1 << 20) -> DataFrame:

@@ -125,20 +125,44 @@ def test_tokens_of_an_empty_table(spark):
     assert separator_scan.count_tokens(none, VOCABULARY, P.PATTERN).count() == 0
 
 
+def brute_documents(ids, header):
+    """(doc_id, n_tokens, ordinal, closed) of a stream of ids, one after the other."""
+    out, part = [], []
+    for x in [*ids, None]:
+        if x == 50256 or x is None:
+            if x is not None or part:
+                h = part[:separator_scan.HEADER]
+                bits = sum(v << 15 * i for i, v in enumerate(h)) if header and len(h) == separator_scan.HEADER else 1 << 64
+                doc = None if bits >> 64 else bits - (1 << 64) * (bits >> 63)
+                out.append((doc, max(0, len(part) - separator_scan.HEADER) if header else len(part), len(out), x is not None))
+            part = []
+        else:
+            part.append(x)
+    return out
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
-def test_separators_across_blocks(block):
+@pytest.mark.parametrize("header", [False, True])
+def test_separators_across_blocks(spark, tmp_path, block, header):
     rnd = random.Random(block)
-    for _ in range(200):
-        ids = np.array([rnd.choice([1, 2, 3, 50256]) for _ in range(rnd.randint(0, 40))], "<u2")
-        starts, lengths, open_ = separator_scan.document_bounds(ids, block=block)
-        want, at = [], 0
-        for i, x in enumerate(ids):
-            if x == 50256:
-                want.append((at, i - at))
-                at = i + 1
-        if at < len(ids):
-            want.append((at, len(ids) - at))
-        assert list(zip(starts.tolist(), lengths.tolist())) == want and open_ == (at < len(ids))
+    want = []
+    for n in range(40):
+        ids = [rnd.choice([1, 2, 3, 50256]) for _ in range(rnd.randint(0, 40))]
+        if n % 2:  # whole documents with headers, the last one cut anywhere
+            ids = [x for _ in range(rnd.randint(0, 5)) for x in [
+                *separator_scan._header(rnd.choice([None, -1, 0, 2**63 - 1, -2**63, rnd.randint(0, 10**6)])).tolist(),
+                *[rnd.randint(0, 9) for _ in range(rnd.randint(0, 12))], 50256]]
+            ids = ids[:len(ids) - rnd.choice([0, 0, 1, 4])]
+        np.array(ids, "<u2").tofile(tmp_path / f"part {n:02}")
+        want += [(f"part {n:02}", *d) for d in brute_documents(ids, header)]
+    found = separator_scan.scan_token_files(spark, str(tmp_path), block=block, with_header=header, task_bytes=64)
+    assert sorted(((r.file, r.doc_id, r.n_tokens, r.ordinal, r.closed) for r in found.collect()), key=lambda r: (r[0], r[3])) == want
+
+
+def test_half_an_id_is_an_error(spark, tmp_path):
+    (tmp_path / "odd").write_bytes(b"abc")
+    with pytest.raises(Exception, match="not a file of 16-bit token ids"):
+        separator_scan.scan_token_files(spark, str(tmp_path))
 
 
 def test_document_ids_survive_the_header():
