@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loyalframe.llm import byte_bpe, mixing, ngram_trie_join, pii_bootstrap, randomness_secrets, separator_scan, url_rules
 from loyalframe.llm.block_knn import nearest
 from loyalframe.llm.components import components
-from loyalframe.llm.vafile_topk import exact_top_k
+from loyalframe.llm.vafile_topk import approximate, exact_top_k
 from loyalframe.llm.zstd_language import UNKNOWN, held_out, identify, identify_documents, learn
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,34 @@ def test_exact_top_k_equals_brute_force(spark):
     assert exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 8])
+def test_exact_top_k_of_copies_and_wide_ranges(spark, bits):
+    """Many copies of one vector, ties, components of very different size, fewer candidates than k in a block."""
+    rnd = random.Random(bits)
+    rows = [(i, [0.5, -1.0, 2.0]) for i in range(0, 400, 2)]
+    rows += [(i, [rnd.choice([1e-3, 1.0, 1e3]) * rnd.uniform(-50, 50) for _ in range(3)]) for i in range(1, 400, 2)]
+    rows += [(401, [1e6, 1.0, -1e6]), (0, [3.0, 4.0, 5.0]), (403, [1.0]), (410, [2.0]), (420, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda v: [math.floor(64 * x) for x in v]
+    want = []
+    for i in sorted({i for i, _ in rows if i % 10 == 0}):
+        pairs = sorted((-sum(x * y for x, y in zip(whole(q), whole(c))), j) for h, q in rows if h == i
+                       for j, c in rows if j != i and len(c) == len(q))
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:5])]
+    got = exact_top_k(df, F.col("vec_id") % 10 == 0, k=5, bits=bits, query_block=16, candidate_block=100)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_cells_bound_their_vectors(bits):
+    rnd = np.random.default_rng(bits)
+    for top in (1, 100, 1 << 28):
+        v = rnd.integers(-top, top, 50)
+        low, width, cells = approximate(v, bits)
+        rest = v - low - np.frombuffer(cells, np.uint8).astype(np.int64) * width
+        assert rest.min() >= 0 and rest.max() < width and max(cells) < 1 << bits
+
+
 def test_nearest_equals_brute_force(spark):
     df = vectors(spark)
     rows = [r for r in df.collect() if r.embedding and any(r.embedding)]
