@@ -1,6 +1,7 @@
 """Nearest neighbours by a block matrix join on quantised vectors.
 
-Vectors are quantised to int8 with one step per block. The product of a
+Vectors are quantised to int8, each with a step of its own, so that an
+outlier widens its own bounds only. The product of a
 tile of queries with a tile of candidates, on the int8 numbers, gives the
 distance of the quantised vectors; by the triangle inequality the true
 distance is within the sum of the two quantisation errors. Pairs whose lower
@@ -23,12 +24,16 @@ from loyalframe.llm.grid import search, usable_vectors
 _TILE = 4096
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """int8 matrix, its step and each row's quantisation error (Euclidean)."""
-    top = np.abs(x).max(initial=0.0)
-    step = float(top) / 127 or 1.0
-    cells = np.rint(x / step).astype(np.int8)
-    error = np.sqrt(((x - cells * step) ** 2).sum(1))
+#: Squares of larger components may overflow: bounds are not used then, all pairs are computed.
+_SAFE = 1e150
+
+
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 matrix, each row's step and each row's quantisation error (Euclidean)."""
+    step = np.abs(x).max(1, initial=0.0) / 127
+    step[step == 0] = 1.0
+    cells = np.rint(x / step[:, None]).astype(np.int8)
+    error = np.sqrt(((x - cells * step[:, None]) ** 2).sum(1))
     return cells, step, error
 
 
@@ -36,7 +41,12 @@ def best_by_tiles(k: int):
     """Search of one block of queries in one block of candidates; see ``grid.search``."""
 
     def best(queries, candidates):
+        with np.errstate(over="ignore", invalid="ignore"):
+            return of_blocks(queries, candidates)
+
+    def of_blocks(queries, candidates):
         (qid, q), (cid, c) = queries, candidates
+        bounded = max(np.abs(q).max(initial=0.0), np.abs(c).max(initial=0.0)) < _SAFE
         q8, q_step, q_err = quantise(q)
         c8, c_step, c_err = quantise(c)
         # products of int8 numbers are whole; in float32 they are exact up to 2**24, else float64 is taken
@@ -48,11 +58,13 @@ def best_by_tiles(k: int):
             left = q8[qs:qs + 256].astype(kind)
             for cs in range(0, len(c), _TILE):
                 cut = slice(cs, cs + _TILE)
-                dot = (left @ c8[cut].astype(kind).T).astype(np.float64) * (q_step * c_step)
+                dot = (left @ c8[cut].astype(kind).T).astype(np.float64) * (q_step[qs:qs + 256, None] * c_step[None, cut])
                 apart = np.sqrt(np.maximum(q_len[qs:qs + 256, None] + c_len[None, cut] - 2 * dot, 0))
                 off = q_err[qs:qs + 256, None] + c_err[None, cut]
                 # squared distances are rounded at about 1e-15 of the squared lengths
                 off = off + 1e-7 * np.sqrt(q_len[qs:qs + 256, None] + c_len[None, cut])
+                if not bounded:
+                    apart[:], off[:] = 0.0, np.inf
                 apart_max = apart + off
                 own = qid[qs:qs + 256, None] == cid[None, cut]
                 apart_max[own] = np.inf
@@ -91,8 +103,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int
     without vec_id; vectors of different lengths are not compared. Rows equal
     in vec_id and vector count once; different vectors under one vec_id share
     one list of results as queries, are
-    candidates of their own, but not of each other. An empty table gives an
-    empty result. Extra columns are ignored.
+    candidates of their own, but not of each other. A distance too large for
+    a double is infinite. An empty table gives an empty result. Extra columns are ignored.
     """
     rows = materialize(usable_vectors(vectors, zero_ok=False), "vectors")
     return search(rows, is_query, k, best_by_tiles(k), "double", False, query_block, candidate_block)

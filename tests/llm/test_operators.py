@@ -115,6 +115,25 @@ def test_nearest_equals_brute_force(spark):
 
 # 2 and 5: tokens
 
+def test_nearest_of_outliers_and_huge_vectors(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(200, [1e6, 0.0, 0.0, 1e-6]), (220, [1e-200] * 4)]
+    for more in ([], [(240, [1e200, 0.0, 0.0, 0.0]), (260, [-1.7e308] * 4), (280, [1.7e308] * 4)]):
+        df = spark.createDataFrame([*rows, *more], "vec_id long, embedding array<double>")
+
+        def apart(a, b):
+            with np.errstate(over="ignore"):
+                d = np.array(a) - np.array(b)
+                return float(np.sqrt(np.cumsum(d * d)[-1]))
+
+        want = [(i, n + 1, j, s) for i, q in [*rows, *more] if i % 20 == 0 for n, (s, j) in enumerate(
+            sorted((apart(q, c), j) for j, c in [*rows, *more] if j != i)[:10])]
+        for blocks in ((2048, 16384), (3, 30)):
+            got = nearest(df, F.col("vec_id") % 20 == 0, query_block=blocks[0], candidate_block=blocks[1]).collect()
+            assert sorted(tuple(r) for r in got) == want
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
