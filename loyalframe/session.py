@@ -22,6 +22,10 @@ SESSION_CONF = {
     # falls back to a sort-merge join above it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # HotSpot never compiles a method above 8000 bytes of code: a stage whose
+    # one generated method is larger would run interpreted, so Spark is told
+    # to generate such stages operator by operator, in small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -87,9 +91,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def apply_session_conf(spark: SparkSession) -> None:
-    """Set on a given session what results depend on, and the skew handling of the joins."""
+    """Set on a given session what results depend on, the skew handling of the joins and the size of generated methods."""
     for k in ("spark.sql.session.timeZone", "spark.sql.caseSensitive", "spark.sql.adaptive.enabled",
-              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin",
+              "spark.sql.codegen.hugeMethodLimit"):
         spark.conf.set(k, SESSION_CONF[k])
 
 

@@ -150,10 +150,19 @@ def _number(c: str, kind: str):
     """Text as a number of type ``kind``: "200" and "200.0" alike; "1,000" or "2kg" is no number.
 
     A value that ``kind`` cannot hold exactly ("100.5" as a whole number)
-    becomes NULL rather than another value.
+    becomes NULL rather than another value. Nearly all cells are whole
+    numbers in their plain spelling ("200", "200.0"): those are cast straight
+    to bigint and known by writing them again; only other texts need decimals.
     """
-    exact = F.trim(F.col(c).cast("string")).try_cast("decimal(38,6)")
-    return F.when(exact.try_cast(kind).cast("decimal(38,6)") == exact, exact.try_cast(kind))
+    text = F.trim(F.col(c).cast("string"))
+    exact = text.try_cast("decimal(38,6)")
+    any_spelling = F.when(exact.try_cast(kind).cast("decimal(38,6)") == exact, exact.try_cast(kind))
+    if kind != "bigint":
+        return any_spelling
+    whole = F.substring_index(text, ".", 1).try_cast("bigint")
+    plain = (text == whole.cast("string")) | (text == F.concat(whole.cast("string"), F.lit(".0")))
+    # a text without any digit is no number either: no decimal is tried on "n/a"
+    return F.when(plain, whole).when(text.rlike("[0-9]"), any_spelling)
 
 
 def _number_columns(df: DataFrame) -> list[str]:
@@ -163,7 +172,8 @@ def _number_columns(df: DataFrame) -> list[str]:
 def _no_digits(df: DataFrame):
     """True for a row without a digit in any cell where an id, a time or a number belongs."""
     cells = [F.col(c).cast("string") for c in (*[c for c in ID_COLUMNS if c in df.columns], "Created_Time", *_number_columns(df))]
-    return ~F.coalesce(F.concat_ws(" ", *cells).rlike("[0-9]"), F.lit(False))
+    # cell by cell, ids first: the cells after the first one with a digit are not even made
+    return ~reduce(lambda x, y: x | y, [F.coalesce(c.rlike("[0-9]"), F.lit(False)) for c in cells])
 
 
 def cast_order_lines(df: DataFrame, money: str = "bigint") -> DataFrame:
