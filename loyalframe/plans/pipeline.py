@@ -88,17 +88,20 @@ class LoyaltyData:
             self.__dict__[name] = getattr(self, name).persist(level)
         return self
 
-    def checkpoint(self, lines: bool = False) -> "LoyaltyData":
+    def checkpoint(self, lines: bool = False, customers: bool = False) -> "LoyaltyData":
         """Write the order table (and with ``lines`` the labelled lines first)
         as Parquet to the shared folder ``spark.checkpoint.dir``; later
         datasets, and recovery after a lost executor, start from there and
-        read only the columns they need."""
+        read only the columns they need. With ``customers`` the buyers are
+        written too: several datasets over buyers then aggregate them once."""
         if lines:
             self.__dict__["lines"] = written(self.lines, "lines")
             self.__dict__.pop("orders", None)
         self.__dict__["orders"] = written(self.orders, "orders")
         for name in ("customers", "monthly", "cube"):
             self.__dict__.pop(name, None)
+        if customers:
+            self.__dict__["customers"] = written(self.customers, "customers")
         return self
 
 

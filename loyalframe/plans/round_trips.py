@@ -73,16 +73,16 @@ def orders_read_back(d: LoyaltyData) -> DataFrame:
 
 
 def labelled_csv_read_back(d: LoyaltyData) -> DataFrame:
-    """The labelled lines written as CSV and read back with their types."""
+    """The labelled lines written as CSV (gzip: plain text is most of the bytes moved) and read back with their types."""
     lines = present_lines(d.lines)
     path = scratch(d, "labelled.csv")
-    write_labelled_csv(lines, path)
+    write_labelled_csv(lines, path, compression="gzip")
     return read_dataset(d.spark, path, "csv", lines.schema)
 
 
 def exported_row_counts(d: LoyaltyData, datasets: dict) -> DataFrame:
-    """Datasets exported from one written order table, counted from their files."""
-    d.checkpoint()
+    """Datasets exported from one written order table and one of buyers, counted from their files."""
+    d.checkpoint(customers=True)
     built = {name: build(d) for name, build in datasets.items()}
     paths = export_all({n: (lambda n=n: built[n]) for n in built}, scratch(d, "export"))
     return row_counts({n: read_dataset(d.spark, p, schema=built[n].schema) for n, p in zip(built, paths)})

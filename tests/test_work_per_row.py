@@ -27,7 +27,37 @@ def test_plain_whole_numbers_need_no_decimal(spark):
     assert {r.c: r.now for r in rows}["200.0"] == 200
 
 
+def test_small_ratios_are_exact_and_not_decimal(spark):
+    top = 2**63 - 1
+    pairs = [(1, 800), (-1, 800), (5, 1000), (-5, 1000), (0, 3), (7, 0), (7, -2), (None, 1), (1, None), (10**13, 3), (10**15, 7), (-10**15, 7),
+             (10**15 + 1, 7), (top, 1), (-top, 3), (1, top), (10**17, 10**17), (1, 10**17 + 1)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for scale in (0, 2):
+        rows = df.select("a", "b", round_div("a", "b", scale).alias("r"), pct("a", "b", scale).alias("p")).collect()
+        for r in rows:
+            for got, times in ((r.r, 1), (r.p, 100)):
+                if r.a is None or r.b is None or r.b == 0:
+                    assert got is None
+                elif r.b > 0:
+                    n = abs(r.a) * times
+                    mag = (n * 2 * 10**scale + r.b) // (2 * r.b)
+                    if mag < 2**63:  # the quotient is a bigint
+                        assert got == float(Decimal(-mag if r.a < 0 else mag)) / 10**scale
+
+
 def test_large_generated_methods_are_not_left_interpreted(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     apply_session_conf(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_buyers_are_aggregated_once_for_all_exports(spark, monkeypatch):
+    made = []
+    real = LoyaltyData.by_buyer
+    monkeypatch.setattr(LoyaltyData, "by_buyer", lambda self, build: made.append(1) or real(self, build))
+    d = LoyaltyData.from_tables(spark, SF)
+    counts = {r.Dataset: r.Num_Rows for r in rt.exported_row_counts(d, {n: DATASETS[n] for n in EXPORTED}).collect()}
+    assert set(counts) == set(EXPORTED) and counts["pivot_loyalty_tier"] > 0
+    plan = d.customers._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # read from the written buyers
+    assert len(made) == 2  # buyers and months
