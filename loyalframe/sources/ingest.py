@@ -212,12 +212,14 @@ def split_order_lines(raw: DataFrame, money: str = "bigint") -> IngestSplit:
     """
     parsed = {"Created_Time": F.try_to_timestamp(F.trim(F.col("Created_Time").cast("string")), F.lit(EXPORT_TIME_FORMAT)),
               **{c: _number(c, "bigint" if c == "Quantity" else money) for c in _number_columns(raw)}}
-    faults = [F.when((F.trim(F.col(c).cast("string")) != "") & v.isNull(),
-                     F.struct(F.lit(c).alias("Column"), F.col(c).cast("string").alias("Text"))) for c, v in parsed.items()]
-    checked = raw.withColumn("Rejected", F.array_compact(F.array(*faults)))
-    data = checked.where(~F.col(IS_DESCRIPTION))
-    good = data.where(F.size("Rejected") == 0).drop("Rejected")
-    return IngestSplit(cast_order_lines(good, money), data.where(F.size("Rejected") > 0).drop(IS_DESCRIPTION),
+    bad = {c: F.coalesce((F.trim(F.col(c).cast("string")) != "") & v.isNull(), F.lit(False)) for c, v in parsed.items()}
+    faulty = reduce(lambda x, y: x | y, bad.values())
+    # arrays are made of faulty lines only: they are slow next to the test itself
+    rejected = F.array_compact(F.array(*[
+        F.when(b, F.struct(F.lit(c).alias("Column"), F.col(c).cast("string").alias("Text"))) for c, b in bad.items()]))
+    data = raw.where(~F.col(IS_DESCRIPTION))
+    return IngestSplit(cast_order_lines(data.where(~faulty), money),
+                       data.where(faulty).withColumn("Rejected", rejected).drop(IS_DESCRIPTION),
                        raw.where(IS_DESCRIPTION).drop(IS_DESCRIPTION))
 
 

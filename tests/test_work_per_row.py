@@ -51,6 +51,21 @@ def test_large_generated_methods_are_not_left_interpreted(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
 
 
+def test_faults_are_found_without_arrays_on_good_lines(spark):
+    names = ["Order_ID", "SKU_ID", "Created_Time", "Quantity", *ingest.MONEY_COLUMNS]
+    good = ("o1", "7", "01/02/1996 03:04:05", "2.0", "1", "2", "3", "4", "5")
+    rows = [(*good, False), ("o2", "7", "no time", "n/a", "1", "2", "", None, "5", False), ("o3", None, None, None, *[None] * 5, False),
+            ("Platform id", "", "Time", "", *[""] * 5, True)]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names) + f", {ingest.IS_DESCRIPTION} boolean")
+    split = ingest.split_order_lines(raw)
+    assert sorted(r.Order_ID for r in split.lines.collect()) == ["o1", "o3"]
+    bad = split.quarantine.collect()
+    assert [(r.Order_ID, [(x.Column, x.Text) for x in r.Rejected]) for r in bad] == [("o2", [("Created_Time", "no time"), ("Quantity", "n/a")])]
+    assert split.descriptions.count() == 1
+    plan = split.lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Rejected" not in plan and "array(" not in plan
+
+
 def test_buyers_are_aggregated_once_for_all_exports(spark, monkeypatch):
     made = []
     real = LoyaltyData.by_buyer
