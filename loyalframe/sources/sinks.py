@@ -46,7 +46,7 @@ def in_months(df: DataFrame, first: str | None = None, last: str | None = None)
 
 
 def write_labelled_csv(df: DataFrame, path: str, header: bool = True, header_row: list | None = None,
-                       bom: bool = False, order_by: Iterable[str] = ()) -> None:
+                       bom: bool = False, order_by: Iterable[str] = (), compression: str | None = None) -> None:
     """Labelled order lines as CSV, with or without a header row.
 
     ``order_by`` names columns (an export's ``EXPORT_ORDER``) whose order the
@@ -54,7 +54,9 @@ def write_labelled_csv(df: DataFrame, path: str, header: bool = True, header_row
     by ranges of them, never gathered. These columns are not written.
     ``header_row`` gives the header's texts (one per column, duplicates
     allowed only as Spark allows them); ``bom`` marks the files as UTF-8 for
-    spreadsheet programs, on the header of each part file.
+    spreadsheet programs, on the header of each part file. ``compression``
+    ("gzip") makes compressed part files, which readers take like plain ones;
+    each is then read by one task, as it was written by one.
     """
     keys = list(order_by)
     if keys:
@@ -64,7 +66,7 @@ def write_labelled_csv(df: DataFrame, path: str, header: bool = True, header_row
         raise ValueError(f"{len(names)} header texts for {len(df.columns)} columns")
     if bom and header:
         names = ["\ufeff" + names[0], *names[1:]]
-    df.toDF(*names).write.mode("overwrite").options(**CSV_QUOTES).option("header", header).csv(path)
+    df.toDF(*names).write.mode("overwrite").options(**CSV_QUOTES).option("header", header).csv(path, compression=compression)
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:

@@ -76,3 +76,14 @@ def test_buyers_are_aggregated_once_for_all_exports(spark, monkeypatch):
     plan = d.customers._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # read from the written buyers
     assert len(made) == 2  # buyers and months
+
+
+def test_labelled_csv_is_written_compressed_and_read_back_whole(spark, monkeypatch):
+    paths = []
+    real = rt.write_labelled_csv
+    monkeypatch.setattr(rt, "write_labelled_csv", lambda df, path, **kw: paths.append(path) or real(df, path, **kw))
+    d = LoyaltyData.from_tables(spark, SF)
+    got, want = rt.labelled_csv_read_back(d), DATASETS["label_order_lines"](d)
+    assert got.select(*want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(*want.columns)).isEmpty()
+    files = glob.glob(os.path.join(paths[0].removeprefix("file:"), "part-*"))
+    assert files and all(f.endswith(".csv.gz") for f in files)
