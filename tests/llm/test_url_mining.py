@@ -104,3 +104,39 @@ def test_many_optional_keys_end_in_time(spark):
     assert counts["net", "block"] == 3334 and counts["com", "allow"] == 3333
     # a rare combination may come with a verdict by chance: hardly any of the 3000 without the token
     assert 333 <= counts["org", "block"] <= 340 and counts["org", "block"] + counts["org", "allow"] == 3333
+
+
+def test_no_combination_is_lost_among_many_tokens(spark):
+    """Two tokens that tell a verdict only together, beside more tokens that tell a little each than a list of 16 holds."""
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(1500):
+        x, y = rnd.random() < 0.5, rnd.random() < 0.5
+        bad = x == y
+        s = ({"zx"} if x else set()) | ({"zy"} if y else set()) | {"always"}
+        s |= {f"a{k:02}" for k in range(18) if rnd.random() < (0.20 if bad else 0.02)} | {f"b{k}" for k in range(3) if rnd.random() < 0.4}
+        rows.append((s, "block" if bad else "allow"))
+    df = spark.createDataFrame([(sorted(s), v) for s, v in rows], "tokens array<string>, verdict string")
+    rules = U.mine_rules(df, 0.02, 0.95)
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in rules.collect()}
+    assert (("zx", "zy"), "block") in got
+    # brute force, level by level: every frequent set of any tokens
+    total, tokens = len(rows), sorted({t for s, _ in rows for t in s})
+    bits = {t: sum(1 << i for i, (s, _) in enumerate(rows) if t in s) for t in tokens}
+    block = sum(1 << i for i, (_, v) in enumerate(rows) if v == "block")
+    level, want = [((t,), bits[t]) for t in tokens], {}
+    while level:
+        here, level = level, []
+        for combo, b in here:
+            n, k = b.bit_count(), (b & block).bit_count()
+            need = 20 if len(combo) == 1 else 0.02 * total
+            for verdict, hits in (("block", k), ("allow", n - k)):
+                if n <= 0.95 * total and hits >= need and hits >= 0.95 * n:
+                    want[combo, verdict] = (hits / n, hits / total)
+            if max(k, n - k) >= 0.02 * total:
+                level += [((*combo, t), b & bits[t]) for t in tokens if t > combo[-1]]
+    assert set(got) <= set(want) and all(abs(got[r][i] - want[r][i]) < 1e-9 for r in got for i in (0, 1))
+    value = lambda r, of: (round(of[r][0], 9), round(of[r][1], 9), -len(r[0]), r[1] == "allow")
+    for tokens in {r[0] for r in want}:  # the best rule of what fires is the same
+        fires = [r for r in want if set(r[0]) <= set(tokens)]
+        assert max(value(r, want) for r in fires) == max(value(r, got) for r in got if set(r[0]) <= set(tokens))
