@@ -13,18 +13,26 @@ template's words that they cover is the span's score.
 
 Texts are known by a 128-bit hash: copies vote once, and only hits are
 shuffled, never texts or their other words. The templates are a parameter; Spark broadcasts their
-hashes while they are below its threshold and shuffles both sides beyond.
+hashes while they are below its threshold and shuffles both sides beyond. Of a
+text only the ``k`` words that all occur in templates are hashed: others match none.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loyalframe.llm.common import materialize, text_of, unkept
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# all but [\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]: a regular expression tests ranges that hold faster than ranges that don't
+WORD = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]+"
+# a larger vocabulary of templates is no longer a list in the plan; all grams are joined then
+LISTED_WORDS = 10_000
 # fixed values: phrases, found at every place where their words stand consecutively
 PHRASES = (
     ("mit", "under the mit license"),
@@ -63,14 +71,35 @@ NOTICES = (
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words with A-Z lower-cased; ``lower`` does just that to ASCII texts, and much faster."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+
+
+def vocabulary_of(texts) -> list | None:
+    """The distinct words of template texts; None if too many to be listed."""
+    lowered = (t.translate(str.maketrans(UPPER, LOWER)) for t in texts)
+    words = {w for t in lowered for w in re.findall(r"[a-z0-9\x80-\U0010FFFF]+", t)}
+    return sorted(words) if len(words) <= LISTED_WORDS else None
+
+
+def grams_of(words: str, k: int, vocabulary: list | None = None) -> Column:
+    """``at, hash, said`` of the ``k`` words from each word on; the last ``k - 1`` words start none.
+
+    Given a vocabulary, only grams of its words alone are made.
+    """
+    def gram(i: Column) -> list[Column]:
+        return [F.get(words, i + j) for j in range(k)]
 
+    def wanted(i: Column) -> Column:
+        if vocabulary is None:
+            return gram(i)[-1].isNotNull()
+        return reduce(and_, [w.isin(vocabulary) for w in gram(i)])
 
-def grams_of(words: str, k: int) -> Column:
-    """``hash, said`` of the ``k`` words from each word on; the last ``k - 1`` words start none."""
-    parts = ", ".join(["w", *[f"get({words}, i + {j})" for j in range(1, k)]])
-    return F.expr(f"""slice(transform({words}, (w, i) -> named_struct('hash', xxhash64({parts}), 'said', concat_ws(' ', {parts}))),
-                            1, greatest(0, size({words}) - {k - 1}))""")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), wanted)
+    return F.transform(starts, lambda i: F.struct(
+        i.alias("at"), F.xxhash64(*gram(i)).alias("hash"), F.concat_ws(" ", *gram(i)).alias("said")))
 
 
 def template_table(spark: SparkSession, phrases, notices, k: int) -> DataFrame:
@@ -84,15 +113,15 @@ def template_table(spark: SparkSession, phrases, notices, k: int) -> DataFrame:
     return materialize(df.withColumn("tw", F.when(F.size("tw") < k, short.cast("array<string>")).otherwise(F.col("tw"))), "templates")
 
 
-def spans_of_texts(texts: DataFrame, templates: DataFrame, k: int, min_votes: int, gap: int, coverage: float) -> DataFrame:
+def spans_of_texts(texts: DataFrame, templates: DataFrame, vocabulary: list | None, k: int, min_votes: int, gap: int,
+                   coverage: float) -> DataFrame:
     """``k1, k2, spans``: the verified spans of each text that has any.
 
     ``texts``: k1, k2 (the text's hash) and words; a text may occur many
     times. A text's list is bounded by its own length.
     """
-    hits = texts.select("k1", "k2", F.posexplode(grams_of("words", k)).alias("d", "g")).select("k1", "k2", "d", F.col("g.hash").alias("hash"), "g.said")
-    index = templates.select("template", F.posexplode(grams_of("tw", k)).alias("t", "g")).select(
-        "template", "t", F.col("g.hash").alias("hash"), F.col("g.said").alias("meant"))
+    hits = texts.select("k1", "k2", F.inline(grams_of("words", k, vocabulary)).alias("d", "hash", "said"))
+    index = templates.select("template", F.inline(grams_of("tw", k)).alias("t", "hash", "meant"))
     hits = hits.join(index, "hash").where(F.col("said").startswith(F.col("meant")) & F.col("meant").startswith(F.col("said")))
     votes = hits.groupBy("k1", "k2", "template", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
     sizes = templates.select("template", "label", "exact", F.size("tw").alias("size"))
@@ -135,8 +164,9 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = 3,
     templates = template_table(docs.sparkSession, phrases, notices, k)
     text = text_of()
     keys = F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
-    found = materialize(spans_of_texts(docs.select(*keys, words_of(text).alias("words")), templates, k, min_votes, gap, coverage), "spans")
-    df = docs.select("doc_id", *keys, F.regexp_count(F.translate(text, UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"),
+    vocabulary = vocabulary_of(t for _, t in [*phrases, *notices])
+    found = materialize(spans_of_texts(docs.select(*keys, words_of(text).alias("words")), templates, vocabulary, k, min_votes, gap, coverage), "spans")
+    df = docs.select("doc_id", *keys, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
                      *[F.col(c).alias(f"_keep_{c}") for c in keep])
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
     return df.join(found, ["k1", "k2"], "left").select("doc_id", "n_words", spans.alias("spans"), *unkept(keep))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loyalframe.llm import license_scan as L
 from loyalframe.llm import spelling_variants as S
 from loyalframe.llm.hard_negatives import hard_negatives, pack_planes, scores_of
 from loyalframe.llm.license_scan import NOTICES, PHRASES, license_report, scan_licenses
@@ -117,6 +118,26 @@ def test_license_odd_inputs(spark):
         scan_licenses(odd, phrases=(("short", "two words"),))
 
 
+def test_only_grams_of_template_words_are_made(spark, monkeypatch):
+    odd = ["", "a", "Under THE Mit-License", "\u212aeep \u0130 \u00c9T\u00c9 stra\u00dfe \u1e9e \u03a3\u0391\u03a3 Mit",
+           "x\x7fY\x80z\u0085Q\u00a0R[S]T`U{V}W@X:Y/Z", "\U0001f600a \U0010ffffB \ud7ffC \ue000 Z_z 0:9;", "CC by\tNC\x0bBY\x0cnc", "\u6f22\u5b57 ABC"]
+    vocabulary = L.vocabulary_of(t for _, t in PHRASES)
+    assert vocabulary == sorted({w for _, t in PHRASES for w in words(t)})
+    rows = spark.createDataFrame([(t,) for t in [*odd, *(" x ".join(PHRASES[0][1].split()[:j]) for j in range(5)), " ".join(t for _, t in PHRASES)]],
+                                 "text string").select("text", L.words_of(F.col("text")).alias("tw"))
+    for r in rows.select("*", L.grams_of("tw", 3).alias("every"), L.grams_of("tw", 3, vocabulary).alias("some")).collect():
+        w = words(r.text)
+        assert r.tw == w
+        every = [(i, " ".join(w[i:i + 3])) for i in range(len(w) - 2)]
+        assert [(g["at"], g["said"]) for g in r.every] == every
+        assert [(g["at"], g["said"]) for g in r.some] == [g for g in every if set(g[1].split()) <= set(vocabulary)]
+    docs = spark.createDataFrame([(i, f"{a} {b}") for i, (_, a) in enumerate(NOTICES) for _, b in PHRASES], "doc_id long, text string")
+    listed = Counter(map(str, license_report(docs).collect()))
+    monkeypatch.setattr(L, "LISTED_WORDS", 0)  # too many to list: every gram is joined
+    assert L.vocabulary_of(["of the"]) is None
+    assert Counter(map(str, license_report(docs).collect())) == listed
+
+
 # 12: hard negatives
 
 def test_lookup_scores_are_inner_products():
