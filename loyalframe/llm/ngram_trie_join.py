@@ -5,16 +5,19 @@ Jaccard similarity of their sets reaches a threshold; the result is each
 document's class under chains of links.
 
 1. Equal sets are one class: copies, however many, cost one row each.
-2. Candidates. All n-grams have one global order, rare ones first; linked
+2. Candidates. Sizes fall into ranges, linked sets into the same range or
+   the next. All n-grams have one order per range, rare ones first; linked
    sets share an n-gram within their prefixes, the first
    ``n - ceil(t * n) + 1`` n-grams in that order. Document frequencies are
-   counted over all classes for the n-grams whose hash falls into a fixed
-   quarter of the hash range; these come first in the order, by frequency,
-   the others follow by hash. A class whose prefix holds only n-grams of its
-   own cannot link and is done: in a quarter of the n-grams that takes two
-   in five of them, a prefix being a tenth of all. The classes left are
-   joined to one class per shared prefix n-gram and range of sizes, and fall
-   into candidate clusters.
+   counted over all classes for the n-grams whose hash falls into a lower
+   part of the hash range, a quarter for large sets, more for small ones, so
+   that it fills the prefix; these come first in the order, by frequency, the
+   others follow by hash. A class whose prefix holds only n-grams of its own
+   cannot link and is done. The classes left meet by prefix n-gram and range.
+   Each carries the parities of its n-grams in some hundred buckets: two
+   sets differ in at least as many n-grams as parities, so that most sets
+   with a common n-gram by chance are known not to link. Those that may link
+   fall into candidate clusters, so that chance makes no chains of clusters.
 3. Prefix tree. The sets of a cluster are stored in a tree of globally
    ordered n-grams, common ones first, so that similar sets share a path and
    their overlap with a new set is counted once. The overlap so far and the
@@ -38,15 +41,19 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyalframe.llm.common import materialize, python_workers, slim, with_text_columns
+from loyalframe.llm.common import materialize, python_workers, slices, slim, with_text_columns
 from loyalframe.llm.components import components
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_UNIVERSE = np.uint64(1 << 62)  # hashes below are counted: a quarter of the range
+_TOP = np.uint64(1 << 63)  # turns the order of unsigned numbers into that of signed ones
+_PART_TOKENS = 200_000  # prefix n-grams that meet in one task
+_PAIRWISE = 16  # sets with a common prefix n-gram that are compared in pairs, all at once
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -72,6 +79,149 @@ def signature(ngrams: np.ndarray) -> tuple[int, int]:
         xxhash.xxh3_64_intdigest(data), xxhash.xxh3_64_intdigest(data, seed=1)))
 
 
+class Sizes:
+    """Ranges of set sizes: linked sets are in the same one or the next."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.width = max(math.log(100 / percent) * 1.000001, 1e-9)  # leaves room for rounding
+
+    def of(self, n: int) -> int:
+        return math.floor(math.log(n) / self.width)
+
+    def counted(self, size: int) -> np.uint64:
+        """Hashes below are counted: a quarter of all or more, never more than in the range before."""
+        n = math.exp(size * self.width)
+        share = 1 - self.percent / 100 + 1 / n + 1.75 / math.sqrt(n)  # a prefix and 3.5 deviations
+        return np.uint64(min(int(max(share, 0.25) * 2.0 ** 64), (1 << 64) - 1))
+
+    def words(self, size: int) -> int:
+        """64-bit words of the parities, a power of two: chance leaves half of them different, links at most a third of that."""
+        differ = 2 * (100 - self.percent) / (100 + self.percent) * math.exp((size + 1) * self.width)
+        return 1 << min(7, math.ceil(math.log2(max(1, 3.4 * differ / 64))))
+
+
+def parities(ngrams: np.ndarray, words: int) -> bytes:
+    """Of the n-grams in each of 64 * ``words`` buckets; those for half the words are the two halves' XOR."""
+    counts = np.bincount((ngrams & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def halved(bits: bytes, words: int) -> bytes:
+    x = np.frombuffer(bits, "<u8")
+    while len(x) > words:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x.tobytes()
+
+
+def may_link(node: np.ndarray, n: np.ndarray, own: np.ndarray, bits: np.ndarray, row: np.ndarray, token: np.ndarray,
+             percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all sets with a common token that may link, by their sizes and parities.
+
+    ``row, token``: the tokens of each set; ``own``: sets of this range, the
+    others are of the range before, where they meet each other.
+    """
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ham = np.bitwise_count(bits[a] ^ bits[b]).sum(-1, dtype=np.int64)
+        both, least, most = n[a] + n[b], np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        return (own[a] | own[b]) & (100 * least >= percent * most) & ((100 + percent) * ham <= (100 - percent) * both)
+
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])[:len(token)]
+    m = np.diff(np.r_[first, len(token)])
+    end, small = np.repeat(first + m, m), np.repeat(m <= _PAIRWISE, m)
+    at, codes = np.arange(len(token)), [np.empty(0, np.int64)]
+    for lag in range(1, _PAIRWISE):
+        i = np.flatnonzero(small & (at + lag < end))
+        codes.append(np.minimum(row[i], row[i + lag]) * len(node) + np.maximum(row[i], row[i + lag]))
+    codes = np.unique(np.concatenate(codes))
+    a, b, step = [], [], max(1, (1 << 20) // bits.shape[1])
+    for i in range(0, len(codes), step):
+        x, y = np.divmod(codes[i:i + step], len(node))
+        linked = close(x, y)
+        a.append(node[x[linked]])
+        b.append(node[y[linked]])
+    root = np.arange(len(node))
+    for start, size in zip(first[m > _PAIRWISE], m[m > _PAIRWISE]):
+        members = row[start:start + size]
+        while (up := root[root[members]] != root[members]).any():
+            root[members[up]] = root[root[members[up]]]
+        if not own[members].any() or (root[members] == root[members[0]]).all():
+            continue
+        left = members
+        while len(left) > 1:  # from one set on to those that may link, and on from these
+            group, queue, left = [left[:1]], left[:1], left[1:]
+            while len(queue) and len(left):
+                step = max(1, (1 << 20) // (len(left) * bits.shape[1]))
+                hit = close(queue[:step, None], left[None, :]).any(0)
+                queue = np.concatenate([queue[step:], left[hit]])
+                group.append(left[hit])
+                left = left[~hit]
+            roots = np.unique(root[np.concatenate(group)])
+            a.append(node[roots[1:]])
+            b.append(np.repeat(node[roots[0]], len(roots) - 1))
+            root[roots] = roots[0]
+    return np.concatenate(a or [node[:0]]), np.concatenate(b or [node[:0]])
+
+
+def _candidates(index: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that join all classes that may link.
+
+    ``index``: node, n, size, bits, and the prefixes in the order of the own
+    range (``here``) and of the next (``above``). Rows are dealt by n-gram and
+    range; a class comes once to each part with any of its n-grams.
+    """
+    sizes = Sizes(percent)
+    python_workers(index.sparkSession)
+    tokens = index.agg(F.sum(F.size("here") + F.size("above"))).first()[0] or 0
+    parts = np.uint64(max(1, math.ceil(tokens / _PART_TOKENS)))
+
+    def deal(batches):
+        for batch in slices(batches):
+            n, size, node = (batch.column(c).to_numpy() for c in ("n", "size", "node"))
+            bits = batch.column("bits").to_pylist()
+            for own, column in enumerate(("above", "here")):
+                lists = batch.column(column)
+                lengths = pc.list_value_length(lists).to_numpy()
+                token, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lengths)
+                if not len(token):
+                    continue
+                at = size + 1 - own
+                part = (token.view(np.uint64) ^ (at[row].astype(np.uint64) * _MIX[0])) * _MIX[1]
+                part = ((part >> np.uint64(33)) % parts).astype(np.int64)
+                order = np.lexsort((part, row))
+                token, part, row = token[order], part[order], row[order]
+                first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
+                of = row[first]
+                short = {i: halved(bits[i], sizes.words(int(at[i]))) for i in np.unique(of).tolist()}
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part[first]), pa.array(at[of]), pa.array(np.full(len(of), own, np.int64)), pa.array(node[of]), pa.array(n[of]),
+                    pa.ListArray.from_arrays(pa.array(np.r_[first, len(token)], pa.int32()), pa.array(token)),
+                    pa.array([short[i] for i in of.tolist()], pa.binary())],
+                    names=["part", "size", "own", "node", "n", "tokens", "bits"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        table = table.combine_chunks().sort_by("size")
+        size = table["size"].to_numpy()
+        cuts = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(size)].tolist()
+        for start, stop in zip(cuts, cuts[1:]):
+            t = table.slice(start, stop - start).combine_chunks()
+            lists = t["tokens"].combine_chunks()
+            row = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy())
+            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(len(t), -1)
+            x, y = may_link(t["node"].to_numpy(), t["n"].to_numpy(), t["own"].to_numpy() > 0, bits, row,
+                            lists.flatten().to_numpy(), percent)
+            a.append(x)
+            b.append(y)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    dealt = index.select("n", "size", "node", "bits", "here", "above").mapInArrow(
+        deal, "part long, size long, own long, node long, n long, tokens array<long>, bits binary")
+    return dealt.groupBy("part").applyInArrow(meet, "a long, b long")
+
+
 class _Node:
     __slots__ = ("ngrams", "depth", "children", "least", "most", "group", "ends")
 
@@ -234,8 +384,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Links: 100 * intersection >= ``percent`` * union of the n-gram sets
-    (best above 80: the prefix must stay below the counted quarter's
-    size for most sets; smaller sets are filled up, so any value is right).
+    (any value is right; the higher, the shorter the prefixes).
     A null or empty text, or one of white space, has the empty set and links
     with nothing. A text of fewer than ``n`` words is one n-gram. Texts of
     any length are taken whole. Repeated rows get equal results. Rows that
@@ -245,43 +394,52 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, cell_ngrams:
     ignored.
     """
 
+    sizes = Sizes(percent)
+
     def make():
         def columns(texts: list) -> tuple:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(11)]
             for text in texts:
                 s = ngram_set(text, n)
+                size = sizes.of(len(s)) if len(s) else 0
                 prefix = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                counted = int(np.searchsorted(s, _UNIVERSE))
-                for column, x in zip(out, (len(s), *signature(s), counted, s[:counted].view(np.int64),
-                                           s[counted:max(prefix, counted)].view(np.int64))):
+                top = [sizes.counted(size), sizes.counted(size + 1)]
+                k = np.searchsorted(s, np.array(top, np.uint64)).tolist()
+                signed = (s[:max(prefix, *k)] ^ _TOP).view(np.int64)
+                for column, x in zip(out, (len(s), *signature(s), size, *k, int((top[1] ^ _TOP).view(np.int64)), signed[:k[0]],
+                                           signed[k[0]:max(prefix, k[0])], signed[k[1]:max(prefix, k[1])],
+                                           parities(s, sizes.words(size + 1)))):
                     column.append(x)
             return tuple(out)
 
         return columns
 
-    rows = materialize(with_text_columns(
-        slim(docs), "n long, s1 long, s2 long, k int, counted array<long>, filled array<long>", make), "sets")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "k", "counted", "filled")])
+    rows = materialize(with_text_columns(slim(docs), (
+        "n long, s1 long, s2 long, size long, k0 int, k1 int, top long, counted array<long>, "
+        "filled0 array<long>, filled1 array<long>, bits binary"), make), "sets")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *[
+        F.any_value(c).alias(c) for c in ("n", "size", "k0", "k1", "top", "counted", "filled0", "filled1", "bits")])
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # document frequency of the counted n-grams, and each class's shared ones
     tokens = classes.select("node", F.explode("counted").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    shared = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    held = shared.groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     # the prefix starts with the class's own n-grams; if they fill it, nothing is left to find
     length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    narrow = classes.select("node", "n", "k", "filled").join(held, "node", "left").withColumn(
-        "shared", F.coalesce("shared", F.expr("cast(array() as array<struct<df:bigint,token:bigint>>)")))
-    narrow = narrow.withColumn("left", (length - (F.col("k") - F.size("shared"))).cast("int")).where("left > 0")
-    prefix = F.concat(F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("left")), lambda t: t["token"]), "filled")
-    # linked sizes are at most one range apart; the width leaves room for rounding
-    width = max(math.log(100 / percent) * 1.000001, 1e-9)
-    size = F.floor(F.log("n") / F.lit(width))
-    index = narrow.select("node", F.explode(prefix).alias("token"), size.alias("size"))
-    index = materialize(index.withColumn("size", F.explode(F.array("size", F.col("size") + 1))), "index")
-    hubs = index.groupBy("token", "size").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = index.join(hubs, ["token", "size"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    narrow = classes.select("node", "n", "size", "k0", "k1", "top", "filled0", "filled1", "bits").join(held, "node", "left")
+    narrow = narrow.withColumn("shared0", F.array_sort(F.coalesce(
+        "shared", F.expr("cast(array() as array<struct<df:bigint,token:bigint>>)"))))
+    narrow = narrow.withColumn("shared1", F.filter("shared0", lambda t: t["token"] < F.col("top")))
+
+    def prefix(i: int) -> Column:
+        left = (length - (F.col(f"k{i}") - F.size(f"shared{i}"))).cast("int")
+        tokens = F.concat(F.transform(F.slice(f"shared{i}", F.lit(1), left), lambda t: t["token"]), f"filled{i}")
+        return F.when(left > 0, tokens).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    index = narrow.select("node", "n", "size", "bits", prefix(0).alias("here"), prefix(1).alias("above"))
+    index = materialize(index.where("size(here) + size(above) > 0"), "index")
+    near = materialize(_candidates(index, percent).distinct(), "near")
     clusters = components(near).select("node", F.col("component").alias("cluster"))
 
     # cells: small clusters share one, a large one is dealt into several
