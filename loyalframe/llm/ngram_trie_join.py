@@ -52,7 +52,7 @@ from loyalframe.llm.components import components
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _TOP = np.uint64(1 << 63)  # turns the order of unsigned numbers into that of signed ones
-_PART_TOKENS = 200_000  # prefix n-grams that meet in one task
+_PART_TOKENS = 100_000  # prefix n-grams that meet in one task
 _PAIRWISE = 16  # sets with a common prefix n-gram that are compared in pairs, all at once
 
 
